@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Ship this module's functions with the task, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,7 +38,7 @@ def solve_normal(gram: np.ndarray, xty: np.ndarray) -> np.ndarray:
     return beta
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_packed(gram: pd.Series, xty: pd.Series) -> pd.Series:
     """Row-wise: packed upper triangle and right side to coefficients, intercept first."""
     if gram.empty:

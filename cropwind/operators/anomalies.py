@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropwind.functions.calendar import season_of
@@ -13,34 +13,22 @@ from cropwind.operators.grouped import with_group_stats
 from cropwind.operators.weekly import weekly_weather
 
 
-def _is_constant(name: str) -> Column:
-    """Equal extremes; safer than testing a rounded deviation for zero."""
-    return F.col(f"_lo_{name}") == F.col(f"_hi_{name}")
-
-
 def region_zscore(df: DataFrame, values: Iterable[str], keys: str | Iterable[str] = "region_id") -> DataFrame:
     """Add ``<value>_anom``: deviation from the key's whole-history mean in population deviations.
 
     A key that is constant or has no value at all gets 0.0 on every row; a NULL value in a
-    varying key stays NULL.
+    varying key stays NULL.  The frame holds one row per key and week, so the window group is
+    as long as the calendar; it shares its partitioning with the gap filling before it.
     """
-    values = list(values)
-    stats = {}
+    history = Window.partitionBy(*as_names(keys))
+    anomalies = []
     for v in values:
-        stats |= {
-            f"_mean_{v}": F.avg(v),
-            f"_sd_{v}": F.stddev_pop(v),
-            f"_lo_{v}": F.min(v),
-            f"_hi_{v}": F.max(v),
-        }
-    scored = with_group_stats(df, keys, **stats)
-    anomalies = [
-        F.when(F.col(f"_sd_{v}").isNull() | _is_constant(v) | (F.col(f"_sd_{v}") == 0), F.lit(0.0))
-        .otherwise((F.col(v) - F.col(f"_mean_{v}")) / F.nullif(F.col(f"_sd_{v}"), F.lit(0.0)))
-        .alias(f"{v}_anom")
-        for v in values
-    ]
-    return scored.select(*df.columns, *anomalies)
+        deviation = F.stddev_pop(v).over(history)
+        # Equal extremes are a safer test than a rounded deviation of zero.
+        constant = F.min(v).over(history) == F.max(v).over(history)
+        z = F.try_divide(F.col(v) - F.avg(v).over(history), deviation)
+        anomalies.append(F.when(deviation.isNull() | constant | (deviation == 0), F.lit(0.0)).otherwise(z).alias(f"{v}_anom"))
+    return df.select("*", *anomalies)
 
 
 def seasonal_zscore(
@@ -67,9 +55,11 @@ def seasonal_zscore(
         [*as_names(keys), "_season"],
         _mean=F.avg(value),
         _sd=deviation,
-        **{f"_lo_{value}": F.min(value), f"_hi_{value}": F.max(value)},
+        _lo=F.min(value),
+        _hi=F.max(value),
     )
-    z = F.when(~_is_constant(value), F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd")))
+    # Equal extremes are a safer test for a season without spread than a rounded deviation of zero.
+    z = F.when(F.col("_lo") != F.col("_hi"), F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd")))
     return scored.select(*df.columns, z.alias(output or f"{value}_z"))
 
 

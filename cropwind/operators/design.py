@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropwind.functions.columns import as_names, require_columns
 from cropwind.functions.numeric import season_cosine, season_sine
-from cropwind.operators.grouped import with_group_stats
 from cropwind.operators.market import in_order, log_returns
 
 RISK = "global_risk_0_100"
@@ -87,10 +86,10 @@ def merge_price_and_risk(
     return Design(complete.select(*keys, "date", "y", *features), tuple(features), tuple(keys))
 
 
-def _with_unit_risk(df: DataFrame, base: str, keys: list[str]) -> DataFrame:
-    """Add ``_risk`` on a 0-1 scale: a series that exceeds 1.5 anywhere is taken as 0-100."""
-    scaled = with_group_stats(df, keys, _top=F.max(base))
-    return scaled.withColumn("_risk", F.when(F.col("_top") > 1.5, F.col(base) / 100.0).otherwise(F.col(base))).drop("_top")
+def unit_risk(base: str, keys: str | Iterable[str]) -> Column:
+    """Risk on a 0-1 scale: a series that exceeds 1.5 anywhere is taken as 0-100."""
+    top = F.max(base).over(Window.partitionBy(*as_names(keys)))
+    return F.when(top > 1.5, F.col(base) / 100.0).otherwise(F.col(base))
 
 
 def auto_features(
@@ -123,15 +122,18 @@ def auto_features(
     if len(given) < q:
         if base is None:
             raise ValueError(f"neither 'risk' nor '{RISK}' found and fewer than {q} risk_lag columns")
-        work = _with_unit_risk(work, base, keys)
-        work = work.withColumns({name: F.lag("_risk", k).over(order) for k, name in enumerate(risk_lags, 1)}).drop("_risk")
-    require_columns(work.columns, risk_lags)
-    work = work.withColumns({name: F.lag("y", k).over(order) for k, name in enumerate(y_lags, 1)})
+        work = work.withColumn("_risk", unit_risk(base, keys))
+        risk = {name: F.lag("_risk", k).over(order) for k, name in enumerate(risk_lags, 1)}
+    else:
+        require_columns(df.columns, risk_lags)
+        risk = {}
+    added = {name: F.lag("y", k).over(order) for k, name in enumerate(y_lags, 1)} | risk
     features = [*y_lags, *risk_lags]
     if include_seasonal:
         t = F.row_number().over(order) - 1
-        work = work.withColumns({"season_sin": season_sine(t, season_period), "season_cos": season_cosine(t, season_period)})
+        added |= {"season_sin": season_sine(t, season_period), "season_cos": season_cosine(t, season_period)}
         features += ["season_sin", "season_cos"]
+    work = work.withColumns(added).drop("_risk")
     features += extra
     return Design(work.dropna(subset=["y", *features]), tuple(features), tuple(keys))
 

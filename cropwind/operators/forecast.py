@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropwind.functions.calendar import forecast_date, weekly_steps
@@ -16,8 +16,9 @@ from cropwind.operators.design import (
     auto_features,
     join_price_and_risk,
     merge_price_and_risk,
+    unit_risk,
 )
-from cropwind.operators.market import log_returns, price_column
+from cropwind.operators.market import in_order, log_returns, price_column
 from cropwind.operators.regression import fit_ols
 
 Z95 = 1.96
@@ -134,33 +135,26 @@ def market_model_parts(
     merged = log_returns(join_price_and_risk(market, index.select(*keys, "date", RISK), price, RISK, keys), price, keys)
     design = auto_features(merged, p, q, True, season_period, keys=keys)
     fit = fit_ols(design)
-    recent = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("date", "y", RISK)))), 1, max(RISK_TAIL, p))
-    # One short array per series and year first, then the last ones of all years: the list
-    # a task holds is bounded by the weeks of one year.
-    yearly = merged.groupBy(*keys, F.year("date").alias("_year")).agg(
-        recent.alias("_recent"),
-        F.count("*").alias("_rows"),
-        F.max("date").alias("_date"),
-        F.max_by(F.struct(F.col(price).alias("price")), F.col("date")).alias("_price"),
-        F.max(RISK).alias("_top"),
-    )
+    # The last few rows of each series become one short array.
+    order, whole = in_order(keys), Window.partitionBy(*keys)
+    kept = max(RISK_TAIL, p)
+    numbered = merged.select(
+        *keys,
+        F.struct("date", F.col(price).alias("price"), "y", unit_risk(RISK, keys).alias("risk")).alias("_row"),
+        F.row_number().over(order).alias("_place"),
+        F.count("*").over(whole).alias("_rows"),
+    ).where(F.col("_place") > F.col("_rows") - kept)
+    newest_first = F.reverse(F.array_sort(F.collect_list("_row")))
     state = (
-        yearly.groupBy(*keys)
-        .agg(
-            F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("_recent")))), 1, max(RISK_TAIL, p)).alias("_recent"),
-            F.sum("_rows").alias("_rows"),
-            F.max("_date").alias("last_date"),
-            F.max_by("_price", "_date").alias("_price"),
-            F.max("_top").alias("_top"),
-        )
-        .withColumn("_unit", F.when(F.col("_top") > 1.5, F.lit(100.0)).otherwise(F.lit(1.0)))
+        numbered.groupBy(*keys)
+        .agg(newest_first.alias("_recent"), F.max("_rows").alias("_rows"))
         .select(
             *keys,
-            "last_date",
-            F.col("_price.price").alias("last_price"),
+            F.col("_recent")[0]["date"].alias("last_date"),
+            F.col("_recent")[0]["price"].alias("last_price"),
             F.pmod(F.col("_rows") - 1, F.lit(season_period)).cast("double").alias("season_phase"),
-            F.transform(F.reverse(F.slice("_recent", 1, RISK_TAIL)), lambda r: r[RISK] / F.col("_unit")).alias("risk_path"),
-            (F.transform("_recent", lambda r: r["y"]) if seed_lags else F.array().cast("array<double>")).alias("y_seed"),
+            F.reverse(F.slice("_recent", 1, RISK_TAIL))["risk"].alias("risk_path"),
+            (F.col("_recent")["y"] if seed_lags else F.array().cast("array<double>")).alias("y_seed"),
         )
     )
     return design, fit.join(state, keys, "inner")

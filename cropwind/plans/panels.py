@@ -18,11 +18,30 @@ from pyspark.sql import functions as F
 from cropwind.sources.config import Region, RegionConfig
 
 
+# Stated schemas spare each read the job that would infer them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's file as a stream."""
+    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
 
 
-def _regions_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", F.col("r_name").alias("region_id")
@@ -31,7 +50,7 @@ def _regions_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nations = _regions_of_nations(spark, sf_dir)
+    nations = nation_regions(spark, sf_dir)
     return suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "region_id")
 
 
@@ -88,7 +107,7 @@ def daily_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("date")
     )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    places = customers.join(_regions_of_nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    places = customers.join(nation_regions(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))
     return (
         orders.join(places.select("c_custkey", "region_id"), F.col("o_custkey") == F.col("c_custkey"))

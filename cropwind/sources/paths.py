@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -20,10 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if spark.conf.get("spark.master", "local").startswith("local"):
-        return tempfile.mkdtemp(prefix="cropwind-")
+        return _local_folder()
     raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name for one run's table."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_folder() -> str:
+    """One temporary folder per process, for local sessions only."""
+    return tempfile.mkdtemp(prefix="cropwind-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Store ``df`` as a table in the shared folder and go on from there.
+
+    Used for weekly panels that several later steps read: the raw rows are scanned once, lost
+    executors cost no recomputation, and Spark knows the true size when it plans the joins.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,15 +31,17 @@ def stream_weekly(
     )
 
 
-def stream_upsert(rows: DataFrame, store: SilverStore, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Upsert each micro-batch into ``store``.
+def stream_upsert(
+    rows: DataFrame, store: SilverStore, name: str, checkpoint: str | None = None, order: str | None = None
+) -> StreamingQuery:
+    """Upsert each micro-batch into ``store``; ``order`` names the column that says which row is later.
 
     The batch number names the staging table, so a batch that is replayed after a failure
     gives the same result.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        store.upsert(batch, batch_id=f"{name}-{number}")
+        store.upsert(batch, batch_id=f"{name}-{number}", order=order)
 
     location = checkpoint or f"{shared_folder(rows.sparkSession)}/stream-{name}"
     return (
