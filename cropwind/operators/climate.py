@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cropwind.functions.columns import require_columns
+from cropwind.functions.columns import quoted, require_columns
 from cropwind.functions.numeric import logistic_scale
 from cropwind.sources.config import RegionConfig
 
@@ -40,12 +40,11 @@ def configured_score(
     present = [f for f in factors if f in columns]
     if not present:
         raise ValueError("none of the factors is a column of the table")
-    weight = {f: F.col(map_column)[f] for f in present}
-    total = reduce(lambda a, b: a + b, [F.coalesce(w, F.lit(0.0)) for w in weight.values()])
+    weights = [f"{map_column}['{f}']" for f in present]
+    total = " + ".join(f"coalesce({w}, 0D)" for w in weights)
     # A factor the row does not list adds nothing; a listed factor that is NULL spoils the score.
-    terms = [F.when(w.isNull(), F.lit(0.0)).otherwise(F.col(f) * w) for f, w in weight.items()]
-    mix = F.try_divide(reduce(lambda a, b: a + b, terms), total)
-    return logistic_scale(mix, a=scale_a, b=scale_b)
+    mix = " + ".join(f"if({w} IS NULL, 0D, {w} * {quoted(f)})" for f, w in zip(present, weights, strict=True))
+    return logistic_scale(F.expr(f"try_divide({mix}, {total})"), a=scale_a, b=scale_b)
 
 
 def regional_scores(silver: DataFrame, config: RegionConfig) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropwind.functions.calendar import forecast_date, weekly_steps
 from cropwind.functions.columns import as_names
-from cropwind.functions.numeric import season_cosine, season_sine
 from cropwind.operators.design import (
     RISK,
     Design,
@@ -29,25 +29,24 @@ def _lag(name: str) -> int:
     return int(name.rsplit("lag", 1)[1])
 
 
-def _known_part(features: Iterable[str], step: Column, period: int) -> Column:
-    """Everything in the step's return that does not depend on earlier forecasts (step from 1)."""
-    value = F.col("intercept")
+def _known_part(features: Iterable[str], period: int) -> str:
+    """SQL for everything in the return of step ``s`` (from 1) that no earlier forecast decides."""
+    turn = f"{2.0 * math.pi / period!r}D * (season_phase + s)"
+    terms = ["intercept"]
     for name in features:
-        weight = F.col("coeffs")[name]
         if name.startswith("y_lag"):
             continue
         if name.startswith("risk_lag"):
             # Lag k looks k - 1 places ahead on the path; past its end the last value repeats.
-            place = F.least(step - 1 + (_lag(name) - 1), F.size("risk_path") - 1)
-            regressor = F.get(F.col("risk_path"), place)
+            value = f"risk_path[least(s - 1 + {_lag(name) - 1}, size(risk_path) - 1)]"
         elif name == "season_sin":
-            regressor = season_sine(F.col("season_phase") + step, period)
+            value = f"sin({turn})"
         elif name == "season_cos":
-            regressor = season_cosine(F.col("season_phase") + step, period)
+            value = f"cos({turn})"
         else:
-            regressor = F.coalesce(F.try_element_at(F.col("exog_last"), F.lit(name)), F.lit(0.0))
-        value = value + weight * regressor
-    return value
+            value = f"coalesce(try_element_at(exog_last, '{name}'), 0D)"
+        terms.append(f"coeffs['{name}'] * {value}")
+    return " + ".join(terms)
 
 
 def recursive_forecast(
@@ -66,42 +65,32 @@ def recursive_forecast(
     place instead.  The recursion is a fold inside each row, so no data moves between tasks.
     """
     keys, features = as_names(keys), list(features)
-    depth = max([_lag(f) for f in features if f.startswith("y_lag")], default=0)
-    seed = F.transform(
-        F.sequence(F.lit(1), F.lit(max(1, depth))),
-        lambda k: F.coalesce(F.get(F.col("y_seed"), k - 1), F.lit(0.0)).cast("double"),
-    )
-    drift = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda step: _known_part(features, step, season_period).cast("double"))
-
-    def advance(state: Column, known: Column) -> Column:
-        y = known
-        for name in features:
-            if name.startswith("y_lag"):
-                y = y + F.col("coeffs")[name] * F.get(state["lags"], F.lit(_lag(name) - 1))
-        lags = F.concat(F.array(y), F.slice(state["lags"], 1, max(1, depth) - 1)) if proper_shift and depth > 1 else F.array_repeat(y, max(1, depth))
-        cum = state["cum"] + y
-        price = state["price"] * F.exp(y)
-        done = F.concat(state["out"], F.array(F.struct(y.alias("y"), cum.alias("cum"), price.alias("price"))))
-        return F.struct(lags.alias("lags"), cum.alias("cum"), price.alias("price"), done.alias("out"))
-
-    start = F.struct(
-        seed.alias("lags"),
-        F.lit(0.0).alias("cum"),
-        F.col("last_price").cast("double").alias("price"),
-        F.array().cast("array<struct<y:double,cum:double,price:double>>").alias("out"),
-    )
-    path = F.aggregate(drift, start, advance, lambda state: state["out"])
+    orders = [_lag(f) for f in features if f.startswith("y_lag")]
+    depth = max(orders, default=1)
     carried = [c for c in params.columns if c not in ("risk_path", "y_seed")]
-    return (
-        params.withColumn("_path", path)
-        .select(*carried, F.posexplode("_path").alias("_pos", "_step"))
-        .select(
-            *carried,
-            (F.col("_pos") + 1).alias("step"),
-            F.col("_step.y").alias("y_forecast"),
-            F.col("_step.cum").alias("cum_return"),
-            F.col("_step.price").alias("price_forecast"),
-        )
+    drift = f"transform(sequence(1, {horizon}), s -> CAST({_known_part(features, season_period)} AS DOUBLE))"
+    y = " + ".join(["known", *[f"coeffs['y_lag{k}'] * state.lags[{k - 1}]" for k in orders]])
+    next_lags = f"concat(array(y), slice(state.lags, 1, {depth - 1}))" if proper_shift else f"array_repeat(y, {depth})"
+    # One step: its return, then the moved lags, the running sum and the price.
+    step = f"""transform(array({y}), y -> named_struct(
+        'lags', {next_lags},
+        'cum', state.cum + y,
+        'price', state.price * exp(y),
+        'out', concat(state.out, array(named_struct('y', y, 'cum', state.cum + y, 'price', state.price * exp(y))))
+    ))[0]"""
+    start = f"""named_struct(
+        'lags', transform(sequence(0, {depth - 1}), k -> coalesce(get(y_seed, k), 0D)),
+        'cum', 0D,
+        'price', CAST(last_price AS DOUBLE),
+        'out', CAST(array() AS array<struct<y:double,cum:double,price:double>>)
+    )"""
+    path = f"aggregate({drift}, {start}, (state, known) -> {step}, state -> state.out)"
+    return params.selectExpr(*carried, f"posexplode({path}) AS (_pos, _step)").selectExpr(
+        *carried,
+        "_pos + 1 AS step",
+        "_step.y AS y_forecast",
+        "_step.cum AS cum_return",
+        "_step.price AS price_forecast",
     )
 
 

@@ -83,11 +83,10 @@ def scenario(last: Column, previous: Column) -> Column:
     )
 
 
-def _profile_value(profile: Column, name: str) -> Column:
-    value = F.lit(None).cast("double")
-    for key, numbers in PROFILES.items():
-        value = F.when(profile == key, F.lit(numbers[name])).otherwise(value)
-    return F.coalesce(value, F.raise_error(F.concat(F.lit("unknown hedge profile: "), profile)))
+def _profile_value(name: str) -> Column:
+    cases = " ".join(f"WHEN '{profile}' THEN {numbers[name]}D" for profile, numbers in PROFILES.items())
+    unknown = "CAST(raise_error(concat('unknown hedge profile: ', profile)) AS DOUBLE)"
+    return F.expr(f"CASE profile {cases} ELSE {unknown} END")
 
 
 def with_request_grid(
@@ -122,12 +121,12 @@ def recommend(requested: DataFrame, as_of: dt.datetime, horizon_weeks: int = 8)
     ``requested`` comes from :func:`with_request_grid` or :func:`with_requests`.  ``as_of``
     stamps the rows and stands in for a missing forecast date.
     """
-    profile, role, risk = F.col("profile"), F.col("role"), F.col("risk_score")
+    role, risk = F.col("role"), F.col("risk_score")
     last, previous = F.col("last_price_forecast"), F.col("prev_price_forecast")
     sized = requested.select(
         "*",
         scenario(last, previous).alias("scenario"),
-        *[_profile_value(profile, n).alias(f"_{n}") for n in ("base", "bump", "threshold")],
+        *[_profile_value(n).alias(f"_{n}") for n in ("base", "bump", "threshold")],
     )
     name = F.col("scenario")
     high = risk >= F.col("_threshold")

@@ -8,18 +8,13 @@ where ``y'y - b'X'y`` would cancel.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cropwind.functions.columns import quoted
 from cropwind.functions.linalg import solve_packed
 from cropwind.operators.design import Design
 
-def _predicted(features: tuple[str, ...], beta: Column) -> Column:
-    value = beta[0]
-    for i, name in enumerate(features, 1):
-        value = value + beta[i] * F.col(name)
-    return value
-
 
 def fit_ols(design: Design, date: str = "date") -> DataFrame:
     """One row per series: ``intercept``, ``coeffs`` map, ``resid_var``, ``n_obs``, ``n_coef``.
@@ -28,44 +23,44 @@ def fit_ols(design: Design, date: str = "date") -> DataFrame:
     each ``exog_*`` regressor to its last value in the design.
     """
     keys, features = list(design.keys), design.features
-    # X and y of one row: the intercept is a literal 1.
-    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    k = len(x)
-    packed = [F.sum(x[i] * x[j]).alias(f"g_{i}_{j}") for i in range(k) for j in range(i, k)]
-    right = [F.sum(x[i] * F.col("y")).alias(f"r_{i}") for i in range(k)]
     exog = [f for f in features if f.startswith("exog_")]
-    held = [F.max_by(F.col(f), F.col(date)).alias(f"last_{f}") for f in exog]
     usable = design.frame.dropna(subset=["y", *features]).select(*keys, date, "y", *features)
-    sums = usable.groupBy(*keys).agg(F.count("*").alias("n_obs"), *packed, *right, *held)
-    solved = sums.select(
-        *keys,
-        "n_obs",
-        solve_packed(
-            F.array(*[f"g_{i}_{j}" for i in range(k) for j in range(i, k)]), F.array(*[f"r_{i}" for i in range(k)])
-        ).alias("_beta"),
-        *[f"last_{f}" for f in exog],
+    # The row vector x starts with the intercept's 1.
+    x = ["1D", *[quoted(f) for f in features]]
+    k = len(x)
+    gram = [f"sum({x[i]} * {x[j]})" for i in range(k) for j in range(i, k)]
+    right = [f"sum({x[i]} * y)" for i in range(k)]
+    sums = usable.groupBy(*keys).agg(
+        F.expr("count(*) AS n_obs"),
+        F.expr(f"array({', '.join(gram)}) AS _gram"),
+        F.expr(f"array({', '.join(right)}) AS _right"),
+        F.expr(f"{_map({f: f'max_by({quoted(f)}, {quoted(date)})' for f in exog})} AS exog_last"),
     )
-    residual = F.col("y") - _predicted(features, F.col("_beta"))
-    # The coefficients ride along as plain doubles: constant per series, so max() just picks them.
-    fitted = (
+    solved = sums.select(*keys, "n_obs", "exog_last", solve_packed("_gram", "_right").alias("_beta"))
+    fitted = " + ".join(f"_beta[{i}] * {x[i]}" for i in range(k))
+    # What is constant within a series rides along as a minimum of plain numbers.
+    scored = (
         usable.join(solved, keys, "inner")
         .groupBy(*keys)
         .agg(
-            F.max("n_obs").alias("n_obs"),
-            F.sum(residual * residual).alias("sse"),
-            *[F.max(F.col("_beta")[i]).alias(f"b_{i}") for i in range(k)],
-            *[F.max(f"last_{f}").alias(f"last_{f}") for f in exog],
+            F.expr("min(n_obs) AS n_obs"),
+            F.expr(f"sum(pow(y - ({fitted}), 2)) AS sse"),
+            *[F.expr(f"min(_beta[{i}]) AS b_{i}") for i in range(k)],
+            *[F.expr(f"min(exog_last['{f}']) AS {quoted('last_' + f)}") for f in exog],
         )
     )
-    names = lambda items, prefix: F.create_map(*[c for i, f in items for c in (F.lit(f), F.col(f"{prefix}{i}"))])
-    empty = F.create_map().cast("map<string,double>")
-    return fitted.select(
-        *keys,
+    return scored.selectExpr(
+        *[quoted(key) for key in keys],
         "n_obs",
-        F.lit(k).alias("n_coef"),
-        F.col("b_0").alias("intercept"),
-        (names(list(enumerate(features, 1)), "b_") if features else empty).alias("coeffs"),
-        (F.col("sse") / F.greatest(F.lit(1), F.col("n_obs") - k)).alias("resid_var"),
-        F.lit(list(features)).alias("feature_cols") if features else F.array().cast("array<string>").alias("feature_cols"),
-        (names([(f, f) for f in exog], "last_") if exog else empty).alias("exog_last"),
+        f"{k} AS n_coef",
+        "b_0 AS intercept",
+        f"{_map({f: f'b_{i}' for i, f in enumerate(features, 1)})} AS coeffs",
+        f"sse / greatest(1, n_obs - {k}) AS resid_var",
+        f"CAST(array({', '.join(repr(f) for f in features)}) AS array<string>) AS feature_cols",
+        f"{_map({f: quoted('last_' + f) for f in exog})} AS exog_last",
     )
+
+
+def _map(entries: dict[str, str]) -> str:
+    """SQL map of names to double expressions."""
+    return f"CAST(map({', '.join(f'{name!r}, {value}' for name, value in entries.items())}) AS map<string,double>)"

@@ -26,7 +26,7 @@ from cropwind.plans import panels, pipeline
 from cropwind.plans.oracle import LEGACY, WEEKLY, day, r, sql, week, whole
 from cropwind.sources import audit, landing, tables
 from cropwind.sources.config import unknown_keys
-from cropwind.sources.paths import scratch_path, written
+from cropwind.sources.paths import scratch_path, written, written_together
 from cropwind.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,16 +52,16 @@ def present(df: DataFrame, digits: Mapping[str, int] | None = None) -> DataFrame
     digits = digits or {}
     columns = []
     for name, kind in df.dtypes:
-        column = F.col(f"`{name}`")
+        value = f"`{name}`"
         if kind == "double":
-            rounded = F.round(column, digits.get(name, 6))
-            column = F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
+            rounded = f"round({value}, {digits.get(name, 6)})"
+            value = f"if({rounded} = 0, 0D, {rounded})"
         elif kind == "date":
-            column = F.date_format(column, "yyyy-MM-dd")
+            value = f"date_format({value}, 'yyyy-MM-dd')"
         elif kind == "int":
-            column = column.cast("bigint")
-        columns.append(column.alias(name))
-    return df.select(*columns)
+            value = f"CAST({value} AS BIGINT)"
+        columns.append(f"{value} AS `{name}`")
+    return df.selectExpr(*columns)
 
 
 # Weekly panels -------------------------------------------------------------------------------
@@ -337,12 +337,19 @@ def ols_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vendor_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A weekly price and risk series per supplier; the risk is the score of its region."""
-    prices = market.weekly_market(panels.daily_vendor_market(spark, sf_dir), "vendor_id")
-    scores = climate.regional_scores(pipeline.weather_table(spark, sf_dir), panels.PANEL_CONFIG.only("automobile"))
-    risk = panels.supplier_regions(spark, sf_dir).join(scores, "region_id").select(
-        F.col("s_suppkey").alias("vendor_id"), "date", F.col("regional_score").alias(design.RISK)
-    )
-    return written(prices.select("vendor_id", "date", "price_spot"), "vendor-market"), written(risk, "vendor-risk")
+
+    def prices() -> DataFrame:
+        panel = market.weekly_market(panels.daily_vendor_market(spark, sf_dir), "vendor_id")
+        return panel.select("vendor_id", "date", "price_spot")
+
+    def risk() -> DataFrame:
+        config = panels.PANEL_CONFIG.only("automobile")
+        scores = climate.regional_scores(pipeline.weather_table(spark, sf_dir), config)
+        vendors = panels.supplier_regions(spark, sf_dir).withColumnRenamed("s_suppkey", "vendor_id")
+        return vendors.join(scores, "region_id").selectExpr("vendor_id", "date", f"regional_score AS {design.RISK}")
+
+    stored = written_together(spark, vendor_market=prices, vendor_risk=risk)
+    return stored[0], stored[1]
 
 
 @_register(f"SELECT vendor_id, {_fit_columns(WEEKLY)} FROM vendor_weekly_fit")
@@ -620,7 +627,7 @@ def index_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index written as JSON, one folder per commodity, and read back."""
     path = scratch_path(spark, "index")
     tables.gold_sink(pipeline.index_table(spark, sf_dir), path, format="json")
-    return present(tables.json_scan(spark, path, tables.INDEX))
+    return present(tables.json_scan(spark, path, tables.INDEX, lines=True))
 
 
 @_register(_MARKET)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cropwind.operators import anomalies, climate, forecast, hedge, market, report, silver, weekly
 from cropwind.plans import panels
-from cropwind.sources.paths import written
+from cropwind.sources.paths import written, written_together
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,10 @@ def aligned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_model_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Weekly prices and index, stored: the model reads each of them more than once."""
-    return written(market_table(spark, sf_dir), "market"), written(index_table(spark, sf_dir), "index")
+    prices, index = written_together(
+        spark, market=lambda: market_table(spark, sf_dir), index=lambda: index_table(spark, sf_dir)
+    )
+    return prices, index
 
 
 def run_layers(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -45,3 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_together(spark: SparkSession, **builders: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Build and store independent tables at the same time: one Spark job each, none waiting for
+    the other's last task."""
+    def store(name: str) -> DataFrame:
+        return written(builders[name](), name)
+
+    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(store), name) for name in builders]
+        return [job.result() for job in running]

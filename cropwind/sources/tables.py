@@ -81,8 +81,9 @@ def parquet_scan(spark: SparkSession, path: str, schema: T.StructType, keep_extr
         raise
 
 
-def json_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON records, one per line or as arrays.  Missing or unreadable files give no rows.
+def json_scan(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """JSON records: an array per file, or one record per line with ``lines`` as :func:`gold_sink`
+    writes them.  Missing or unreadable files give no rows.
 
     Dates are read as text first, so ISO timestamps and plain days both work.
     """
@@ -90,7 +91,7 @@ def json_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
         [T.StructField(f.name, S if isinstance(f.dataType, T.DateType) else f.dataType) for f in schema.fields]
     )
     try:
-        raw = spark.read.schema(as_text).option("multiLine", True).json(path)
+        raw = spark.read.schema(as_text).option("multiLine", not lines).json(path)
     except AnalysisException as error:
         if _is_missing(error):
             return empty(spark, schema)
