@@ -1,0 +1,84 @@
+from __future__ import annotations
+
+import pytest
+from conftest import d
+from pyspark.sql import functions as F
+
+from cropwind.functions import calendar as C
+from cropwind.functions import numeric as N
+from cropwind.functions import text as X
+
+
+def one(spark, column, **values):
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()] or [F.lit(1).alias("one")])
+    return row.select(column.alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize(
+    "day, label", [("2024-01-04", "2024-01-05"), ("2024-01-05", "2024-01-05"), ("2024-01-06", "2024-01-12")]
+)
+def test_week_label_is_the_friday_on_or_after(spark, day, label):
+    assert one(spark, C.week_label("x"), x=d(day)) == d(label)
+
+
+@pytest.mark.parametrize("day", ["2024-01-04", "2024-01-05", "2024-01-07", "2024-01-10"])
+def test_last_thursday(spark, day):
+    assert one(spark, C.last_thursday("x"), x=d(day)) == d("2024-01-04")
+
+
+def test_forecast_dates_skip_the_first_anchor(spark):
+    last = d("2024-01-05")
+    assert one(spark, C.forecast_date("x", F.lit(1)), x=last) == d("2024-01-14")
+    assert one(spark, C.forecast_date("x", F.lit(2)), x=last) == d("2024-01-21")
+    assert one(spark, C.forecast_date("x", F.lit(1), "FRI"), x=last) == d("2024-01-12")
+    assert one(spark, C.forecast_date("x", F.lit(1)), x=d("2024-01-07")) == d("2024-01-14")
+
+
+def test_dates_are_parsed_as_utc_days(spark):
+    texts = ["2024-03-01", "2024-03-01T01:00:00+02:00", "2024-03-01 12:00:00", "soon", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(C.parse_date("t").alias("v")).collect()
+    assert [r["v"] for r in rows] == [d("2024-03-01"), d("2024-02-29"), d("2024-03-01"), None, None]
+
+
+def test_season_and_iso_week(spark):
+    assert one(spark, C.season_of("x"), x=d("2024-12-30")) == 1
+    assert one(spark, C.season_of("x", "month"), x=d("2024-12-30")) == 12
+    with pytest.raises(ValueError):
+        C.season_of("x", "quarter")
+
+
+@pytest.mark.parametrize("days, steps", [(3, 1), (7, 1), (30, 4), (60, 8), (90, 12)])
+def test_weekly_steps(spark, days, steps):
+    assert one(spark, C.weekly_steps("x"), x=days) == steps
+
+
+def test_rolling_scope_is_closed_on_both_ends(spark):
+    days = ["2009-06-30", "2009-07-01", "2024-07-01", "2024-07-02"]
+    rows = spark.createDataFrame([(d(x),) for x in days], "day date")
+    kept = rows.where(C.rolling_scope("day", d("2024-07-01"))).collect()
+    assert [r["day"] for r in kept] == [d("2009-07-01"), d("2024-07-01")]
+
+
+def test_logistic_scale_bounds_and_midpoint(spark):
+    assert one(spark, N.logistic_scale("x"), x=0.0) == 50.0
+    assert one(spark, N.logistic_scale("x"), x=800.0) == 100.0
+    assert one(spark, N.logistic_scale("x"), x=-800.0) == 0.0
+    assert one(spark, N.logistic_scale("x", a=2.0, b=3.0, lower=-1.0, upper=1.0), x=3.0) == 0.0
+
+
+def test_numeric_helpers_keep_null(spark):
+    null = F.lit(None).cast("double")
+    assert one(spark, N.clamp(null)) is None
+    assert one(spark, N.clamp(F.lit(1.2))) == 1.0
+    assert one(spark, N.null_if_nan(F.lit(float("nan")))) is None
+    assert one(spark, N.relative_change(F.lit(1.0), F.lit(0.0))) is None
+    assert one(spark, N.log_ratio(F.lit(0.0), F.lit(2.0))) is None
+
+
+def test_text_rounds_ties_to_even(spark):
+    assert one(spark, X.fixed("x", 1), x=50.25) == "50.2"
+    assert one(spark, X.fixed("x", 1), x=50.35) in {"50.3", "50.4"}
+    assert one(spark, X.percent("x"), x=0.45) == "45%"
+    assert one(spark, X.grouped("x"), x=12345.6) == "12,346"
+    assert one(spark, X.capitalised("x"), x="long CALL options") == "Long call options"
+    assert one(spark, X.snake("x"), x=" Adj Close ") == "adj_close"
