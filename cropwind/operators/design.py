@@ -104,7 +104,7 @@ def auto_features(
     """Lags of ``y`` and risk, one seasonal harmonic and ``exog_*`` columns.
 
     Lags count rows of ``df`` as given, at least one of each kind.  Existing ``risk_lag*``
-    columns are used when there are ``q`` of them; else they come from ``risk`` or
+    columns are used when there are enough of them; else they come from ``risk`` or
     ``global_risk_0_100``.  The harmonic runs over the row position, before rows with NULLs
     are dropped.
     """
@@ -119,9 +119,9 @@ def auto_features(
     given = [c for c in df.columns if c.startswith("risk_lag")]
     base = next((c for c in ("risk", RISK) if c in df.columns), None)
     work = df
-    if len(given) < q:
+    if len(given) < n_risk:
         if base is None:
-            raise ValueError(f"neither 'risk' nor '{RISK}' found and fewer than {q} risk_lag columns")
+            raise ValueError(f"neither 'risk' nor '{RISK}' found and fewer than {n_risk} risk_lag columns")
         work = work.withColumn("_risk", unit_risk(base, keys))
         risk = {name: F.lag("_risk", k).over(order) for k, name in enumerate(risk_lags, 1)}
     else:
