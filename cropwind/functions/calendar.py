@@ -13,8 +13,14 @@ SEASONS = ("weekofyear", "month")
 
 
 def parse_date(value: ColumnLike) -> Column:
-    """UTC calendar day of a date, timestamp or text; text that is no date becomes NULL."""
-    return F.to_date(F.try_to_timestamp(as_column(value).cast("string")))
+    """UTC calendar day of a text, date or timestamp; what is no date becomes NULL.
+
+    A text without an offset is taken as UTC already; one with an offset is shifted.
+    """
+    text = as_column(value).cast("string")
+    moment = F.try_to_timestamp(text)
+    with_offset = text.rlike(r":.*(Z|[+-]\d{1,2}(:?\d{2})?)$")
+    return F.when(with_offset, F.to_date(F.to_utc_timestamp(moment, F.current_timezone()))).otherwise(F.to_date(moment))
 
 
 def week_label(day: ColumnLike) -> Column:

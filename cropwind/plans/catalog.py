@@ -23,7 +23,7 @@ from cropwind.operators import (
     weekly,
 )
 from cropwind.plans import panels, pipeline
-from cropwind.plans.oracle import LEGACY, WEEKLY, day, r, sql, week, whole
+from cropwind.plans.oracle import LEGACY, WEEKLY, day, r, rounded, sql, week, whole
 from cropwind.sources import audit, landing, tables
 from cropwind.sources.config import unknown_keys
 from cropwind.sources.paths import scratch_path, written, written_together
@@ -48,14 +48,13 @@ def _register(select: str | None = None) -> Callable[[Query], Query]:
 
 
 def present(df: DataFrame, digits: Mapping[str, int] | None = None) -> DataFrame:
-    """Output form of every query: doubles rounded without negative zero, days as text."""
+    """Output form of every query: doubles rounded (see ``rounded``), days as text."""
     digits = digits or {}
     columns = []
     for name, kind in df.dtypes:
         value = f"`{name}`"
         if kind == "double":
-            rounded = f"round({value}, {digits.get(name, 6)})"
-            value = f"if({rounded} = 0, 0D, {rounded})"
+            value = rounded(value, digits.get(name))
         elif kind == "date":
             value = f"date_format({value}, 'yyyy-MM-dd')"
         elif kind == "int":
@@ -359,9 +358,8 @@ def ols_per_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(forecast.market_model_parts(prices, risk, keys="vendor_id")[0])
 
 
-# Prices grow with the exponential of the fit, so they are compared in whole units.
-_PRICE_DIGITS = {"price_forecast": 2, "price_lo95": 2, "price_hi95": 0}
-_FORECAST = f"{day()}, {r('y_forecast')}, {r('price_forecast', 2)}, {r('price_lo95', 2)}, {r('price_hi95', 0)}"
+_PRICE_DIGITS = {"price_forecast": 2, "price_lo95": 2, "price_hi95": 2}
+_FORECAST = f"{day()}, {r('y_forecast')}, {r('price_forecast', 2)}, {r('price_lo95', 2)}, {r('price_hi95', 2)}"
 
 
 @_register(f"SELECT vendor_id, {_FORECAST} FROM vendor_forecast")
@@ -501,20 +499,20 @@ def _stored_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(forecast.market_model(*pipeline.stored_model_inputs(spark, sf_dir)), "forecast")
 
 
-@_register(f"SELECT commodity, {day()}, {r('ret_pct', 4)}, {r('ret_lo95', 4)}, {r('ret_hi95', 2)} FROM pct_band")
+@_register(f"SELECT commodity, {day()}, {r('ret_pct', 4)}, {r('ret_lo95', 4)}, {r('ret_hi95', 4)} FROM pct_band")
 def pct_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(report.pct_band_series(_stored_forecast(spark, sf_dir)), {"ret_pct": 4, "ret_lo95": 4, "ret_hi95": 2})
+    return present(report.pct_band_series(_stored_forecast(spark, sf_dir)), {"ret_pct": 4, "ret_lo95": 4, "ret_hi95": 4})
 
 
 @_register(
-    f"""SELECT commodity, {r('domain_min', 0)}, {r('domain_max', 0)} FROM (
+    f"""SELECT commodity, {r('domain_min', 2)}, {r('domain_max', 2)} FROM (
   SELECT commodity, lo - (hi - lo) * 0.05 AS domain_min, hi + (hi - lo) * 0.05 AS domain_max FROM (
     SELECT commodity, CASE WHEN lo = hi THEN lo - 1 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 1 ELSE hi END AS hi FROM (
       SELECT commodity, min(least(price_forecast, price_lo95, price_hi95)) AS lo,
              max(greatest(price_forecast, price_lo95, price_hi95)) AS hi FROM model_forecast GROUP BY 1) AS raw) AS wide) AS padded"""
 )
 def padded_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(report.forecast_domain(_stored_forecast(spark, sf_dir)), {"domain_min": 0, "domain_max": 0})
+    return present(report.forecast_domain(_stored_forecast(spark, sf_dir)), {"domain_min": 2, "domain_max": 2})
 
 
 @_register(
@@ -675,7 +673,8 @@ WHERE date + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL
 def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly weather from a stream of line items: weeks the watermark has closed."""
     lines = panels.stream(spark, sf_dir, "lineitem").select(
-        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        # The wall clock of the file is UTC, whatever the session's time zone.
+        F.from_utc_timestamp(F.col("l_shipdate").cast("timestamp"), F.current_timezone()).alias("ts"),
         "l_suppkey",
         F.col("l_quantity").alias("temp"),
         F.col("l_linenumber").cast("double").alias("precip"),

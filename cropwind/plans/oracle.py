@@ -17,9 +17,21 @@ def week(day: str) -> str:
     return f"CAST(date_trunc('week', {day} + INTERVAL 2 DAY) + INTERVAL 4 DAY AS DATE)"
 
 
-def r(value: str, digits: int = 6, name: str | None = None) -> str:
-    """Rounded output without a negative zero."""
-    return f"CASE WHEN round({value}, {digits}) = 0 THEN 0.0 ELSE round({value}, {digits}) END AS {name or value}"
+def rounded(value: str, digits: int | None = None) -> str:
+    """Output form of a double in either engine: 6 decimals, or ``digits`` decimals of a column
+    that grows with the exponential of a fit, of which 7 leading digits are kept."""
+    if digits is None:
+        result = f"round({value}, 6)"
+    else:
+        scaled = f"({value}) * 1e{digits}"
+        unit = f"pow(10, greatest(floor(log10(greatest(abs({scaled}), 1))) - 6, 0))"
+        result = f"round({scaled} / {unit}) * {unit} / 1e{digits}"
+    return f"CASE WHEN {result} = 0 THEN 0e0 ELSE {result} END"
+
+
+def r(value: str, digits: int | None = None, name: str | None = None) -> str:
+    """Rounded output column without a negative zero."""
+    return f"{rounded(value, digits)} AS {name or value}"
 
 
 def day(value: str = "date", name: str | None = None) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,10 +27,14 @@ def stream_weekly(
         daily.withWatermark(ts, late)
         .groupBy(F.window(ts, "7 days", "7 days", "2 days").alias("_week"), *keys)
         .agg(F.avg("temp").alias("temp"), F.coalesce(F.sum("precip"), F.lit(0.0)).alias("precip"))
-        .select(F.date_sub(F.to_date("_week.end"), 1).alias("date"), *keys, "temp", "precip")
+        .select(_utc_day_before("_week.end").alias("date"), *keys, "temp", "precip")
     )
 
 
+def _utc_day_before(moment: str) -> Column:
+    return F.date_sub(F.to_date(F.to_utc_timestamp(moment, F.current_timezone())), 1)
+
+
 def stream_upsert(
     rows: DataFrame, store: SilverStore, name: str, checkpoint: str | None = None, order: str | None = None
 ) -> StreamingQuery:
