@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cropwind.functions.calendar import season_of
 from cropwind.functions.columns import as_names
-from cropwind.operators.grouped import with_group_stats
 from cropwind.operators.weekly import weekly_weather
 
 
@@ -44,23 +43,18 @@ def seasonal_zscore(
     """Add the z-score of ``value`` within its key and season.
 
     The season is ``season_col`` if given, else the ISO week or the month of ``date``.
-    A season without spread gives NULL.
+    A season without spread gives NULL.  With one row per key and week a group holds a few
+    rows per year, and the input is read once.
     """
     if ddof not in (0, 1):
         raise ValueError("ddof must be 0 or 1")
     season = F.col(season_col) if season_col else season_of(date, group_by)
-    deviation = F.stddev_pop(value) if ddof == 0 else F.stddev_samp(value)
-    scored = with_group_stats(
-        df.withColumn("_season", season),
-        [*as_names(keys), "_season"],
-        _mean=F.avg(value),
-        _sd=deviation,
-        _lo=F.min(value),
-        _hi=F.max(value),
-    )
+    peers = Window.partitionBy(*as_names(keys), season)
+    deviation = (F.stddev_pop if ddof == 0 else F.stddev_samp)(value).over(peers)
     # Equal extremes are a safer test for a season without spread than a rounded deviation of zero.
-    z = F.when(F.col("_lo") != F.col("_hi"), F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd")))
-    return scored.select(*df.columns, z.alias(output or f"{value}_z"))
+    varies = season.isNotNull() & (F.min(value).over(peers) != F.max(value).over(peers))
+    z = F.when(varies, F.try_divide(F.col(value) - F.avg(value).over(peers), deviation))
+    return df.select("*", z.alias(output or f"{value}_z"))
 
 
 def weather_anomalies(daily: DataFrame, keys: str | Iterable[str] = "region_id") -> DataFrame:

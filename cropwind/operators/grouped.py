@@ -1,7 +1,7 @@
-"""Group statistics and keep-one-row choices that survive a hot group.
+"""Keep-one-row choices that survive a hot key.
 
-Both are grouped aggregates, so each task reduces its own rows before the shuffle
-and no group ever has to sit in one task.  A window over the group would need that.
+They are grouped aggregates, so each task reduces its own rows before the shuffle and the
+copies of a key never have to sit in one task, as a row number over the key would need.
 """
 
 from __future__ import annotations
@@ -11,19 +11,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cropwind.functions.columns import as_names
-
-
-def with_group_stats(df: DataFrame, keys: str | Iterable[str], **stats: Column) -> DataFrame:
-    """Add one column per aggregate of the row's group.
-
-    The aggregate is joined back on the keys: Spark broadcasts it when it is small and
-    splits a skewed left side when it is not.  Rows with a NULL key get NULL statistics.
-    """
-    keys = as_names(keys)
-    summary = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(summary, keys, "left").select(*df.columns, *stats)
-
 
 def keep_last(df: DataFrame, keys: Iterable[str], order: Iterable[str | Column]) -> DataFrame:
     """One row per key: the one with the greatest ``order`` tuple (which should be unique per key).

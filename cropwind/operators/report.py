@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropwind.functions.calendar import months_before
@@ -12,19 +12,19 @@ from cropwind.functions.columns import as_names
 from cropwind.functions.numeric import percent_change
 from cropwind.functions.text import capitalised, fixed, grouped, same_text
 from cropwind.operators.design import RISK
-from cropwind.operators.grouped import keep_first, with_group_stats
+from cropwind.operators.grouped import keep_first
 from cropwind.operators.market import price_column
 
 REPORT_PRICES = ("price_spot", "price_front_fut", "settlement", "close")
 
 
 def _last(value: Column, date: str = "date") -> Column:
-    """Value of the last row; a NULL there stays NULL."""
-    return F.max_by(F.struct(value.alias("v")), F.col(date))["v"]
+    """Value of the last row as a struct ``v``, so that a NULL there stays NULL."""
+    return F.max_by(F.struct(value.alias("v")), F.col(date))
 
 
 def _first(value: Column, date: str = "date") -> Column:
-    return F.min_by(F.struct(value.alias("v")), F.col(date))["v"]
+    return F.min_by(F.struct(value.alias("v")), F.col(date))
 
 
 def kpi_row(forecast: DataFrame, index: DataFrame, hedge: DataFrame) -> DataFrame:
@@ -34,14 +34,14 @@ def kpi_row(forecast: DataFrame, index: DataFrame, hedge: DataFrame) -> DataFram
     come from the first hedge by profile and role.
     """
     price = forecast.groupBy("commodity").agg(
-        _last(F.col("price_forecast")).alias("latest_forecast_price"),
-        _first(F.col("price_forecast")).alias("_first_price"),
+        _last(F.col("price_forecast"))["v"].alias("latest_forecast_price"),
+        _first(F.col("price_forecast"))["v"].alias("_first_price"),
         F.count("*").alias("_n"),
     )
     change = F.when(F.col("_n") >= 2, percent_change("latest_forecast_price", "_first_price"))
     price = price.select("commodity", "latest_forecast_price", change.alias("forecast_change_pct"))
     level = F.col("risk") * 100.0 if "risk" in index.columns else F.col(RISK)
-    risk = index.groupBy("commodity").agg(_last(level).alias("risk_score"))
+    risk = index.groupBy("commodity").agg(_last(level)["v"].alias("risk_score"))
     leading = F.min_by(F.struct("hedge_ratio", "scenario"), F.struct("profile", "role"))
     hedged = hedge.groupBy("commodity").agg(
         F.sum("hedge_notional").alias("hedge_notional"), leading.alias("_lead"), F.count("*").alias("hedge_legs")
@@ -58,7 +58,8 @@ def forecast_band_series(forecast: DataFrame) -> DataFrame:
 def pct_band_series(forecast: DataFrame, keys: str | Iterable[str] = "commodity") -> DataFrame:
     """Forecast and band as % change on the last forecast price; dropped where that is NULL or 0."""
     keys = as_names(keys)
-    based = with_group_stats(forecast, keys, _base=_last(F.col("price_forecast"))).where(F.col("_base") != 0)
+    last = _last(F.col("price_forecast")).over(Window.partitionBy(*keys))
+    based = forecast.withColumn("_base", last["v"]).where(F.col("_base") != 0)
     return based.select(
         *keys,
         "date",
@@ -107,7 +108,7 @@ def trailing_window(df: DataFrame, window: str, keys: str | Iterable[str] = "com
     number = window.replace("M", "")
     if window == "All" or not number.lstrip("+-").isdigit():
         return df
-    dated = with_group_stats(df, keys, _last=F.max(date))
+    dated = df.withColumn("_last", F.max(date).over(Window.partitionBy(*as_names(keys))))
     return dated.where(F.col(date) >= months_before("_last", int(number))).select(*df.columns)
 
 

@@ -259,10 +259,7 @@ FROM (SELECT coalesce(a.date, s.date) AS day, coalesce(a.region_id, s.region_id)
       FULL OUTER JOIN weekly_supply s ON a.date = s.date AND a.region_id IS NOT DISTINCT FROM s.region_id) AS merged"""
 )
 def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weather, prices, supply = (
-        f(spark, sf_dir) for f in (pipeline.weather_table, pipeline.market_table, pipeline.supply_table)
-    )
-    return present(silver.silver_merge(weather, prices, supply))
+    return present(silver.silver_merge(*pipeline.stored_silver(spark, sf_dir)))
 
 
 _NOT_NULL = ["temp_anom", "precip_anom", "price_spot", "price_front_fut", "realized_vol_30d"]

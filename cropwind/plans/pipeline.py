@@ -41,9 +41,18 @@ def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return climate.global_index(weather_table(spark, sf_dir), panels.PANEL_CONFIG)
 
 
+def stored_silver(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Weekly weather, market and supply, built side by side and stored."""
+    return written_together(
+        spark,
+        weather=lambda: weather_table(spark, sf_dir),
+        market=lambda: market_table(spark, sf_dir),
+        supply=lambda: supply_table(spark, sf_dir),
+    )
+
+
 def aligned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weather, prices, supply = (f(spark, sf_dir) for f in (weather_table, market_table, supply_table))
-    return silver.align_regions(weather, prices, supply, config=panels.PANEL_CONFIG)
+    return silver.align_regions(*stored_silver(spark, sf_dir), config=panels.PANEL_CONFIG)
 
 
 def stored_model_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
