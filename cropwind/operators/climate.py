@@ -47,18 +47,19 @@ def configured_score(
     return logistic_scale(F.expr(f"try_divide({mix}, {total})"), a=scale_a, b=scale_b)
 
 
-def regional_scores(silver: DataFrame, config: RegionConfig) -> DataFrame:
+def regional_scores(silver: DataFrame, config: RegionConfig, per_commodity: bool = False) -> DataFrame:
     """Mean score per commodity, region and date.
 
-    ``silver`` needs ``date``, ``region_id`` and factor columns; with a ``commodity`` column
-    each row serves only its own commodity.  The config is a driver-side literal whose size
-    is checked before it is broadcast; regions without config drop out of the inner join.
+    ``silver`` needs ``date``, ``region_id`` and factor columns; every row serves all commodities
+    that list its region.  With ``per_commodity`` a row serves only the commodity it names.  The
+    config is a driver-side literal whose size is checked before it is broadcast; regions
+    without config drop out of the inner join.
     """
     require_columns(silver.columns, ["date", "region_id"])
     config.check_factors(silver.columns)
     factors = [f for f in config.factor_names() if f in silver.columns]
     regions = config.broadcast_frame(silver.sparkSession)
-    on = ["commodity", "region_id"] if "commodity" in silver.columns else ["region_id"]
+    on = ["commodity", "region_id"] if per_commodity else ["region_id"]
     narrow = silver.select("date", *on, *factors).where(F.col("date").isNotNull())
     return (
         narrow.join(regions, on, "inner")
@@ -78,10 +79,10 @@ def contributions(scores: DataFrame) -> DataFrame:
     )
 
 
-def global_index(silver: DataFrame, config: RegionConfig) -> DataFrame:
+def global_index(silver: DataFrame, config: RegionConfig, per_commodity: bool = False) -> DataFrame:
     """0-100 index per commodity and date; weights of absent regions are not redistributed."""
     return (
-        contributions(regional_scores(silver, config))
+        contributions(regional_scores(silver, config, per_commodity))
         .groupBy("commodity", "date")
         .agg(F.sum("contribution").alias("global_risk_0_100"))
         .select("date", "commodity", "global_risk_0_100")

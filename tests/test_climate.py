@@ -56,7 +56,9 @@ def test_a_silver_table_with_commodities_serves_each_its_own_rows(spark):
     day = fridays(1)[0]
     silver = spark.createDataFrame([(day, "FR", 1.0, 1.0, 1.0, 1.0), (day, "FR", -1.0, -1.0, -1.0, -1.0)], SILVER)
     silver = silver.withColumn("commodity", F.when(F.col("temp_anom") > 0, "wheat").otherwise("corn"))
-    got = climate.global_index(silver, config(("FR", 1.0, EVEN))).collect()
+    got = climate.global_index(silver, config(("FR", 1.0, EVEN)), per_commodity=True).collect()
+    mixed = climate.global_index(silver, config(("FR", 1.0, EVEN))).first()["global_risk_0_100"]
+    assert mixed == pytest.approx((logistic(1.0) + logistic(-1.0)) / 2)
     assert [(r["commodity"], round(r["global_risk_0_100"], 6)) for r in got] == [("wheat", round(logistic(1.0), 6))]
 
 
