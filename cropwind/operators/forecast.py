@@ -200,6 +200,8 @@ def train_and_forecast(
     lags of the last training row; in ``auto`` mode from 0.
     """
     keys, horizons = as_names(keys), [int(h) for h in horizons]
+    if mode == "legacy" and lags < 1:
+        raise ValueError("legacy mode needs at least one lag to know the last risk level")
     merged = merge_price_and_risk(price, risk, price_col, risk_col, lags, mode, exog_cols, keys)
     if mode == "legacy":
         design, level = merged, F.col("risk_lag1")

@@ -163,23 +163,49 @@ def with_commodity_from_file(df: DataFrame, suffix: str = "_forecast") -> DataFr
 class SilverStore:
     """A silver table in year folders that is upserted batch by batch.
 
-    An upsert first writes the merged rows of the years it touches to ``<path>_staging`` and
-    then replaces just those year folders from there.  A run that dies in between is repeated
-    with the same ``batch_id``: a complete staging table is used again as it is.
+    An upsert writes the merged rows of the years it touches to ``<path>_staging``, then replaces
+    just those year folders from there.  Each of the two writes ends by noting the batch next to
+    the table.  A run that died in between is made good by the next upsert, whatever its batch:
+    rows noted as staged but not as applied are applied first.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, on: Iterable[str]):
         self.spark, self.path, self.schema, self.on = spark, path.rstrip("/"), schema, list(on)
+        self.staging = f"{self.path}_staging"
+        self._stored = T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
 
     def read(self) -> DataFrame:
         return parquet_scan(self.spark, self.path, self.schema)
 
+    def overwrite(self, new: DataFrame) -> None:
+        """Replace the table by ``new``, one row per key."""
+        only = incremental_update(None, conformed(new, self.schema), self.on)
+        self._write(self._with_year(only), self.path, "static")
+
+    def upsert(self, new: DataFrame, batch_id: str, order: str | None = None) -> None:
+        """Merge ``new`` into the table; its rows win over stored ones with the same key."""
+        staged, applied = self._noted("staged"), self._noted("applied")
+        if staged is not None and staged != applied:
+            self._apply(staged)
+            applied = staged
+        if applied == batch_id:
+            return
+        self._stage(new, batch_id, order)
+        self._apply(batch_id)
+
     def _with_year(self, df: DataFrame) -> DataFrame:
         return df.withColumn("year", F.year("date"))
 
-    def _existing(self) -> DataFrame:
-        stored = T.StructType([*self.schema.fields, T.StructField("year", T.IntegerType())])
-        return parquet_scan(self.spark, self.path, stored)
+    def _merged(self, new: DataFrame, order: str | None) -> DataFrame:
+        """Rows of the touched years with the batch merged in."""
+        columns = [*self.schema.fieldNames(), *([order] if order else [])]
+        batch = self._with_year(conformed(new, self.schema, keep_extra=True).select(*columns))
+        touched = batch.select("year").distinct()
+        old = parquet_scan(self.spark, self.path, self._stored).join(touched, "year", "left_semi")
+        if order:
+            old = old.withColumn(order, F.lit(0).cast("bigint"))
+        merged = incremental_update(old.select(*batch.columns), batch, self.on, order=order)
+        return merged.select(*self._stored.fieldNames())
 
     def _write(self, df: DataFrame, path: str, mode: str) -> None:
         (
@@ -190,29 +216,18 @@ class SilverStore:
             .parquet(path)
         )
 
-    def overwrite(self, new: DataFrame) -> None:
-        """Replace the table by ``new``, one row per key."""
-        only = incremental_update(None, conformed(new, self.schema), self.on)
-        self._write(self._with_year(only), self.path, "static")
+    def _stage(self, new: DataFrame, batch_id: str, order: str | None) -> None:
+        self._write(self._merged(new, order), self.staging, "static")
+        self._note("staged", batch_id)
 
-    def upsert(self, new: DataFrame, batch_id: str, order: str | None = None) -> None:
-        """Merge ``new`` into the table; its rows win over stored ones with the same key."""
-        staging = f"{self.path}_staging/batch={batch_id}"
-        stored = T.StructType([*self.schema.fields, T.StructField("year", T.IntegerType())])
-        if not self._complete(staging):
-            columns = [*self.schema.fieldNames(), *([order] if order else [])]
-            batch = self._with_year(conformed(new, self.schema, keep_extra=True).select(*columns))
-            touched = batch.select("year").distinct()
-            old = self._existing().join(touched, "year", "left_semi")
-            if order:
-                old = old.withColumn(order, F.lit(0).cast("bigint"))
-            merged = incremental_update(old.select(*batch.columns), batch, self.on, order=order)
-            self._write(merged.select(*self.schema.fieldNames(), "year"), staging, "static")
-        self._write(parquet_scan(self.spark, staging, stored), self.path, "dynamic")
-
-    def _complete(self, path: str) -> bool:
-        """A finished write leaves its success marker."""
-        try:
-            return not self.spark.read.format("binaryFile").load(f"{path}/_SUCCESS").isEmpty()
-        except AnalysisException:
-            return False
+    def _apply(self, batch_id: str) -> None:
+        self._write(parquet_scan(self.spark, self.staging, self._stored), self.path, "dynamic")
+        self._note("applied", batch_id)
+
+    def _note(self, what: str, batch_id: str) -> None:
+        note = self.spark.createDataFrame([(batch_id,)], "batch string").coalesce(1)
+        note.write.mode("overwrite").json(f"{self.path}_{what}")
+
+    def _noted(self, what: str) -> str | None:
+        row = json_scan(self.spark, f"{self.path}_{what}", _schema(batch=S), lines=True).first()
+        return row["batch"] if row else None

@@ -109,6 +109,10 @@ def test_given_risk_lags_are_used(spark):
 
 
 def test_design_errors(price, risk):
+    with pytest.raises(ValueError):
+        M.train_and_forecast(price, risk, lags=0)
+    bare = fitted(D.merge_price_and_risk(price, risk, lags=0))
+    assert bare["coeffs"] == {} and bare["intercept"] == pytest.approx(pandas_base("corn", 0)["y"].mean())
     with pytest.raises(ValueError):
         D.merge_price_and_risk(price, risk, mode="other")
     with pytest.raises(ValueError):

@@ -82,6 +82,19 @@ def test_store_touches_only_the_years_of_the_batch(spark, tmp_path):
     assert store.read().count() == 2
 
 
+def test_store_makes_good_a_run_that_died(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = tables.SilverStore(spark, path, tables.MARKET, ["date", "commodity"])
+    day = d("2023-01-06")
+    store.upsert(spark.createDataFrame([("corn", day, 1.0)], DAILY), "1")
+    second = spark.createDataFrame([("soy", day, 2.0)], DAILY)
+    # The staging table of batch 2 is complete, but the year folder was not replaced.
+    store._stage(second, "2", None)
+    assert store.read().count() == 1
+    store.upsert(spark.createDataFrame([("wheat", day, 3.0)], DAILY), "3")
+    assert {(r["commodity"], r["price_spot"]) for r in store.read().collect()} == {("corn", 1.0), ("soy", 2.0), ("wheat", 3.0)}
+
+
 def test_audit_log(spark, tmp_path):
     path = str(tmp_path / "logs")
     for hour in (9, 10):
