@@ -262,6 +262,13 @@ def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(silver.silver_merge(*pipeline.stored_silver(spark, sf_dir)))
 
 
+@_register(_INDEX)
+def global_risk_from_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index from the merged table: the mean per region and date undoes its repeated rows."""
+    merged = silver.silver_merge(*pipeline.stored_silver(spark, sf_dir))
+    return present(climate.global_index(merged, panels.PANEL_CONFIG))
+
+
 _NOT_NULL = ["temp_anom", "precip_anom", "price_spot", "price_front_fut", "realized_vol_30d"]
 
 
