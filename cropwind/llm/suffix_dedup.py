@@ -302,7 +302,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, anchor_bytes: int = AN
     k = min(anchor_bytes, length)
     anchors = written(rows.select("text", *KEYS).mapInArrow(_scan(length, k), _ANCHORS), "suffix-anchors")
     seen = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
-    shared = seen.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
+    # Written, so that a hot anchor string meets one row and its side of the join can be split.
+    shared = written(seen.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")), "suffix-strings")
     found = written(anchors.join(shared, "gram"), "suffix-shared")
     blocks = found.groupBy("gram", "block").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "at", "before", "reach", "mixed")))
     blocks = written(blocks, "suffix-blocks")
