@@ -43,6 +43,9 @@ SKETCH_BITS = 18
 #: Sets of one prefix list that a task holds in one chunk.
 LIST_LIMIT = 4000
 SIGNATURE_WORDS = 4
+#: A list of documents up to this size is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+PLACE_BYTES = 64
 
 
 def _count_cells(words: int):
@@ -90,14 +93,14 @@ def _prefixes(words: int, threshold: int, level: np.ndarray):
     return prefixes
 
 
-def _sets(words: int):
+def _sets(words: int, others: tuple[str, ...]):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 found = [s.view(np.int64) for s in shingle_sets(part.column("text"), words)]
                 at = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("sid"), pa.ListArray.from_arrays(at, np.concatenate(found))], names=["sid", "elements"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.ListArray.from_arrays(at, np.concatenate(found))], names=[*others, "elements"])
 
     return sets
 
@@ -115,14 +118,20 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     apart = sum(F.bit_count(F.col("sign_a")[i].bitwiseXOR(F.col("sign_b")[i])) for i in range(SIGNATURE_WORDS))
     fits = _linked(threshold)
     close = written(close.where(fits(F.abs(F.col("n_a") - F.col("n_b"))) & fits(apart)).select("a", "b", "n_a", "n_b"), "jaccard-close")
-    wanted = close.select(F.col("a").alias("sid")).union(close.select(F.col("b").alias("sid"))).distinct()
-    copies = wanted.join(classes.select("sid", "copy"), "sid")
-    texts = docs.select("text", F.xxhash64("text").alias("copy")).join(copies, "copy")
-    elements = written(texts.select("sid", "text").mapInArrow(_sets(words), "sid long, elements array<long>").dropDuplicates(["sid"]), "jaccard-sets")
-    both = close.join(elements.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a")
-    both = both.join(elements.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b")
+    # The text of one document of each class gives its set; each pair's smaller side moves once, to its leader.
+    places = classes.select("sid", "copy", "doc_id")
+    texts = docs.select("text", F.xxhash64("text").alias("copy"), "doc_id")
+
+    def elements(wanted: DataFrame, *others: str) -> DataFrame:
+        wanted = written(wanted, "jaccard-wanted")
+        small = F.broadcast(wanted) if wanted.count() * PLACE_BYTES <= BROADCAST_BYTES else wanted
+        rows = texts.join(small, (texts["copy"] == small["copy"]) & texts["doc_id"].eqNullSafe(small["doc_id"])).select(*others, "text")
+        return rows.mapInArrow(_sets(words, others), ", ".join(f"{c} long" for c in others) + ", elements array<long>")
+
+    y = elements(close.join(places, close["b"] == places["sid"]).drop("sid"), "a", "b", "n_a", "n_b").withColumnRenamed("elements", "y")
+    x = elements(close.select(F.col("a").alias("sid")).distinct().join(places, "sid"), "sid").withColumnsRenamed({"sid": "a", "elements": "x"})
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(fits(F.col("n_a") + F.col("n_b") - 2 * shared)).select("a", "b")
+    return y.join(x, "a").where(fits(F.col("n_a") + F.col("n_b") - 2 * shared)).select("a", "b").distinct()
 
 
 def _skip_blocks(threshold: int):
@@ -201,13 +210,14 @@ def set_components(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int =
         _prefixes(words, threshold, level.astype(np.uint8)), "doc_id long, copy long, n long, sid long, head array<long>, sign array<long>"
     )
     own = written(scan, "jaccard-documents")
-    classes = own.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("copy").alias("copy"), F.first("head").alias("head"), F.first("sign").alias("sign"))
+    classes = own.where("n > 0").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "copy", "doc_id", "head", "sign")))
     classes = written(classes, "jaccard-classes")
-    postings = classes.select("sid", "n", F.posexplode("head").alias("position", "token"))
-    lists = postings.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("last"), F.count("*").alias("members"))
+    postings = classes.select("sid", F.posexplode("head").alias("position", "token"))
     # Written, so that a hot list meets one row and its side of the join can be split.
-    lists = written(lists.where("lead <> last").select("token", "lead", "members"), "jaccard-lists")
-    shared = written(postings.join(lists, "token"), "jaccard-postings")
+    common = written(postings.groupBy("token").count().where("count > 1").select("token"), "jaccard-tokens")
+    found = written(postings.join(common, "token"), "jaccard-found")
+    lists = written(found.groupBy("token").agg(F.min("sid").alias("lead"), F.count("*").alias("members")), "jaccard-lists")
+    shared = written(found.join(lists, "token").join(classes.select("sid", "n"), "sid"), "jaccard-postings")
 
     led = shared.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     first = written(_verified(docs, classes, led, words, threshold), "jaccard-first")
