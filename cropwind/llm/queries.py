@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cropwind.llm import jaccard_join, mixing, quality_rules, suffix_dedup, url_filter
+from cropwind.llm import html_extract, jaccard_join, mixing, quality_rules, suffix_dedup, url_filter, vantage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +31,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.listed_urls(pages, table(spark, sf_dir, "labels")))
 
 
+def op6_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % vantage.QUERY_EVERY == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_jaccard_join, op5_url_filter, op9_mixing)}
-ORACLES: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL}
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages, table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_jaccard_join, op5_url_filter, op6_vantage, op9_mixing, op10_html_extract)}
+ORACLES: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op6_vantage": vantage.SQL, "op9_mixing": mixing.SQL}
