@@ -7,12 +7,12 @@ elements: ``(100 + t) * |difference| <= (100 - t) * (|x| + |y|)``.
 * Equal sets are one class from the start, however many copies there are.
 * Elements are ordered from rare to common (a fixed-size count sketch over all documents gives the
   order; any order is right, a rare one is fast). Sets that link share an element of their prefixes.
-* *Answers from related sets*: every prefix list compares its members with one leader only, the
-  smallest set of the list. A member that links takes over the leader's component, and with it all
+* *Answers from related sets*: every prefix list compares its members with one leader only, the set
+  with the most elements in lists: an original, as its edited copies have elements of their own first. A member that links takes over the leader's component, and with it all
   links inside the component; only members of lists that still hold several components go on.
 * *Block skipping*: those lists are kept in blocks of equal position. For the first element that two
   sets share, the positions add up to no more than their difference, so a set at position i skips
-  every block beyond its bound. Size and a 256-bit parity signature, whose distance never exceeds the
+  every block beyond its bound. Size and a 1,024-bit parity signature, whose distance never exceeds the
   difference, drop the rest; what is left is compared exactly.
 * A list of more than ``list_limit`` sets is dealt to tasks as pairs of chunks, so no task holds more
   than two chunks. Nothing is capped.
@@ -42,7 +42,8 @@ THRESHOLD = 90
 SKETCH_BITS = 18
 #: Sets of one prefix list that a task holds in one chunk.
 LIST_LIMIT = 4000
-SIGNATURE_WORDS = 4
+#: 64-bit words of a set's parity signature.
+SIGNATURE_WORDS = 16
 #: A list of documents up to this size is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 PLACE_BYTES = 64
@@ -216,7 +217,9 @@ def set_components(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int =
     # Written, so that a hot list meets one row and its side of the join can be split.
     common = written(postings.groupBy("token").count().where("count > 1").select("token"), "jaccard-tokens")
     found = written(postings.join(common, "token"), "jaccard-found")
-    lists = written(found.groupBy("token").agg(F.min("sid").alias("lead"), F.count("*").alias("members")), "jaccard-lists")
+    weights = found.groupBy("sid").agg(F.count("*").alias("weight"))
+    leads = found.join(weights, "sid").groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("best"), F.count("*").alias("members"))
+    lists = written(leads.select("token", F.col("best.sid").alias("lead"), "members"), "jaccard-lists")
     shared = written(found.join(lists, "token").join(classes.select("sid", "n"), "sid"), "jaccard-postings")
 
     led = shared.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
