@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropwind.llm import html_extract, jaccard_join, mixing, quality_rules, suffix_dedup, url_filter, vantage
+from cropwind.llm import cross_entropy, html_extract, jaccard_join, mixing, pieces, quality_rules, suffix_dedup, tool_calls, url_filter, vantage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,15 @@ def op6_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % vantage.QUERY_EVERY == 0)
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(tool_calls.exchanges(table(spark, sf_dir, "conversations")), tool_calls.ANSWER)
+
+
+def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return cross_entropy.score(table(spark, sf_dir, "documents"), good)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -44,5 +57,5 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.train(pages, table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op4_jaccard_join, op5_url_filter, op6_vantage, op9_mixing, op10_html_extract)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_pieces, op4_jaccard_join, op5_url_filter, op6_vantage, op7_tool_calls, op8_cross_entropy, op9_mixing, op10_html_extract)}
 ORACLES: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op6_vantage": vantage.SQL, "op9_mixing": mixing.SQL}

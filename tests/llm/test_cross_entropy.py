@@ -1,0 +1,71 @@
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import pytest
+
+from cropwind.llm import cross_entropy as ce
+from cropwind.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(rows, target):
+    """Scores from dictionaries of counts."""
+    three, ctx, two, mid, one = ([Counter(), Counter()] for _ in range(5))
+    for i, text in rows:
+        t = ["^", "^", *(text or "")]
+        for k in range(2, len(t)):
+            for m in (0, 1) if i in target else (0,):
+                three[m][t[k - 2], t[k - 1], t[k]] += 1
+                ctx[m][t[k - 2], t[k - 1]] += 1
+                two[m][t[k - 1], t[k]] += 1
+                mid[m][t[k - 1]] += 1
+                one[m][t[k]] += 1
+    v, n = len(one[0]), [sum(one[0].values()), sum(one[1].values())]
+    share = lambda a, b: a / b if b else 0.0
+
+    def loss(m, a, b, c):
+        return -math.log2(ce.MIX[0] * share(three[m][a, b, c], ctx[m][a, b]) + ce.MIX[1] * share(two[m][b, c], mid[m][b]) + ce.MIX[2] * share(one[m][c], n[m]) + ce.MIX[3] / v)
+
+    out = []
+    for i, text in rows:
+        t = ["^", "^", *(text or "")]
+        d = [loss(1, *t[k - 2 : k + 1]) - loss(0, *t[k - 2 : k + 1]) for k in range(2, len(t))] if n[1] else []
+        out.append((i, len(t) - 2, sum(d) / len(d) if d else None))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def check(got, want):
+    got = sorted(map(tuple, got), key=lambda r: (r[0] is None, r[0] or 0))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all((a[2] is None) == (b[2] is None) and (a[2] is None or a[2] == pytest.approx(b[2], abs=1e-9)) for a, b in zip(got, want))
+
+
+def test_small_cases_against_counts(spark, monkeypatch):
+    monkeypatch.setattr(ce, "BLOCK_CHARS", 40)
+    rows = [(1, "abc abd"), (2, "abcé🙂 " * 9), (3, None), (4, ""), (5, "a"), (6, "ab"), (None, "zzz"), (7, "abc abd"), (7, "abc abd")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, target string")
+    for chosen in ([1, 2, 5], []):
+        check(ce.score(df, spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect(), brute(rows, set(chosen)))
+    assert ce.score(df.where("false"), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+
+
+def test_query_over_the_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in queries.table(spark, SF, "documents").collect()]
+    labels = {r.doc_id: r for r in queries.table(spark, SF, "labels").collect()}
+    out = queries.op8_cross_entropy(spark, SF).collect()
+    check(out, brute(rows, {i for i, r in labels.items() if r.quality == 1 and r.toxic == 0}))
+
+
+def test_held_out_quality_is_ranked(spark):
+    """Half of the good documents make the model; it ranks the other half before the bad ones."""
+    sf = "/root/testdata/sf0.01"
+    labels = queries.table(spark, sf, "labels")
+    good = labels.where("quality = 1 AND doc_id % 2 = 0")
+    scores = {r.doc_id: r.score for r in ce.score(queries.table(spark, sf, "documents"), good).collect()}
+    held = [(scores[r.doc_id], r.quality) for r in labels.where("quality = 0 OR doc_id % 2 = 1").collect() if scores.get(r.doc_id) is not None]
+    good, bad = ([s for s, q in held if q == k] for k in (1, 0))
+    wins = sum((g < b) + (g == b) / 2 for g in good for b in bad)
+    assert wins / (len(good) * len(bad)) >= 0.8
