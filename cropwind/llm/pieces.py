@@ -3,7 +3,8 @@
 The model file is a protobuf message; its few fields that matter are read here: pieces with scores and
 types, the model type, byte fallback, and the normaliser. From them a tokenizer is rebuilt: the
 normaliser (precompiled character map, white space clean-up, marker in front), the metaspace marker in
-place of spaces, unigram scores or merges ranked by score, and byte fallback for unknown characters.
+place of spaces, unigram scores or merges ranked by score, and byte fallback for unknown characters
+(by the backend for merges; for unigram models its unknown characters are put into bytes here).
 Batches are encoded by the library's threads, as many as a task has cores.
 
 If no piece holds a marker after another character, no piece crosses from a word into the next marker.
@@ -31,13 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+from tokenizers import Regex, Tokenizer, models, normalizers
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Fixed value: what an unknown piece decodes to.
+UNKNOWN_TEXT = " \u2047 "
 #: Characters encoded in one call; a longer text is encoded alone.
 CALL_CHARS = 1 << 20
 #: Characters of segments whose ids a task remembers; beyond it the memory starts anew.
@@ -142,7 +145,9 @@ def backend(data: bytes):
     """A tokenizer of the tokenizers library that gives the model's ids."""
     model = parse_model(data)
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback)
+        # Texts must not match pieces that stand for no text, so those get names that no text has.
+        named = [p if kind in (NORMAL, USER) else f"\U0010ffff{i}\U0010ffff" for i, (p, _, kind) in enumerate(model.pieces)]
+        core = models.Unigram([(n, s) for n, (_, s, _) in zip(named, model.pieces, strict=True)], model.unk_id, False)
     elif model.kind == BPE:
         core = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, _merges(model), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback)
     else:
@@ -159,7 +164,6 @@ def backend(data: bytes):
         steps.append(normalizers.Replace(" ", MARK))
     if steps:
         out.normalizer = normalizers.Sequence(steps)
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.add_prefix else [])])
     return out
 
 
@@ -173,20 +177,57 @@ class Encoder:
         self.segments = Tokenizer(self.backend.model)
         self.known: dict[str, list[int]] = {}
         self.chars = 0
+        self.texts = [p for p, _, _ in model.pieces]
+        self.special = {i for i, (_, _, kind) in enumerate(model.pieces) if kind != NORMAL}
+        self.front = model.add_prefix
+        self.model = model
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.expands = model.kind == UNIGRAM and model.byte_fallback and len(self.bytes) == 256
+
+    def _batch(self, tokenizer: Tokenizer, texts: list[str]) -> list:
+        """Encodings of a batch by the library's threads; the fast form lacks the characters that ``_ids`` needs."""
+        encode = tokenizer.encode_batch if self.expands else tokenizer.encode_batch_fast
+        return encode(texts, add_special_tokens=False)
+
+    def _ids(self, encoding) -> list[int]:
+        """The ids; for unigram models, an unknown character is put into its bytes here."""
+        ids, unk = encoding.ids, self.model.unk_id
+        if not self.expands or unk not in ids:
+            return ids
+        return [x for i, t in zip(ids, encoding.tokens, strict=True) for x in ([self.bytes[b] for b in t.encode()] if i == unk else [i])]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if not self.segmented:
-            return [e.ids for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+            return [self._ids(e) for e in self._batch(self.backend, texts)]
         normal = self.backend.normalizer.normalize_str if self.backend.normalizer else str
         parts = [_SEGMENT.findall(normal(t)) for t in texts]
         new = list(set(chain.from_iterable(parts)).difference(self.known))
         self.chars += sum(map(len, new))
-        self.known.update(zip(new, (e.ids for e in self.segments.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        self.known.update(zip(new, (self._ids(e) for e in self._batch(self.segments, new)), strict=True))
         ids = [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
         if self.chars > KNOWN_CHARS:
             self.known, self.chars = {}, 0
         return ids
 
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts of ids: bytes are put together, control pieces give nothing, unknown ones a mark."""
+        out = []
+        for one in ids:
+            if self.special.isdisjoint(one):
+                text = "".join(map(self.texts.__getitem__, one))
+            else:
+                text = b"".join(self._surface(i) for i in one).decode(errors="replace")
+            text = text.replace(MARK, " ")
+            out.append(text[1:] if self.front and text[:1] == " " else text)
+        return out
+
+    def _surface(self, i: int) -> bytes:
+        piece, _, kind = self.model.pieces[i]
+        if kind == BYTE:
+            return bytes([self.byte_of[i]])
+        return b"" if kind == CONTROL else UNKNOWN_TEXT.encode() if kind == UNKNOWN else piece.encode()
+
 
 def _threads(n: int) -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if n > 1 else "false"
@@ -226,7 +267,7 @@ def encode(docs: DataFrame, data: bytes, threads: int | None = None, decode: boo
                 flat = np.concatenate([np.asarray(i, np.int32) for i in ids]) if ids else np.zeros(0, np.int32)
                 columns = [batch.column("doc_id").slice(first, end - first), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))]
                 if decode:
-                    columns.append(pa.array(encoder.backend.decode_batch(ids, skip_special_tokens=False), pa.string()))
+                    columns.append(pa.array(encoder.decode(ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
