@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropwind.llm.graph import components
@@ -42,8 +42,10 @@ THRESHOLD = 90
 SKETCH_BITS = 18
 #: Sets of one prefix list that a task holds in one chunk.
 LIST_LIMIT = 4000
-#: 64-bit words of a set's parity signature.
+#: 64-bit words of a set's parity signature. A larger set has a wide one besides, doubled until
+#: there are no more than so many elements for each 16 words.
 SIGNATURE_WORDS = 16
+SIGNATURE_ELEMENTS = 1000
 #: A list of documents up to this size is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 PLACE_BYTES = 64
@@ -70,25 +72,36 @@ def rarity(docs: DataFrame, words: int = SHINGLE_WORDS) -> np.ndarray:
     return level
 
 
+def _signature(elements: np.ndarray) -> np.ndarray:
+    """Parity of the elements on each bit. Halves put together by exclusive or give the narrower signature."""
+    words = SIGNATURE_WORDS
+    while words * SIGNATURE_ELEMENTS < len(elements) * SIGNATURE_WORDS:
+        words *= 2
+    bits = np.bincount((elements & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(words: int, threshold: int, level: np.ndarray):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid, heads, signs = [], [], [], []
+            n, sid, heads, signs, wides = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 n.append(len(s))
                 sid.append(int(mixed(np.array([np.add.reduce(s) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
                 need = -(-threshold * len(s) // 100)
                 order = np.lexsort((s, level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 heads.append(s[order[: len(s) - need + 1 if len(s) else 0]].view(np.int64))
-                bits = np.bincount((s & np.uint64(64 * SIGNATURE_WORDS - 1)).astype(np.int64), minlength=64 * SIGNATURE_WORDS) & 1
-                signs.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                wide = _signature(s)
+                wides.append(wide if len(wide) > SIGNATURE_WORDS else wide[:0])
+                signs.append(np.bitwise_xor.reduce(wide.reshape(-1, SIGNATURE_WORDS), axis=0))
             at = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
             sign = np.concatenate(signs) if signs else np.zeros(0, np.int64)
             ends = np.arange(0, len(sign) + 1, SIGNATURE_WORDS, dtype=np.int32)
+            wide_at = np.concatenate(([0], np.cumsum([len(w) for w in wides]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("copy"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.ListArray.from_arrays(ends, sign)],
-                names=["doc_id", "copy", "n", "sid", "head", "sign"],
+                [batch.column("doc_id"), batch.column("copy"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.ListArray.from_arrays(ends, sign), pa.ListArray.from_arrays(wide_at, np.concatenate(wides or [flat[:0]]))],
+                names=["doc_id", "copy", "n", "sid", "head", "sign", "wide"],
             )
 
     return prefixes
@@ -113,12 +126,22 @@ def _linked(threshold: int):
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets link, compared exactly."""
-    size = classes.select("sid", "n", "sign")
-    left, right = (size.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}")) for x in "ab")
+    # Sets that may link differ by a factor of two at most in the width of their signatures.
+    whole = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("sign"))
+    left, right = (classes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}"), whole.alias(f"wide_{x}")) for x in "ab")
     close = pairs.join(left, "a").join(right, "b")
     apart = sum(F.bit_count(F.col("sign_a")[i].bitwiseXOR(F.col("sign_b")[i])) for i in range(SIGNATURE_WORDS))
     fits = _linked(threshold)
-    close = written(close.where(fits(F.abs(F.col("n_a") - F.col("n_b"))) & fits(apart)).select("a", "b", "n_a", "n_b"), "jaccard-close")
+    width = F.least(F.size("wide_a"), F.size("wide_b"))
+
+    def narrowed(x: str) -> Column:
+        halves = F.zip_with(F.slice(x, 1, width), F.slice(x, width + 1, width), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > width, halves).otherwise(F.col(x))
+
+    # After the size and the narrow signature have dropped most pairs.
+    close = close.where(fits(F.abs(F.col("n_a") - F.col("n_b"))) & fits(apart)).withColumns({"x": narrowed("wide_a"), "y": narrowed("wide_b")})
+    bits = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    close = written(close.where(fits(bits)).select("a", "b", "n_a", "n_b"), "jaccard-close")
     # The text of one document of each class gives its set; each pair's smaller side moves once, to its leader.
     places = classes.select("sid", "copy", "doc_id")
     texts = docs.select("text", F.xxhash64("text").alias("copy"), "doc_id")
@@ -208,10 +231,10 @@ def set_components(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int =
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     level = rarity(docs, words)
     scan = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(
-        _prefixes(words, threshold, level.astype(np.uint8)), "doc_id long, copy long, n long, sid long, head array<long>, sign array<long>"
+        _prefixes(words, threshold, level.astype(np.uint8)), "doc_id long, copy long, n long, sid long, head array<long>, sign array<long>, wide array<long>"
     )
     own = written(scan, "jaccard-documents")
-    classes = own.where("n > 0").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "copy", "doc_id", "head", "sign")))
+    classes = own.where("n > 0").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "copy", "doc_id", "head", "sign", "wide")))
     classes = written(classes, "jaccard-classes")
     postings = classes.select("sid", F.posexplode("head").alias("position", "token"))
     # Written, so that a hot list meets one row and its side of the join can be split.

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cropwind.llm import jaccard_join as jj
@@ -71,6 +72,21 @@ def test_equals_brute_force(spark, seed):
     assert got(spark, rows) == brute(rows)
 
 
+def test_signatures_bound_the_difference_at_every_width():
+    r = np.random.default_rng(0)
+    x = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64))
+    y = np.concatenate((x[200:], r.integers(0, 2**63, 150, dtype=np.uint64)))
+    wide, other = jj._signature(x), jj._signature(y)
+    assert len(wide) == len(other) == 128 and len(jj._signature(x[:900])) == jj.SIGNATURE_WORDS
+    while True:
+        apart = int(np.bitwise_count((wide ^ other).view(np.uint64)).sum())
+        assert apart <= 350 and (len(wide) < 128 or apart > 300)
+        if len(wide) == jj.SIGNATURE_WORDS:
+            break
+        wide, other = (w[: len(w) // 2] ^ w[len(w) // 2 :] for w in (wide, other))
+    assert (wide == np.bitwise_xor.reduce(jj._signature(x).reshape(-1, jj.SIGNATURE_WORDS), axis=0)).all()
+
+
 def test_lists_in_chunks_give_the_same(spark):
     rows = made(2)
     assert got(spark, rows, list_limit=2) == brute(rows)
