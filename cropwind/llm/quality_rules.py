@@ -25,8 +25,12 @@ WINDOW = 3
 MIN_WORDS_FOR_HISTOGRAM = 100
 #: Words that a language's reference must rest on.
 MIN_REFERENCE_WORDS = 2_000
+#: Limits of a long text; a text of n words may be farther by the allowance divided by n, as short
+#: histograms scatter.
 MAX_CHARACTER_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.25
+CHARACTER_ALLOWANCE = 3.0
+WORD_ALLOWANCE = 6.0
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Character classes counted by pattern; white space and symbols come with the base counts, what is left is the last class.
@@ -135,7 +139,9 @@ def judged(counts: DataFrame, reference: DataFrame) -> DataFrame:
         "word_distance": F.when(F.col("n_words") >= MIN_WORDS_FOR_HISTOGRAM, distance(F.col("q_words"), F.col("r_words"))),
         "base_failed": base_failed(),
     })
-    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHARACTER_DISTANCE) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE)
+    scatter = F.try_divide(F.lit(1.0), F.col("n_words"))
+    far = F.coalesce(F.col("char_distance") > MAX_CHARACTER_DISTANCE + CHARACTER_ALLOWANCE * scatter, F.lit(False))
+    far |= F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE + WORD_ALLOWANCE * scatter, F.lit(False))
     return rows.withColumn("kept", ~F.col("base_failed") & ~far).drop("q_lang", "q_chars", "q_words", "r_lang", "r_chars", "r_words")
 
 

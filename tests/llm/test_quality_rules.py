@@ -54,8 +54,9 @@ def brute(rows):
     for i, text, lang in rows:
         b, (chars, words), ref = base(text), histograms(text, lang), sums.get(lang)
         ref = ref if ref and ref[0] >= q.MIN_REFERENCE_WORDS else [0, None, None]
-        far = (js(chars, ref[1]) or 0) > q.MAX_CHARACTER_DISTANCE
-        far |= b[0] >= q.MIN_WORDS_FOR_HISTOGRAM and (js(words, ref[2]) or 0) > q.MAX_WORD_DISTANCE
+        scatter = 1 / b[0] if b[0] else 0
+        far = (js(chars, ref[1]) or 0) > q.MAX_CHARACTER_DISTANCE + q.CHARACTER_ALLOWANCE * scatter
+        far |= b[0] >= q.MIN_WORDS_FOR_HISTOGRAM and (js(words, ref[2]) or 0) > q.MAX_WORD_DISTANCE + q.WORD_ALLOWANCE * scatter
         out.append((i, *b, not b[5] and not far))
     return sorted(out, key=str)
 
