@@ -28,3 +28,8 @@ def require_columns(available: Iterable[str], needed: Iterable[str], error: type
     missing = [name for name in needed if name not in available]
     if missing:
         raise error(f"missing columns {missing}; available: {available}")
+
+
+def text(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -13,41 +13,50 @@ from pyspark.sql import types as T
 # Ship this module's functions with the task, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Eigenvalues of the unit-diagonal normal matrix below this count as zero.
-RANK_CUTOFF = 1e-11
-
-
-def solve_normal(gram: np.ndarray, xty: np.ndarray) -> np.ndarray:
-    """Minimum-norm least-squares coefficients of a stack of normal equations (n, k, k), (n, k)."""
-    scale = np.sqrt(np.diagonal(gram, axis1=1, axis2=2))
+# Eigenvalues of a correlation matrix below this, times its size, count as zero.
+RANK_CUTOFF = 1e-13
+
+
+def solve_centred(cov: np.ndarray, right: np.ndarray, means: np.ndarray, y_mean: np.ndarray) -> np.ndarray:
+    """Minimum-norm least-squares coefficients, intercept first, of a stack of centred systems.
+
+    ``cov`` (n, f, f) and ``right`` (n, f) are covariances of the regressors with each other and
+    with y.  Centring keeps the digits of a regressor that varies little around a large mean.
+    """
+    n, f = right.shape
+    if not f:
+        return y_mean[:, None].copy()
+    scale = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0.0))
+    # What varies by rounding only is constant.
+    scale = np.where(scale > 4 * np.finfo(float).eps * np.abs(means), scale, 0.0)
     inverse = np.divide(1.0, scale, out=np.zeros_like(scale), where=scale > 0)
-    unit = gram * inverse[:, :, None] * inverse[:, None, :]
-    values, vectors = np.linalg.eigh(unit)
-    kept = values > RANK_CUTOFF
+    values, vectors = np.linalg.eigh(cov * inverse[:, :, None] * inverse[:, None, :])
+    kept = values > RANK_CUTOFF * f
     weights = np.divide(1.0, values, out=np.zeros_like(values), where=kept)
-    rotated = np.einsum("nij,ni->nj", vectors, xty * inverse)
-    beta = np.einsum("nij,nj->ni", vectors, weights * rotated) * inverse
+    slopes = np.einsum("nij,nj->ni", vectors, weights * np.einsum("nij,ni->nj", vectors, right * inverse)) * inverse
+    beta = np.column_stack((y_mean - np.einsum("ni,ni->n", means, slopes), slopes))
     for i in np.flatnonzero(~kept.all(axis=1)):
-        # Any solution minus its part in the null space of X is the one of least norm.
-        # An all-zero column has no scale; its own axis belongs to the null space.
-        empty = np.eye(len(scale[i]))[:, scale[i] == 0]
-        null = np.column_stack([vectors[i][:, ~kept[i]] * inverse[i][:, None], empty])
-        basis, weight, _ = np.linalg.svd(null, full_matrices=False)
-        basis = basis[:, weight > 1e-12 * max(weight.max(), 1e-300)]
+        # Any solution minus its part in the null space of (1, X) is the one of least norm.  A
+        # constant column has no scale; with the intercept it makes a null vector of its own.
+        axes = np.column_stack((vectors[i][:, ~kept[i]] * inverse[i][:, None], np.eye(f)[:, scale[i] == 0]))
+        axes = axes[:, np.abs(axes).max(axis=0) > 0]
+        basis, weight, _ = np.linalg.svd(np.vstack((-means[i] @ axes, axes)), full_matrices=False)
+        basis = basis[:, weight > 1e-12 * max(weight.max(initial=0.0), 1e-300)]
         beta[i] -= basis @ (basis.T @ beta[i])
     return beta
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def solve_packed(gram: pd.Series, xty: pd.Series) -> pd.Series:
-    """Row-wise: packed upper triangle and right side to coefficients, intercept first."""
-    if gram.empty:
+def solve_packed(cov: pd.Series, right: pd.Series, means: pd.Series, y_mean: pd.Series) -> pd.Series:
+    """Row-wise: packed upper triangle, right side and means to coefficients, intercept first."""
+    if cov.empty:
         return pd.Series([], dtype=object)
-    right = np.stack(xty.to_numpy()).astype(float)
-    packed = np.stack(gram.to_numpy()).astype(float)
-    k = right.shape[1]
-    full = np.zeros((len(right), k, k))
-    rows, cols = np.triu_indices(k)
+    sides = np.stack(right.to_numpy()).astype(float).reshape(len(right), -1)
+    packed = np.stack(cov.to_numpy()).astype(float).reshape(len(right), -1)
+    f = sides.shape[1]
+    full = np.zeros((len(sides), f, f))
+    rows, cols = np.triu_indices(f)
     full[:, rows, cols] = packed
     full[:, cols, rows] = packed
-    return pd.Series(list(solve_normal(full, right)))
+    centres = np.stack(means.to_numpy()).astype(float).reshape(len(sides), -1)
+    return pd.Series(list(solve_centred(full, sides, centres, y_mean.to_numpy(dtype=float))))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cropwind.functions.columns import quoted, require_columns
+from cropwind.functions.columns import quoted, require_columns, text
 from cropwind.functions.numeric import logistic_scale
 from cropwind.sources.config import RegionConfig
 
@@ -40,7 +40,7 @@ def configured_score(
     present = [f for f in factors if f in columns]
     if not present:
         raise ValueError("none of the factors is a column of the table")
-    weights = [f"{map_column}['{f}']" for f in present]
+    weights = [f"{map_column}[{text(f)}]" for f in present]
     total = " + ".join(f"coalesce({w}, 0D)" for w in weights)
     # A factor the row does not list adds nothing; a listed factor that is NULL spoils the score.
     mix = " + ".join(f"if({w} IS NULL, 0D, {w} * {quoted(f)})" for f, w in zip(present, weights, strict=True))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropwind.functions.calendar import forecast_date, weekly_steps
-from cropwind.functions.columns import as_names
+from cropwind.functions.columns import as_names, text
 from cropwind.operators.design import (
     RISK,
     Design,
@@ -44,8 +44,8 @@ def _known_part(features: Iterable[str], period: int) -> str:
         elif name == "season_cos":
             value = f"cos({turn})"
         else:
-            value = f"coalesce(try_element_at(exog_last, '{name}'), 0D)"
-        terms.append(f"coeffs['{name}'] * {value}")
+            value = f"coalesce(try_element_at(exog_last, {text(name)}), 0D)"
+        terms.append(f"coeffs[{text(name)}] * {value}")
     return " + ".join(terms)
 
 

@@ -42,6 +42,7 @@ SENTENCES = {
     "closing": "Climate risk at %s on a 0–100 scale justifies this level of protection for a %s %s.",
 }
 
+# The recommendation table's columns.
 RECOMMENDATION_COLUMNS = [
     "commodity",
     "profile",

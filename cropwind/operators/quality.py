@@ -20,6 +20,7 @@ class Rule:
     non_negative: bool = False
 
 
+# The silver table's contract.
 SILVER_CONTRACT = (
     Rule("date", "date", nullable=False),
     Rule("region_id", "string", nullable=False),

@@ -15,6 +15,7 @@ from cropwind.operators.design import RISK
 from cropwind.operators.grouped import keep_first
 from cropwind.operators.market import price_column
 
+# Price columns in order of choice.
 REPORT_PRICES = ("price_spot", "price_front_fut", "settlement", "close")
 
 
@@ -119,7 +120,7 @@ def price_history(market: DataFrame, window: str = "12M", commodity: str | None
     return trailing_window(chosen, window).select("commodity", "date", F.col(price).alias("price"))
 
 
-def price_history_dedup(market: DataFrame, order: Iterable[str | Column] = ("date",), commodity: str | None = None) -> DataFrame:
+def price_history_dedup(market: DataFrame, order: Iterable[str | Column], commodity: str | None = None) -> DataFrame:
     """First priced row per commodity and date, ``order`` deciding which is first."""
     chosen = market if commodity is None else market.where(same_text("commodity", commodity))
     priced = chosen.dropna(subset=["date", "price_spot"])
@@ -134,6 +135,7 @@ def risk_history(index: DataFrame, window: str = "12M") -> DataFrame:
 
 def hedge_summary_table(hedge: DataFrame) -> DataFrame:
     """Label and text rows of each recommendation, in report order."""
+    # The labels.
     lines = [
         ("Profile", capitalised("profile")),
         ("Role", capitalised("role")),
@@ -156,6 +158,7 @@ def hedge_summary_table(hedge: DataFrame) -> DataFrame:
 
 def hedge_detail_table(hedge: DataFrame) -> DataFrame:
     """Field and value rows of each recommendation as the dashboard lists them."""
+    # The labels.
     fields = [
         ("Commodity", "commodity"),
         ("Profile", "profile"),

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropwind.functions.calendar import parse_date
 from cropwind.functions.columns import require_columns
-from cropwind.operators.grouped import keep_last
+from cropwind.operators.grouped import LANDED, is_scan, keep_last, landed
 from cropwind.sources.config import RegionConfig
 
+# The aligned table's columns.
 ALIGNED_COLUMNS = [
     "date",
     "region_id",
@@ -48,7 +49,8 @@ def incremental_update(
     """Union of both batches with one row per key; the new batch wins, then the latest row in it.
 
     ``order`` names the column that says which of two rows of one batch is later.  Without it
-    the position in the batch decides, so the batch must come straight from a file or table.
+    the landing order decides for a batch that comes straight from files or was tagged by
+    ``landed``; for any other batch rows have no order, and the greatest row of a key is kept.
     Rows without a date are dropped.  A first load is reduced to one row per key as well, so
     applying the same batch twice changes nothing.
     """
@@ -59,14 +61,31 @@ def incremental_update(
     for number, batch in batches:
         if batch is None:
             continue
-        position = F.col(order).cast("bigint") if order else F.monotonically_increasing_id()
+        if order is None and LANDED not in batch.columns and is_scan(batch):
+            batch = landed(batch)
+        position = _position(batch, order)
         tagged.append(
             batch.withColumns({"_batch": F.lit(number), "_position": position})
+            .drop(LANDED)
             .withColumn(date, parse_date(date) if batch.schema[date].dataType.typeName() != "date" else F.col(date))
             .where(F.col(date).isNotNull())
         )
     combined = tagged[0] if len(tagged) == 1 else tagged[0].unionByName(tagged[1], allowMissingColumns=True)
-    return keep_last(combined, on, ["_batch", "_position"]).drop("_batch", "_position")
+    values = F.struct(*[c for c in combined.columns if c not in ("_batch", "_position")])
+    return keep_last(combined, on, ["_batch", "_position", values]).drop("_batch", "_position")
+
+
+def _position(batch: DataFrame, order: str | None) -> Column:
+    """The order value or the landing order in one form, so that two batches can be put together."""
+    none = F.lit(None)
+    place = F.col(LANDED) if order is None and LANDED in batch.columns else None
+    return F.struct(
+        (F.col(order) if order else none).cast("bigint").alias("order"),
+        (place["time"] if place is not None else none).cast("timestamp").alias("time"),
+        (place["file"] if place is not None else none).cast("string").alias("file"),
+        (place["block"] if place is not None else none).cast("bigint").alias("block"),
+        (place["row"] if place is not None else none).cast("bigint").alias("row"),
+    )
 
 
 def align_regions(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,6 +200,7 @@ def regions_without_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Silver layer --------------------------------------------------------------------------------
 
 _SPLIT = dt.date(1999, 1, 1)
+_SPLIT_SQL = f"DATE '{_SPLIT}'"
 _OVERLAP = dt.date(1998, 1, 1)
 
 
@@ -587,7 +589,7 @@ def close_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = closes.select(
         "commodity", "date", (F.col("close") * 2).alias("Close_ZS=F"), F.col("close").alias("Adj Close_ZS=F")
     )
-    return present(landing.daily_close(quotes))
+    return present(landing.daily_close(quotes, order="date"))
 
 
 @_register(
@@ -645,6 +647,84 @@ def silver_store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(store.read())
 
 
+@_register(_MARKET)
+def silver_store_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store reloaded after an upsert died between its two writes: what was staged is dropped."""
+    prices = written(pipeline.market_table(spark, sf_dir), "market")
+    store = tables.SilverStore(spark, scratch_path(spark, "store"), tables.MARKET, ["date", "commodity"])
+    late = prices.where(F.col("date") >= F.lit(_SPLIT))
+    store.overwrite(prices.withColumn("price_spot", F.col("price_spot") * 3))
+    store._stage(late.withColumn("price_spot", F.col("price_spot") * 2), "died", None)
+    store.overwrite(prices)
+    store.upsert(late, "next")
+    return present(store.read())
+
+
+@_register(_MARKET)
+def silver_store_same_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows under the id of the batch before: they are merged like any others."""
+    prices = written(pipeline.market_table(spark, sf_dir), "market")
+    store = tables.SilverStore(spark, scratch_path(spark, "store"), tables.MARKET, ["date", "commodity"])
+    late = F.col("date") >= F.lit(_SPLIT)
+    store.upsert(prices.where(~late), "one")
+    store.upsert(prices.where(late).withColumn("price_spot", F.col("price_spot") * 2), "one")
+    store.upsert(prices.where(late), "one")
+    return present(store.read())
+
+
+@_register(f"SELECT commodity, {day()}, {r('close')} FROM daily_market")
+def quotes_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes as CSV, each commodity with columns of its own names in its own order."""
+    path = scratch_path(spark, "quotes")
+    closes = written(panels.daily_market(spark, sf_dir), "closes")
+    for i, name in enumerate(sorted(panels.PANEL_CONFIG.commodities)):
+        plain, adjusted = (F.col("close") * 2).alias(f"Close_X{i}=F"), F.col("close").alias(f"Adj Close_X{i}=F" if i % 2 else "Adj Close")
+        columns = ["commodity", F.col("date").alias("Date"), adjusted, plain]
+        closes.where(F.col("commodity") == name).select(*columns[i % 4 :], *columns[: i % 4]).write.option("header", True).csv(f"{path}/{i}")
+    frames = [landing.dated_close(raw, date="Date") for raw in tables.csv_frames(spark, f"{path}/*")]
+    return present(landing.latest_close(reduce(DataFrame.unionByName, frames)))
+
+
+@_register(
+    f"""SELECT commodity, {day()}, later, {r('close')} FROM (
+  SELECT commodity, date, 'small' AS later, CASE WHEN date >= {_SPLIT_SQL} THEN close ELSE close * 2 END AS close FROM daily_market
+  UNION ALL SELECT commodity, date, 'large' AS later, close FROM daily_market) AS landed"""
+)
+def landed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that landed in two files of unequal size: the later file wins, be it the small or the large one."""
+    closes = written(panels.daily_market(spark, sf_dir).withColumnRenamed("close", "Close"), "closes")
+    late, out = closes.where(F.col("date") >= F.lit(_SPLIT)), []
+    for later, files in {"small": [(closes, 2), (late, 1)], "large": [(late, 3), (closes, 1)]}.items():
+        path = scratch_path(spark, "landed")
+        for rows, factor in files:
+            rows.withColumn("Close", F.col("Close") * factor).coalesce(1).write.mode("append").option("header", True).csv(path)
+        out.append(landing.daily_close(tables.csv_frames(spark, path)[0]).withColumn("later", F.lit(later)))
+    return present(out[0].unionByName(out[1]).select("commodity", "date", "later", "close"))
+
+
+@_register(_MARKET)
+def load_in_two_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily closes that land in two parts; the weekly table sees the whole stored history."""
+    closes = written(panels.daily_market(spark, sf_dir), "closes")
+    store = tables.SilverStore(spark, scratch_path(spark, "store"), tables.DAILY_MARKET, ["date", "commodity"])
+    late = F.col("date") >= F.lit(_SPLIT)
+    store.upsert(closes.where(~late), "first")
+    store.upsert(closes.where(late), "second")
+    return present(market.weekly_market(store.read()))
+
+
+@_register(f"SELECT commodity, {day()}, {r('close')} FROM daily_market")
+def any_format_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table given without its extension: parquet where there is one, else CSV."""
+    base = scratch_path(spark, "any")
+    closes = written(panels.daily_market(spark, sf_dir), "closes")
+    late = F.col("date") >= F.lit(_SPLIT)
+    tables.write_table(closes.where(late), f"{base}-late.parquet")
+    tables.write_table(closes.where(~late), f"{base}-early.csv")
+    both = [tables.any_scan(spark, f"{base}-{part}", tables.DAILY_MARKET) for part in ("late", "early", "absent")]
+    return present(reduce(DataFrame.unionByName, both))
+
+
 @_register(
     f"""SELECT 'ingestion' AS layer, 'market_written' AS action, commodity AS path, {whole('count(*)', 'rows')}
 FROM daily_market GROUP BY commodity"""
@@ -663,6 +743,23 @@ def audit_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_scan(spark, path).select("layer", "action", "payload.path", "payload.rows")
 
 
+@_register(
+    f"""SELECT 'ingestion' AS layer, 'market_written' AS action, commodity AS path, {whole('count(*)', 'rows')}
+FROM daily_market GROUP BY commodity"""
+)
+def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events tailed as a stream."""
+    path, out = scratch_path(spark, "audit"), scratch_path(spark, "tail")
+    counted = panels.daily_market(spark, sf_dir).groupBy("commodity").agg(F.count("*").alias("rows"))
+    payload = F.struct(F.col("commodity").alias("path"), "rows").alias("payload")
+    stamp = F.lit(AS_OF.isoformat() + "Z").alias("timestamp")
+    audit.audit_append(counted.select(stamp, F.lit("ingestion").alias("layer"), F.lit("market_written").alias("action"), payload), path)
+    events = jobs.audit_stream(spark, path)
+    query = events.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.schema(events.schema).parquet(out).select("layer", "action", "payload.path", "payload.rows")
+
+
 # Streams -------------------------------------------------------------------------------------
 
 
@@ -699,14 +796,20 @@ def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"SELECT commodity, {day()}, {r('close', name='price_spot')} FROM daily_market")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order prints streamed into a store that keeps the last print of each day."""
+    """Order prints streamed into a store that keeps the last print of each day.
+
+    The orders come as several files, one a micro-batch, dealt by hash, so that a later batch holds
+    earlier orders as well.
+    """
+    path = scratch_path(spark, "prints")
+    orders = panels.table(spark, sf_dir, "orders").repartition(4, F.xxhash64("o_orderkey"))
+    orders.write.parquet(f"{path}/orders.parquet")
     customers = panels.table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("commodity"))
     prints = (
-        panels.stream(spark, sf_dir, "orders")
+        panels.stream(spark, path, "orders", files_per_batch=1)
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(F.to_date("o_orderdate").alias("date"), "commodity", F.col("o_totalprice").alias("price_spot"), "o_orderkey")
     )
-    path = scratch_path(spark, "prints")
-    store = tables.SilverStore(spark, path, tables.MARKET, ["date", "commodity"])
-    jobs.stream_upsert(prints, store, "prints", checkpoint=f"{path}-state", order="o_orderkey").awaitTermination()
+    store = tables.SilverStore(spark, f"{path}/store", tables.MARKET, ["date", "commodity"])
+    jobs.stream_upsert(prints, store, "prints", checkpoint=f"{path}/state", order="o_orderkey").awaitTermination()
     return present(store.read().select("commodity", "date", "price_spot"))

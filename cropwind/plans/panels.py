@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropwind.sources.config import Region, RegionConfig
+from cropwind.sources.paths import is_folder
 
 
 # Stated schemas spare each read the job that would infer them.
@@ -36,9 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table's file as a stream."""
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+def stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """The table as a stream: a folder of part files, or one file; a missing table is an error."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(SCHEMAS[name])
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

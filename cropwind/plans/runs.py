@@ -5,8 +5,9 @@ Layout under the root folder::
     landing/weather/<region>.json      archive payloads
     landing/quotes/<commodity>.csv     daily quotes with some close column
     landing/supply/*.csv               region_id, date, prod_estimate, stocks
-    silver/weather | market | supply   upserted weekly tables
-    silver/silver_data                 the three tables merged
+    silver/daily_weather | daily_market | daily_supply   upserted daily tables
+    silver/weather | market | supply   weekly tables derived from them
+    silver/silver_data                 the three weekly tables merged, on request
     gold/global_index | forecast | hedge_rec   one folder per commodity
     report/<series>                    tables behind the report
     logs                               audit events
@@ -18,12 +19,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropwind.functions.calendar import rolling_scope
 from cropwind.operators import anomalies, climate, forecast, hedge, market, report, silver, weekly
+from cropwind.operators.grouped import LANDED, landed
 from cropwind.sources import audit, landing, tables
 from cropwind.sources.config import DEFAULT_CONFIG, RegionConfig, unknown_keys
 
@@ -46,37 +49,60 @@ class Run:
         return daily.where(rolling_scope("date", self.as_of.date()))
 
     def landed_weather(self) -> DataFrame:
-        daily = landing.one_row_per_day(landing.weather_files(self.spark, self.path("landing", "weather")), "region_id")
-        return anomalies.weather_anomalies(self._in_scope(daily))
+        """Daily weather rows of the landed payloads, the last one of each region and day."""
+        files = landing.weather_files(self.spark, self.path("landing", "weather"))
+        return landing.one_row_per_day(files, "region_id")
 
     def landed_market(self) -> DataFrame:
-        """Quotes of every file; the commodity is the file's name."""
-        raw = self.spark.read.option("header", True).csv(self.path("landing", "quotes"))
-        named = tables.with_commodity_from_file(raw, suffix=r"\.csv")
-        day = next(c for c in raw.columns if landing.normalised_name(c) == "date")
-        return market.weekly_market(self._in_scope(landing.daily_close(named, date=day)))
+        """Daily closes of every quote file; the commodity is the file's name, and each header has
+        its own close column."""
+        rows = []
+        for raw in tables.csv_frames(self.spark, self.path("landing", "quotes")):
+            named = landed(tables.with_commodity_from_file(raw, suffix=r"\.csv"))
+            day = next(c for c in raw.columns if landing.normalised_name(c) == "date")
+            rows.append(landing.dated_close(named, date=day))
+        if not rows:
+            return tables.empty(self.spark, tables.DAILY_MARKET)
+        return landing.latest_close(reduce(DataFrame.unionByName, rows))
 
     def landed_supply(self) -> DataFrame:
-        daily = tables.csv_scan(self.spark, self.path("landing", "supply"), tables.DAILY_SUPPLY)
-        return weekly.weekly_supply(self._in_scope(landing.one_row_per_day(daily, "region_id")))
+        rows = [
+            tables.conformed(landed(raw), tables.DAILY_SUPPLY, keep_extra=True).select(*tables.DAILY_SUPPLY.fieldNames(), LANDED)
+            for raw in tables.csv_frames(self.spark, self.path("landing", "supply"))
+        ]
+        if not rows:
+            return tables.empty(self.spark, tables.DAILY_SUPPLY)
+        return landing.one_row_per_day(reduce(DataFrame.unionByName, rows), "region_id")
 
     def store(self, table: str) -> tables.SilverStore:
         schema = {"weather": tables.WEATHER, "market": tables.MARKET, "supply": tables.SUPPLY}[table]
         return tables.SilverStore(self.spark, self.path("silver", table), schema, silver.natural_keys(table, schema.fieldNames()))
 
+    def daily_store(self, table: str) -> tables.SilverStore:
+        schema = {"weather": tables.DAILY_WEATHER, "market": tables.DAILY_MARKET, "supply": tables.DAILY_SUPPLY}[table]
+        return tables.SilverStore(self.spark, self.path("silver", f"daily_{table}"), schema, silver.natural_keys(table, schema.fieldNames()))
+
+    def weekly(self, table: str) -> DataFrame:
+        """A weekly table from all stored days in scope: z-scores, returns and volatility see the
+        whole history, whatever has landed last."""
+        derive = {"weather": anomalies.weather_anomalies, "market": market.weekly_market, "supply": weekly.weekly_supply}[table]
+        return derive(self._in_scope(self.daily_store(table).read()))
+
     def ingest(self, batch_id: str, force: bool = False) -> None:
-        """Land the three tables; ``force`` replaces what is stored instead of merging into it."""
-        landed = {"weather": self.landed_weather, "market": self.landed_market, "supply": self.landed_supply}
-        for table, build in landed.items():
-            store = self.store(table)
+        """Merge what has landed into the daily tables and derive the weekly ones from them;
+        ``force`` replaces the daily tables by what has landed."""
+        landings = {"weather": self.landed_weather, "market": self.landed_market, "supply": self.landed_supply}
+        for table, build in landings.items():
+            daily, store = self.daily_store(table), self.store(table)
             if force:
-                store.overwrite(build())
+                daily.overwrite(build())
             else:
-                store.upsert(build(), batch_id)
+                daily.upsert(build(), batch_id)
+            store.overwrite(self.weekly(table))
             self._log("ingestion", f"{table}_written", {"path": store.path, "rows": store.read().count()})
-        self.merge_silver()
 
     def merge_silver(self) -> None:
+        """The three tables side by side by date; no step needs it, so a run does not write it."""
         merged = silver.silver_merge(*[self.store(t).read() for t in ("weather", "market", "supply")])
         tables.write_table(merged, self.path("silver", "silver_data.parquet"))
 
@@ -88,14 +114,19 @@ class Run:
 
     def gold(self, name: str) -> DataFrame:
         if name == "hedge_rec":
-            return self.spark.read.json(self.path("gold", name))
+            return tables.json_scan(self.spark, self.path("gold", name), tables.HEDGE, lines=True)
         schema = {"global_index": tables.INDEX, "forecast": tables.FORECAST}[name]
         return tables.json_scan(self.spark, self.path("gold", name), schema, lines=True)
 
-    def climate_index(self, commodities: Iterable[str] | None = None) -> None:
-        """The index needs the weather alone, so it reads the weather table, not the merged one."""
+    def climate_index(self, commodities: Iterable[str] | None = None, require_data: bool = False) -> None:
+        """The index needs the weather alone, so it reads the weather table, not the merged one.
+
+        ``require_data`` makes an index without rows an error.
+        """
         config = self.config.only(*commodities) if commodities else self.config
         self._write_gold(climate.global_index(self.store("weather").read(), config), "global_index")
+        if require_data and self.gold("global_index").isEmpty():
+            raise ValueError("no region of the config has data")
 
     def _chosen(self, df: DataFrame, commodities: Iterable[str] | None) -> DataFrame:
         return df if not commodities else df.where(F.col("commodity").isin([c.lower() for c in commodities]))
@@ -130,6 +161,7 @@ class Run:
             "price_history": report.price_history(prices, window),
             "risk_history": report.risk_history(index, window),
             "hedge_summary": report.hedge_summary_table(hedges),
+            "hedge_detail": report.hedge_detail_table(hedges),
             "hedge_rec": hedges,
         }
 

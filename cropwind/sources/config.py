@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A config is broadcast only below this many (commodity, region) rows, a few MB at most.
-MAX_BROADCAST_ROWS = 20_000
-
 CONFIG_SCHEMA = T.StructType(
     [
         T.StructField("commodity", T.StringType(), False),
@@ -99,9 +96,11 @@ class RegionConfig:
         return spark.createDataFrame(self.rows(), CONFIG_SCHEMA)
 
     def broadcast_frame(self, spark: SparkSession) -> DataFrame:
-        """The config with a broadcast hint when its row count, known here, is small."""
+        """The config with a broadcast hint when its size, known here, is below the session's threshold."""
         frame = self.to_frame(spark)
-        return F.broadcast(frame) if len(self.rows()) <= MAX_BROADCAST_ROWS else frame
+        size = sum(64 + len(c) + len(r) + sum(32 + len(f) for f in factors) for c, r, _, factors in self.rows())
+        limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return F.broadcast(frame) if size <= limit else frame
 
     def factor_frame(self, spark: SparkSession) -> DataFrame:
         """Long form: one row per commodity, region and factor."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cropwind.functions.calendar import parse_date
 from cropwind.functions.columns import as_names, quoted
 from cropwind.functions.numeric import null_if_nan
-from cropwind.operators.grouped import keep_last
+from cropwind.operators.grouped import LANDED, is_scan, keep_last, landed
 
 PAYLOAD_SCHEMA = (
     "daily struct<time: array<string>, temperature_2m_mean: array<double>, precipitation_sum: array<double>>"
@@ -42,9 +42,10 @@ def flatten_weather(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 def weather_files(spark: SparkSession, path: str) -> DataFrame:
     """Payload files named ``<region>.json`` to daily weather rows."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.", 1).alias("region_id"),
+    files = landed(spark.read.text(path, wholetext=True)).select(
+        F.regexp_extract(F.col(LANDED)["file"], r"^([^.]+)\.", 1).alias("region_id"),
         F.col("value").alias("payload"),
+        LANDED,
     )
     return flatten_weather(files)
 
@@ -68,20 +69,45 @@ def pick_close(columns: Iterable[str]) -> str:
     raise KeyError(f"no close-like column; available: {list(named)}")
 
 
-def daily_close(quotes: DataFrame, commodity: str | None = None, date: str = "date") -> DataFrame:
-    """Raw quotes to ``commodity, date, close`` with one row per day, the last one landed."""
+def daily_close(
+    quotes: DataFrame, commodity: str | None = None, date: str = "date", order: str | None = None
+) -> DataFrame:
+    """Raw quotes to ``commodity, date, close`` with one row per day, the last one landed.
+
+    ``order`` names the column that says which row is later; without it ``quotes`` must come
+    straight from files, whose landing order decides.
+    """
+    return latest_close(dated_close(quotes, commodity, date, order))
+
+
+def dated_close(
+    quotes: DataFrame, commodity: str | None = None, date: str = "date", order: str | None = None
+) -> DataFrame:
+    """Raw quotes of one header to ``commodity, date, close`` and their order."""
     name = F.col("commodity") if commodity is None else F.lit(commodity)
     close = null_if_nan(F.col(quoted(pick_close(quotes.columns))).cast("double"))
-    rows = quotes.select(
-        F.lower(name).alias("commodity"),
-        parse_date(F.col(quoted(date))).alias("date"),
-        close.alias("close"),
-        F.monotonically_increasing_id().alias("_position"),
-    ).where(F.col("date").isNotNull())
-    return keep_last(rows, ["commodity", "date"], ["_position"]).drop("_position")
+    return _ordered(quotes, order).select(
+        F.lower(name).alias("commodity"), parse_date(F.col(quoted(date))).alias("date"), close.alias("close"), LANDED
+    )
+
+
+def latest_close(rows: DataFrame) -> DataFrame:
+    rows = rows.where(F.col("date").isNotNull())
+    return keep_last(rows, ["commodity", "date"], [LANDED, "close"]).drop(LANDED)
 
 
-def one_row_per_day(daily: DataFrame, keys: str | Iterable[str]) -> DataFrame:
+def one_row_per_day(daily: DataFrame, keys: str | Iterable[str], order: str | None = None) -> DataFrame:
     """Reduce landed rows to the last one of each key and day."""
-    tagged = daily.where(F.col("date").isNotNull()).withColumn("_position", F.monotonically_increasing_id())
-    return keep_last(tagged, [*as_names(keys), "date"], ["_position"]).drop("_position")
+    tagged = _ordered(daily, order).where(F.col("date").isNotNull())
+    values = F.struct(*[quoted(c) for c in tagged.columns if c != LANDED])
+    return keep_last(tagged, [*as_names(keys), "date"], [LANDED, values]).drop(LANDED)
+
+
+def _ordered(rows: DataFrame, order: str | None) -> DataFrame:
+    if order is not None:
+        return rows.withColumn(LANDED, F.col(quoted(order)))
+    if LANDED in rows.columns:
+        return rows
+    if not is_scan(rows):
+        raise ValueError("rows that do not come straight from files need an order column")
+    return landed(rows)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark import inheritable_thread_target
@@ -23,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named
-    if spark.conf.get("spark.master", "local").startswith("local"):
+    # A master that cannot be read belongs to a remote session, which is a cluster.
+    master = spark.conf.get("spark.master", None) or ""
+    if re.match(r"local($|\[)", master):
         return _local_folder()
     raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
 
@@ -39,6 +43,36 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="cropwind-")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder; a path that does not exist is an error."""
+    files, where = _file_system(spark, path)
+    if not files.exists(where):
+        raise FileNotFoundError(path)
+    return files.getFileStatus(where).isDirectory()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table; one that is gone already does no harm."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+@contextmanager
+def stored(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` as a stored table that is deleted at the end of the block."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        removed(df.sparkSession, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Store ``df`` as a table in the shared folder and go on from there.
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
+from functools import reduce
+from urllib.parse import unquote
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cropwind.functions.calendar import parse_date
 from cropwind.functions.columns import as_names, quoted
 from cropwind.functions.numeric import null_if_nan
+from cropwind.operators.grouped import keep_last
 from cropwind.operators.silver import incremental_update
+from cropwind.sources.paths import is_folder, stored
 
 D, S, DT = T.DoubleType(), T.StringType(), T.DateType()
 
@@ -31,6 +35,13 @@ SUPPLY = _schema(date=DT, region_id=S, prod_estimate=D, stocks=D, data_source=S)
 INDEX = _schema(date=DT, commodity=S, global_risk_0_100=D)
 FORECAST = _schema(commodity=S, date=DT, price_forecast=D, y_forecast=D, price_lo95=D, price_hi95=D)
 
+HEDGE = _schema(
+    commodity=S, profile=S, role=S, exposure=D, forecast_horizon_weeks=T.IntegerType(), scenario=S, risk_score=D,
+    hedge_ratio=D, hedge_notional=D, instrument=S, forecast_price=D, instrument_maturity=S, instrument_strike=D,
+    summary=S, justification=S, timestamp=S,
+)
+
+
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
@@ -60,15 +71,33 @@ def conformed(df: DataFrame, schema: T.StructType, keep_extra: bool = False) ->
     return df.select(*columns, *extra)
 
 
-def csv_scan(spark: SparkSession, path: str, schema: T.StructType, keep_extra: bool = False) -> DataFrame:
-    """CSV with a header, matched by column name.  A missing or empty file gives no rows."""
+def csv_frames(spark: SparkSession, path: str) -> list[DataFrame]:
+    """One frame for each distinct header among the CSV files of a path.
+
+    Spark names the columns of all files after the first one's header, so files are grouped by
+    their first line and each group is read under its own.  Headers are few; the list of files is
+    what Spark's own scan keeps on the driver.
+    """
     try:
-        raw = spark.read.option("header", True).csv(path)
+        lines = spark.read.text(path)
     except AnalysisException as error:
         if _is_missing(error):
-            return empty(spark, schema)
+            return []
         raise
-    return conformed(raw, schema, keep_extra)
+    start = lines.where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("place")
+    )
+    first = start.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in first.where(F.trim("header") != "").orderBy("file").collect():
+        files.setdefault(row["header"].removeprefix("\ufeff").rstrip("\r"), []).append(unquote(row["file"]))
+    return [spark.read.options(header=True, enforceSchema=False).csv(group) for group in files.values()]
+
+
+def csv_scan(spark: SparkSession, path: str, schema: T.StructType, keep_extra: bool = False) -> DataFrame:
+    """CSV with headers, matched by column name in each file.  A missing or empty file gives no rows."""
+    frames = [conformed(raw, schema, keep_extra) for raw in csv_frames(spark, path)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames, empty(spark, schema)) if frames else empty(spark, schema)
 
 
 def parquet_scan(spark: SparkSession, path: str, schema: T.StructType, keep_extra: bool = False) -> DataFrame:
@@ -112,8 +141,6 @@ def any_scan(spark: SparkSession, base: str, schema: T.StructType) -> DataFrame:
         except AnalysisException as error:
             if not _is_missing(error):
                 raise
-        except Py4JJavaError:
-            continue
     return csv_scan(spark, f"{stem}.csv", schema)
 
 
@@ -125,7 +152,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     """Parquet or CSV by suffix; unlike the scans, a missing path is an error."""
     if _format_of(path) == "parquet":
         return conformed(spark.read.parquet(path), schema)
-    return conformed(spark.read.option("header", True).csv(path), schema)
+    if not csv_frames(spark, path) and not is_folder(spark, path):
+        raise ValueError(f"{path} has no header")
+    return csv_scan(spark, path, schema)
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -142,6 +171,7 @@ def gold_sink(df: DataFrame, path: str, keys: str | Iterable[str] = "commodity",
     keys = as_names(keys)
     (
         df.hint("rebalance", *keys)
+        .sortWithinPartitions(*keys, *[c for c in ("date",) if c in df.columns])
         .write.partitionBy(*keys)
         .format(format)
         .mode("overwrite")
@@ -151,8 +181,8 @@ def gold_sink(df: DataFrame, path: str, keys: str | Iterable[str] = "commodity",
 
 
 def csv_export(hedge: DataFrame, path: str) -> None:
-    """The recommendation table as CSV with a header."""
-    write_table(hedge, path if path.endswith(".csv") else f"{path}.csv")
+    """A report table as CSV with a header, in the order of its columns."""
+    write_table(hedge.orderBy(*map(quoted, hedge.columns)), path if path.endswith(".csv") else f"{path}.csv")
 
 
 def with_commodity_from_file(df: DataFrame, suffix: str = "_forecast") -> DataFrame:
@@ -164,70 +194,93 @@ class SilverStore:
     """A silver table in year folders that is upserted batch by batch.
 
     An upsert writes the merged rows of the years it touches to ``<path>_staging``, then replaces
-    just those year folders from there.  Each of the two writes ends by noting the batch next to
-    the table.  A run that died in between is made good by the next upsert, whatever its batch:
-    rows noted as staged but not as applied are applied first.
+    just those year folders from there; an overwrite does the same with the whole table.  Each of
+    the two writes ends with a note next to the table.  A run that died in between is made good by
+    the next upsert: rows noted as staged but not as applied are applied first.  An overwrite
+    drops them.  Merging a batch again changes nothing, so no batch is ever skipped.
+
+    With ``order`` the stored table remembers each row's order value, so that the latest row wins
+    whichever batch brings it.  Without it the newer batch wins.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, on: Iterable[str]):
         self.spark, self.path, self.schema, self.on = spark, path.rstrip("/"), schema, list(on)
         self.staging = f"{self.path}_staging"
-        self._stored = T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
+        self._stored = T.StructType(
+            [*schema.fields, T.StructField("_order", T.LongType()), T.StructField("year", T.IntegerType())]
+        )
+
+    def _scan(self, path: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(self._stored).parquet(path)
+        except AnalysisException as error:
+            if _is_missing(error):
+                return empty(self.spark, self._stored)
+            raise
 
     def read(self) -> DataFrame:
-        return parquet_scan(self.spark, self.path, self.schema)
+        return self._scan(self.path).select(*self.schema.fieldNames())
 
     def overwrite(self, new: DataFrame) -> None:
-        """Replace the table by ``new``, one row per key."""
+        """Replace the table by ``new``, one row per key; what a died upsert has staged is dropped."""
+        run = uuid.uuid4().hex
         only = incremental_update(None, conformed(new, self.schema), self.on)
-        self._write(self._with_year(only), self.path, "static")
+        only = only.withColumns({"_order": F.lit(None).cast("bigint"), "year": F.year("date")})
+        self._write(only.select(*self._stored.fieldNames()), self.staging, "static")
+        self._note("staged", run, "static")
+        self._apply(run, "static")
 
     def upsert(self, new: DataFrame, batch_id: str, order: str | None = None) -> None:
-        """Merge ``new`` into the table; its rows win over stored ones with the same key."""
+        """Merge ``new`` into the table; its rows win over stored ones with the same key, unless
+        ``order`` says that a stored one is later."""
+        self._heal()
+        run = f"{batch_id}-{uuid.uuid4().hex}"
+        self._stage(new, run, order)
+        self._apply(run, "dynamic")
+
+    def _heal(self) -> None:
         staged, applied = self._noted("staged"), self._noted("applied")
-        if staged is not None and staged != applied:
-            self._apply(staged)
-            applied = staged
-        if applied == batch_id:
-            return
-        self._stage(new, batch_id, order)
-        self._apply(batch_id)
-
-    def _with_year(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("year", F.year("date"))
-
-    def _merged(self, new: DataFrame, order: str | None) -> DataFrame:
+        if staged is not None and (applied is None or staged["batch"] != applied["batch"]):
+            self._apply(staged["batch"], staged["mode"])
+
+    def _batch(self, new: DataFrame, order: str | None) -> DataFrame:
+        position = F.col(quoted(order)).cast("bigint") if order else F.lit(None).cast("bigint")
+        rows = conformed(new, self.schema, keep_extra=True).withColumn("_order", position)
+        rows = rows.select(*self.schema.fieldNames(), "_order").where(F.col("date").isNotNull())
+        # One row per key before anything is stored: the copies of a key are combined in each task.
+        one = keep_last(rows, self.on, ["_order", F.struct(*self.schema.fieldNames())])
+        return one.withColumn("year", F.year("date")).select(*self._stored.fieldNames())
+
+    def _merged(self, batch: DataFrame, order: str | None) -> DataFrame:
         """Rows of the touched years with the batch merged in."""
-        columns = [*self.schema.fieldNames(), *([order] if order else [])]
-        batch = self._with_year(conformed(new, self.schema, keep_extra=True).select(*columns))
-        touched = batch.select("year").distinct()
-        old = parquet_scan(self.spark, self.path, self._stored).join(touched, "year", "left_semi")
-        if order:
-            old = old.withColumn(order, F.lit(0).cast("bigint"))
-        merged = incremental_update(old.select(*batch.columns), batch, self.on, order=order)
-        return merged.select(*self._stored.fieldNames())
+        # The years of one batch are few, and as literals they prune the folders to read.
+        years = [row["year"] for row in batch.select("year").distinct().collect()]
+        old = self._scan(self.path).where(F.col("year").isin(years))
+        both = old.withColumn("_batch", F.lit(0)).unionByName(batch.withColumn("_batch", F.lit(1)))
+        return keep_last(both, self.on, ["_order", "_batch"] if order else ["_batch"]).drop("_batch")
 
     def _write(self, df: DataFrame, path: str, mode: str) -> None:
         (
             df.hint("rebalance", "year")
+            .sortWithinPartitions("year", *self.on)
             .write.partitionBy("year")
             .mode("overwrite")
             .option("partitionOverwriteMode", mode)
             .parquet(path)
         )
 
-    def _stage(self, new: DataFrame, batch_id: str, order: str | None) -> None:
-        self._write(self._merged(new, order), self.staging, "static")
-        self._note("staged", batch_id)
+    def _stage(self, new: DataFrame, run: str, order: str | None) -> None:
+        with stored(self._batch(new, order), "store-batch") as batch:
+            self._write(self._merged(batch, order), self.staging, "static")
+        self._note("staged", run, "dynamic")
 
-    def _apply(self, batch_id: str) -> None:
-        self._write(parquet_scan(self.spark, self.staging, self._stored), self.path, "dynamic")
-        self._note("applied", batch_id)
+    def _apply(self, run: str, mode: str) -> None:
+        self._write(self._scan(self.staging), self.path, mode)
+        self._note("applied", run, mode)
 
-    def _note(self, what: str, batch_id: str) -> None:
-        note = self.spark.createDataFrame([(batch_id,)], "batch string").coalesce(1)
+    def _note(self, what: str, run: str, mode: str) -> None:
+        note = self.spark.createDataFrame([(run, mode)], "batch string, mode string").coalesce(1)
         note.write.mode("overwrite").json(f"{self.path}_{what}")
 
-    def _noted(self, what: str) -> str | None:
-        row = json_scan(self.spark, f"{self.path}_{what}", _schema(batch=S), lines=True).first()
-        return row["batch"] if row else None
+    def _noted(self, what: str) -> Row | None:
+        return json_scan(self.spark, f"{self.path}_{what}", _schema(batch=S, mode=S), lines=True).first()

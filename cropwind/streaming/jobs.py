@@ -40,8 +40,8 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Upsert each micro-batch into ``store``; ``order`` names the column that says which row is later.
 
-    The batch number names the staging table, so a batch that is replayed after a failure
-    gives the same result.
+    The store keeps that column, so a row that is later wins in whichever batch it comes.
+    Merging is idempotent: a batch that is replayed after a failure changes nothing.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -56,6 +56,16 @@ def stream_upsert(
     )
 
 
+def late_rows_dropped(query: StreamingQuery) -> int:
+    """Rows of a query's recent batches that came after the watermark had passed them.
+
+    With several batches the weeks of :func:`stream_weekly` depend on the order of arrival; rows
+    later than ``late`` are left out, and this is their count (of groups, where Spark has
+    combined a batch's rows before it looked at the watermark).
+    """
+    return sum(state.numRowsDroppedByWatermark for p in query.recentProgress for state in p.stateOperators)
+
+
 def audit_stream(spark: SparkSession, path: str) -> DataFrame:
     """Audit events as they are appended."""
     events = spark.readStream.schema(AUDIT_SCHEMA).option("recursiveFileLookup", True).json(path)

@@ -8,7 +8,7 @@ import pytest
 from conftest import fridays
 from pyspark.sql import functions as F
 
-from cropwind.functions.linalg import solve_normal
+from cropwind.functions.linalg import solve_centred
 from cropwind.operators import design as D
 from cropwind.operators import forecast as M
 from cropwind.operators.regression import fit_ols
@@ -162,15 +162,33 @@ def test_short_series_match_lstsq(spark, n):
     assert got["resid_var"] == pytest.approx(variance, abs=1e-12)
 
 
+def centred(x, y):
+    """The solver's result for regressors without the intercept's column."""
+    d = x - x.mean(axis=0)
+    return solve_centred((d.T @ d / len(x))[None], (d.T @ (y - y.mean()) / len(x))[None], x.mean(axis=0)[None], np.array([y.mean()]))[0]
+
+
+@pytest.mark.parametrize("size", [1e-4, 1e-5, 1e-6, 1e-7, 0.0])
+def test_nearly_constant_regressors_keep_their_digits(spark, size):
+    n = 780
+    noise = [wave(i, 37, 5) + wave(i, 11, 2) / 3 for i in range(n)]
+    rows = [("a", w, wave(i, 13, 7) + noise[i] / 2, 0.5 + size * noise[i], wave(i, 5, 3)) for i, w in enumerate(fridays(n))]
+    frame = spark.createDataFrame(rows, "commodity string, date date, y double, x1 double, x2 double").repartition(3)
+    got = fit_ols(D.Design(frame, ("x1", "x2"), ("commodity",))).first()
+    beta, variance = lstsq(frame.orderBy("date").toPandas(), ["x1", "x2"])
+    np.testing.assert_allclose([got["intercept"], got["coeffs"]["x1"], got["coeffs"]["x2"]], beta, rtol=1e-6, atol=1e-9)
+    assert got["resid_var"] == pytest.approx(variance, rel=1e-8)
+
+
 def test_solver_handles_badly_scaled_and_singular_systems():
     x = np.array([[1.0, 1e6 * wave(i, 3, 5), 1e-6 * wave(i, 7, 2), 2e6 * wave(i, 3, 5)] for i in range(40)])
     y = np.array([wave(i, 19, 1) for i in range(40)])
     expected = np.linalg.lstsq(x[:, :3], y, rcond=None)[0]
-    np.testing.assert_allclose(solve_normal(x[None, :, :3].transpose(0, 2, 1) @ x[None, :, :3], (x[:, :3].T @ y)[None])[0], expected, rtol=1e-6)
+    np.testing.assert_allclose(centred(x[:, 1:3], y), expected, rtol=1e-6)
     # The last column doubles the second one; among all solutions the shortest is wanted.
     z = x[:, [0, 1, 3]] / [1.0, 1e6, 1e6]
     expected = np.linalg.lstsq(z, y, rcond=None)[0]
-    np.testing.assert_allclose(solve_normal((z.T @ z)[None], (z.T @ y)[None])[0], expected, rtol=1e-8)
+    np.testing.assert_allclose(centred(z[:, 1:], y), expected, rtol=1e-8)
 
 
 def walk(fit, start_price, lags, path, phase, steps, period=52, proper=False, extra=None):

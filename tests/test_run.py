@@ -47,6 +47,7 @@ def test_full_run(spark, root):
     assert all(dt.date.fromisoformat(r["instrument_maturity"]).weekday() == 3 for r in hedges)
     kpis = {r["commodity"] for r in spark.read.option("header", True).csv(f"{root}/report/kpis.csv").collect()}
     assert {"wheat", "corn"} <= kpis
+    run.merge_silver()
     assert spark.read.parquet(f"{root}/silver/silver_data.parquet").count() >= 3 * 3 * 130
 
 

@@ -34,7 +34,7 @@ def test_any_scan_prefers_parquet(spark, tmp_path):
     assert tables.any_scan(spark, f"{base}.csv", tables.MARKET).first()["price_spot"] == 1.0
     assert tables.read_table(spark, f"{base}.parquet", tables.MARKET).count() == 1
     assert tables.read_table(spark, f"{base}.csv", tables.MARKET).count() == 1
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    with pytest.raises(FileNotFoundError):
         tables.read_table(spark, str(tmp_path / "nope.csv"), tables.MARKET)
 
 
@@ -113,7 +113,7 @@ def test_weather_payloads(spark, tmp_path):
     good = payload(["2024-01-01", "2024-01-02"], [1.0, None], [0.5, 2.0])
     for region, text in {"FR": good, "US": "{oops", "BR": "{}", "AR": payload(["2024-01-01"], [1.0], []), "CN": payload([], [], [])}.items():
         (tmp_path / f"{region}.json").write_text(text)
-    got = sorted(tuple(r) for r in landing.weather_files(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in landing.one_row_per_day(landing.weather_files(spark, str(tmp_path)), "region_id").collect())
     assert got == [("FR", d("2024-01-01"), 1.0, 0.5), ("FR", d("2024-01-02"), None, 2.0)]
 
 
@@ -133,12 +133,43 @@ def test_close_column_errors_and_names():
     assert landing.normalised_name(("Close", "")) == "close"
 
 
-def test_daily_close_keeps_the_last_landed_row(spark):
-    quotes = spark.createDataFrame([("2024-01-05", 1.0, 10.0), ("2024-01-05", 2.0, 20.0), ("2024-01-06", 3.0, None), ("bad", 4.0, 4.0)], "date string, `Close_ZS=F` double, `Adj Close_ZS=F` double").coalesce(1)
+def test_daily_close_keeps_the_last_landed_row(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("date,Close_ZS=F,Adj Close_ZS=F\n2024-01-05,1,10\n2024-01-05,2,20\n2024-01-06,3,\nbad,4,4\n")
+    quotes = spark.read.option("header", True).csv(str(tmp_path / "q.csv"))
     got = sorted(tuple(r) for r in landing.daily_close(quotes, "Soybean").collect())
     assert got == [("soybean", d("2024-01-05"), 20.0), ("soybean", d("2024-01-06"), None)]
     daily = spark.createDataFrame([("A", fridays(1)[0], 1.0), ("A", fridays(1)[0], 2.0)], "region_id string, date date, temp double").coalesce(1)
-    assert [r["temp"] for r in landing.one_row_per_day(daily, "region_id").collect()] == [2.0]
+    assert [r["temp"] for r in landing.one_row_per_day(daily, "region_id", order="temp").collect()] == [2.0]
+    with pytest.raises(ValueError, match="order column"):
+        landing.one_row_per_day(daily, "region_id")
+
+
+def test_files_are_read_under_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("region_id,date,prod_estimate,stocks\nFR,2024-01-05,1,2\n")
+    (tmp_path / "b c.csv").write_text("stocks,region_id,date,prod_estimate\n4,US,2024-01-05,3\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = sorted(tuple(r) for r in tables.csv_scan(spark, str(tmp_path), tables.DAILY_SUPPLY).collect())
+    assert got == [("FR", d("2024-01-05"), 1.0, 2.0), ("US", d("2024-01-05"), 3.0, 4.0)]
+
+
+def test_store_keeps_the_order_and_prunes_to_the_years_of_a_batch(spark, tmp_path):
+    store = tables.SilverStore(spark, str(tmp_path / "store"), tables.MARKET, ["date", "commodity"])
+    rows = lambda *r: spark.createDataFrame(list(r), f"{DAILY}, seq long")
+    store.upsert(rows(("corn", d("2023-01-06"), 2.0, 5)), "a", order="seq")
+    store.upsert(rows(("corn", d("2023-01-06"), 1.0, 4), ("corn", d("2024-01-05"), 9.0, 1)), "b", order="seq")
+    assert sorted(r["price_spot"] for r in store.read().collect()) == [2.0, 9.0]
+    plan = store._merged(store._batch(rows(("corn", d("2024-01-05"), 1.0, 1)), None), None)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "2024" in plan
+
+
+def test_an_overwrite_drops_what_a_died_upsert_has_staged(spark, tmp_path):
+    store = tables.SilverStore(spark, str(tmp_path / "store"), tables.MARKET, ["date", "commodity"])
+    row = lambda price: spark.createDataFrame([("corn", d("2023-01-06"), price)], DAILY)
+    store.upsert(row(1.0), "1")
+    store._stage(row(2.0), "2", None)
+    store.overwrite(row(50.0))
+    store.upsert(spark.createDataFrame([("soy", d("2024-01-05"), 3.0)], DAILY), "1")
+    assert sorted(r["price_spot"] for r in store.read().collect()) == [3.0, 50.0]
 
 
 def test_shared_folder_is_read_from_the_session(spark):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from conftest import d
 
 from cropwind.sources import audit, tables
@@ -44,7 +45,36 @@ def test_stream_upsert_applies_batches_in_order(spark, tmp_path):
 
     day = d("2024-01-05")
     assert land((day, "corn", 2.0, 2), (day, "corn", 1.0, 1)) == [("corn", 2.0)]
-    assert land((day, "corn", 7.0, 1), (day, "soy", 3.0, 1)) == [("corn", 7.0), ("soy", 3.0)]
+    # A later batch with an earlier print changes nothing; one with a later print does.
+    assert land((day, "corn", 7.0, 1), (day, "soy", 3.0, 1)) == [("corn", 2.0), ("soy", 3.0)]
+    assert land((day, "corn", 8.0, 3)) == [("corn", 8.0), ("soy", 3.0)]
+
+
+def test_tables_of_part_files_stream_like_the_batch_tables(spark, tmp_path):
+    from cropwind.plans import catalog, panels
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("orders", "lineitem"):
+        panels.table(spark, sf, name).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("customer", "supplier", "nation", "region"):
+        panels.table(spark, sf, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (catalog.stream_weekly, catalog.stream_upsert):
+        rows = lambda where: sorted(map(repr, query(spark, where).collect()))
+        assert rows(str(tmp_path)) == rows(sf) != []
+    with pytest.raises(FileNotFoundError):
+        panels.stream(spark, f"{tmp_path}/nowhere", "orders")
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema, day = "ts timestamp, region_id string, temp double, precip double", dt.datetime(2024, 1, 5)
+    # A batch's late rows are judged by the watermark of the batch before.
+    for at in (day, day + dt.timedelta(days=60), day + dt.timedelta(days=61), day + dt.timedelta(days=1)):
+        spark.createDataFrame([(at, "FR", 1.0, 1.0)], schema).coalesce(1).write.mode("append").parquet(source)
+    weeks = jobs.stream_weekly(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
+    query = weeks.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    assert jobs.late_rows_dropped(query) == 1
 
 
 def test_audit_stream(spark, tmp_path):
