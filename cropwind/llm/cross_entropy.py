@@ -7,7 +7,7 @@ under the background: below 0 for text that is closer to the target.
 
 Counting: each task sums the trigrams of its texts, so what is shuffled is one row a distinct trigram
 and task. A trigram's two lower orders are sums over its neighbours, found by equi-joins. Scoring:
-documents are dealt to blocks by hash; a block asks only for its own distinct trigrams, gets their
+documents are cut into blocks where the join with the labels has put them; a block asks only for its own distinct trigrams, gets their
 loss differences by one join, and scores its documents with them. Nothing is broadcast, and no table
 is held whole anywhere.
 
@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +122,16 @@ def model(docs: DataFrame) -> DataFrame:
     return written(rows.select("gram", difference.alias("difference")), "entropy-model")
 
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows with the number of their block; the result is stored at once, so the numbers hold."""
+    block, chars = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        sizes = pc.utf8_length(batch.column("text")).to_numpy()
+        place = chars + np.cumsum(sizes)
+        chars = int(place[-1]) if len(place) else chars
+        yield pa.RecordBatch.from_arrays([pa.array(block + place // BLOCK_CHARS), *batch.columns], names=["block", *batch.schema.names])
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct trigrams of each block; a block's rows may come in several runs."""
     for batch in batches:
@@ -158,13 +170,11 @@ def _score(key, docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, score`` of every document; ``target`` has the ``doc_id`` of target documents."""
     chosen = target.select(F.col("doc_id").alias("target_id")).where("target_id IS NOT NULL").distinct()
-    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = marked.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
-    marked = marked.join(chosen, F.col("doc_id") == F.col("target_id"), "left")
-    marked = marked.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    # Written in blocks once, as three steps read it.
-    dealt = written(marked.select("block", "doc_id", "text", F.col("target_id").isNotNull().alias("target")).repartition("block").sortWithinPartitions("block"), "entropy-documents")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # The same join at every size: texts move once here, and once to meet their block's trigrams.
+    marked = marked.join(chosen.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
+    marked = marked.select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
+    dealt = written(marked.mapInArrow(_deal, "block long, doc_id long, text string, target boolean"), "entropy-documents")
     differences = model(dealt)
     asked = dealt.select("block", "text").mapInArrow(_distinct, "block long, gram long").distinct()
     known = asked.join(differences, "gram").select("block", "gram", "difference")
