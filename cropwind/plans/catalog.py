@@ -25,7 +25,7 @@ from cropwind.operators import (
 )
 from cropwind.plans import panels, pipeline
 from cropwind.plans.oracle import LEGACY, WEEKLY, day, r, rounded, sql, week, whole
-from cropwind.sources import audit, landing, tables
+from cropwind.sources import audit, config, landing, tables
 from cropwind.sources.config import unknown_keys
 from cropwind.sources.paths import scratch_path, written, written_together
 from cropwind.streaming import jobs
@@ -501,13 +501,13 @@ def hedge_summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(rows.withColumn("position", place).where(F.col("position") > 0))
 
 
-def _stored_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(forecast.market_model(*pipeline.stored_model_inputs(spark, sf_dir)), "forecast")
+def _model_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.market_model(*pipeline.stored_model_inputs(spark, sf_dir))
 
 
 @_register(f"SELECT commodity, {day()}, {r('ret_pct', 4)}, {r('ret_lo95', 4)}, {r('ret_hi95', 4)} FROM pct_band")
 def pct_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(report.pct_band_series(_stored_forecast(spark, sf_dir)), {"ret_pct": 4, "ret_lo95": 4, "ret_hi95": 4})
+    return present(report.pct_band_series(_model_forecast(spark, sf_dir)), {"ret_pct": 4, "ret_lo95": 4, "ret_hi95": 4})
 
 
 @_register(
@@ -518,7 +518,7 @@ def pct_band(spark: SparkSession, sf_dir: str) -> DataFrame:
              max(greatest(price_forecast, price_lo95, price_hi95)) AS hi FROM model_forecast GROUP BY 1) AS raw) AS wide) AS padded"""
 )
 def padded_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(report.forecast_domain(_stored_forecast(spark, sf_dir)), {"domain_min": 2, "domain_max": 2})
+    return present(report.forecast_domain(_model_forecast(spark, sf_dir)), {"domain_min": 2, "domain_max": 2})
 
 
 @_register(
@@ -760,6 +760,42 @@ def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(out).select("layer", "action", "payload.path", "payload.rows")
 
 
+@_register(f"SELECT commodity, {day()}, {r('price_forecast', 2)}, {r('price_lo95', 2)}, {r('price_hi95', 2)} FROM model_forecast")
+def forecast_band_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price chart's points as stored report rows: exported as CSV and read back by name."""
+    path = scratch_path(spark, "bands")
+    bands = report.forecast_band_series(_model_forecast(spark, sf_dir))
+    tables.csv_export(bands, path)
+    rows = tables.csv_scan(spark, f"{path}.csv", tables.FORECAST).drop("y_forecast")
+    return present(rows, {"price_forecast": 2, "price_lo95": 2, "price_hi95": 2})
+
+
+@_register(
+    f"""SELECT region_id, commodity, ticker, latitude, longitude, {whole('weeks')} FROM (
+  SELECT region_id, commodity, count(*) AS weeks FROM (
+    SELECT date, CASE r_name WHEN 'AFRICA' THEN 'AR' WHEN 'AMERICA' THEN 'US' WHEN 'ASIA' THEN 'CN' WHEN 'EUROPE' THEN 'FR' ELSE 'XX' END AS region_id
+    FROM (SELECT region_id AS r_name, date FROM weather) AS w) AS placed,
+    (SELECT DISTINCT CASE c_mktsegment WHEN 'BUILDING' THEN 'Corn' WHEN 'MACHINERY' THEN 'Cocoa' ELSE 'steel' END AS commodity FROM customer) AS goods
+  GROUP BY 1, 2) AS counted
+JOIN (VALUES ('AR', -34.6037e0, -58.3816e0), ('US', 39.8283e0, -98.5795e0), ('CN', 35.8617e0, 104.1954e0), ('FR', 46.2276e0, 2.2137e0)) AS c(region_id, latitude, longitude) USING (region_id)
+JOIN (VALUES ('Corn', 'ZC=F'), ('Cocoa', 'CC=F')) AS t(commodity, ticker) USING (commodity)"""
+)
+def reference_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks per region and commodity with the region's centre and the commodity's ticker; unknown ones drop out."""
+    codes = {"AFRICA": "AR", "AMERICA": "US", "ASIA": "CN", "EUROPE": "FR"}
+    code = F.coalesce(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col("region_id")], F.lit("XX"))
+    weeks = pipeline.weather_table(spark, sf_dir).groupBy(code.alias("region_id")).agg(F.count("*").alias("weeks"))
+    segment = F.col("c_mktsegment")
+    goods = panels.table(spark, sf_dir, "customer").select(
+        F.when(segment == "BUILDING", "Corn").when(segment == "MACHINERY", "Cocoa").otherwise("steel").alias("commodity")
+    )
+    names = config.with_ticker(goods.distinct())
+    # One row for each known commodity, two here.
+    pairs = F.transform(F.array(*[F.lit(c) for c in config.TICKERS]), lambda c: c)
+    rows = weeks.withColumn("_name", F.explode(pairs)).join(names, F.lower("commodity") == F.col("_name")).drop("_name")
+    return config.with_region_centre(rows).select("region_id", "commodity", "ticker", "latitude", "longitude", "weeks")
+
+
 # Streams -------------------------------------------------------------------------------------
 
 
