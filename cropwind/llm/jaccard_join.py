@@ -5,10 +5,10 @@ Sets are the distinct 3-word shingles of a text. Two sets link when
 elements: ``(100 + t) * |difference| <= (100 - t) * (|x| + |y|)``.
 
 * Equal sets are one class from the start, however many copies there are.
-* Elements are ordered from rare to common (a fixed-size count sketch over all documents gives the
-  order; any order is right, a rare one is fast). Sets that link share an element of their prefixes.
-* *Answers from related sets*: every prefix list compares its members with one leader only, the set
-  with the most elements in lists: an original, as its edited copies have elements of their own first. A member that links takes over the leader's component, and with it all
+* Elements are ordered by part of their hash range, and within the first part from rare to common (a
+  fixed-size count sketch over all documents gives the order; any order is right, a rare one is fast). Sets that link share an element of their prefixes.
+* *Answers from related sets*: every prefix list compares its members with one leader only, the one
+  at the earliest position: an original, as its edited copies have elements of their own first. A member that links takes over the leader's component, and with it all
   links inside the component; only members of lists that still hold several components go on.
 * *Block skipping*: those lists are kept in blocks of equal position. For the first element that two
   sets share, the positions add up to no more than their difference, so a set at position i skips
@@ -38,8 +38,12 @@ from cropwind.sources.paths import written
 
 SHINGLE_WORDS = 3
 THRESHOLD = 90
-#: Cells of the count sketch that orders elements: a fixed size at any scale.
-SKETCH_BITS = 18
+#: Elements are ordered by their top bits first, so that prefixes lie almost wholly in the first part
+#: (an eighth of all elements), and only there by rarity: only that part is counted.
+PART_BITS = 3
+#: Cells of the count sketch that orders the first part: a fixed size at any scale.
+SKETCH_BITS = 20
+FIRST_PART = np.uint64(1 << (64 - PART_BITS))
 #: Sets of one prefix list that a task holds in one chunk.
 LIST_LIMIT = 4000
 #: 64-bit words of a set's parity signature. A larger set has a wide one besides, doubled until
@@ -51,12 +55,16 @@ BROADCAST_BYTES = 8 << 20
 PLACE_BYTES = 64
 
 
+def _cell(elements: np.ndarray) -> np.ndarray:
+    return (elements >> np.uint64(64 - PART_BITS - SKETCH_BITS)).astype(np.int64)
+
+
 def _count_cells(words: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for s in shingle_sets(batch.column("text"), words):
-                np.add.at(cells, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(cells, _cell(s[: np.searchsorted(s, FIRST_PART)]), 1)
         used = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], names=["cell", "n"])
 
@@ -64,7 +72,7 @@ def _count_cells(words: int):
 
 
 def rarity(docs: DataFrame, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Level of each sketch cell, 0 for the most: one byte a cell, 256 KB whatever the input."""
+    """Level of each sketch cell, 0 for the most: one byte a cell, 1 MB whatever the input."""
     counts = docs.select("text").mapInArrow(_count_cells(words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     level = np.zeros(1 << SKETCH_BITS, np.uint64)
     rows = counts.select("cell", F.floor(F.log2("n") * 2).cast("int").alias("level")).toPandas()
@@ -89,7 +97,9 @@ def _prefixes(words: int, threshold: int, level: np.ndarray):
                 n.append(len(s))
                 sid.append(int(mixed(np.array([np.add.reduce(s) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
                 need = -(-threshold * len(s) // 100)
-                order = np.lexsort((s, level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                # The elements are sorted, so a stable sort by level orders the first part; the rest stays.
+                first = int(np.searchsorted(s, FIRST_PART))
+                order = np.concatenate((np.argsort(level[_cell(s[:first])], kind="stable"), np.arange(first, len(s))))
                 heads.append(s[order[: len(s) - need + 1 if len(s) else 0]].view(np.int64))
                 wide = _signature(s)
                 wides.append(wide if len(wide) > SIGNATURE_WORDS else wide[:0])
@@ -236,16 +246,19 @@ def set_components(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int =
     own = written(scan, "jaccard-documents")
     classes = own.where("n > 0").groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "copy", "doc_id", "head", "sign", "wide")))
     classes = written(classes, "jaccard-classes")
-    postings = classes.select("sid", F.posexplode("head").alias("position", "token"))
+    postings = classes.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("position", "token"))
     # Written, so that a hot list meets one row and its side of the join can be split.
     common = written(postings.groupBy("token").count().where("count > 1").select("token"), "jaccard-tokens")
     found = written(postings.join(common, "token"), "jaccard-found")
-    weights = found.groupBy("sid").agg(F.count("*").alias("weight"))
-    leads = found.join(weights, "sid").groupBy("token").agg(F.max(F.struct("weight", "sid")).alias("best"), F.count("*").alias("members"))
-    lists = written(leads.select("token", F.col("best.sid").alias("lead"), "members"), "jaccard-lists")
-    shared = written(found.join(lists, "token").join(classes.select("sid", "n"), "sid"), "jaccard-postings")
-
-    led = shared.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
+    # The earliest position: an edited copy has its own elements before those that it shares.
+    leads = found.groupBy("token").agg(F.min(F.struct("position", "sid", "n")).alias("best"), F.count("*").alias("members"))
+    lists = written(leads.select("token", F.col("best.sid").alias("lead"), F.col("best.position").alias("lead_position"), F.col("best.n").alias("lead_n"), "members"), "jaccard-lists")
+    shared = written(found.join(lists, "token"), "jaccard-postings")
+    # At the first element that two sets share, their positions and sizes keep the bounds.
+    apart = F.greatest(F.col("position") + F.col("lead_position"), F.abs(F.col("n") - F.col("lead_n")))
+    near = shared.where((100 + threshold) * apart <= (100 - threshold) * (F.col("n") + F.col("lead_n")))
+
+    led = near.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     first = written(_verified(docs, classes, led, words, threshold), "jaccard-first")
     labels = components(first, "jaccard-first")
 
@@ -257,7 +270,7 @@ def set_components(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int =
     rest = rest.join(classes.select("sid", "sign"), "sid")
     units = rest.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     units = units.withColumn("unit", F.least("chunk", "other").cast("long") * 1_000_000 + F.greatest("chunk", "other"))
-    units = units.select("token", "unit", F.col("position").cast("long").alias("position"), "n", "sid", "component", "lead", F.col("chunk").cast("long").alias("chunk"), "sign")
+    units = units.select("token", "unit", F.col("position").cast("long").alias("position"), F.col("n").cast("long").alias("n"), "sid", "component", "lead", F.col("chunk").cast("long").alias("chunk"), "sign")
     found = units.repartition("token", "unit").sortWithinPartitions("token", "unit").mapInArrow(_skip_blocks(threshold), "a long, b long").distinct()
     second = written(_verified(docs, classes, written(found, "jaccard-rest"), words, threshold), "jaccard-second")
     if second.isEmpty():
