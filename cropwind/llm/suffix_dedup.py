@@ -36,6 +36,8 @@ from cropwind.llm.grams import Hashed, mixed, slices
 from cropwind.sources.paths import written
 
 LENGTH = 400
+#: Bytes below which few passages of 51 words lie, for a stage that takes these too; see the README.
+PASSAGE = 200
 #: Bytes of the string that picks an anchor. Longer: fewer chance groups, more anchors.
 ANCHOR_BYTES = 128
 #: Different blocks of one anchor string that one task sorts; beyond it windows are counted.
@@ -389,13 +391,14 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """Documents with repeated bytes removed; one that loses its whole text goes.
+def stage(docs: DataFrame, length: int = LENGTH, **options: int) -> DataFrame:
+    """Documents with repeated strings of ``length`` bytes removed; one that loses its whole text goes.
 
+    The default leaves repeated passages of 51 to about 64 words; ``PASSAGE`` takes them.
     A character that a cut splits is dropped with the cut, as are replacement characters of a text
     that is cut. ``n_chars`` follows the new text.
     """
-    out = deduplicate(docs)
+    out = deduplicate(docs, length, **options)
     whole = F.col("kept").cast("string")
     text = F.when(F.size("spans") > 0, F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit(""))).otherwise(whole)
     columns = {"text": text, "n_chars": F.char_length(text).cast("long")}

@@ -86,6 +86,18 @@ def test_stage_keeps_columns_and_drops_emptied_documents(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [(2, "own ", "en", "s", 4), (3, "clean", None, None, 5), (4, "", "en", "s", 0)]
 
 
+def test_stage_of_passage_length_takes_54_shared_words(spark):
+    r = random.Random(2)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(n))
+    shared, own = words(54), [words(80) for _ in range(3)]
+    assert sd.PASSAGE <= len(shared) < sd.LENGTH
+    rows = [(i, f"{t}{shared}" if i else t, None, None, 0) for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = [x.text for x in sorted(sd.stage(df, sd.PASSAGE).collect())]
+    assert texts == own
+    assert [x.text for x in sorted(sd.stage(df).collect())] == [x[1] for x in rows]
+
+
 def test_query_over_the_whole_table(spark):
     from cropwind.llm import queries
 
