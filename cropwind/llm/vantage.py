@@ -8,13 +8,16 @@ could still be among the best: factor 1 is exact, larger ones skip more. A query
 far is shared by all levels of one shard. Final scores are exact inner products of the original
 vectors in double precision, summed in the order of the components.
 
-Within a shard equal vectors are one point; of its ids the ``k + 1`` smallest are enough for ``k``
-neighbours other than the query itself with ties to the smaller id, so none is lost.
+Rows that repeat both id and vector are counted first and dealt as one, with their number. Within a
+shard equal vectors are one point; of its ids the ``k`` smallest other than the query's are enough,
+with ties to the smaller id, and points that only the query's own id has are passed over, so none is
+lost.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor
-do rows with a null id; vectors of other dimensions than the query's are not compared with it; rows
-repeated with one id count once each and are all excluded for the query of that id; other columns
-are ignored; an empty table gives no rows.
+do rows with a null id; vectors of other dimensions than the query's are not compared with it; every row
+counts, also one that repeats an id or an id and its vector, so a neighbour repeated takes several
+places, and the rows of one query id share its ``k`` places, as in the SQL twin; all rows of the
+query's own id are excluded; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,8 +81,11 @@ class Tree:
             return members
         return vantage, (apart[near[0]], apart[near[-1]], self._built(members[near])), (apart[far[0]], apart[far[-1]], self._built(members[far]))
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each query the candidates' numbers and squared distances, at least the best ``k`` of those met."""
+    def search(self, queries: np.ndarray, k: int, factor: float, owners: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each query the candidates' numbers and squared distances, at least the best ``k`` of those met.
+
+        ``owners`` numbers the points and the queries; a query passes over the points of its own number.
+        """
         n = len(queries)
         best = [np.zeros(0, np.int64)] * n
         dist = [np.zeros(0)] * n
@@ -93,7 +99,10 @@ class Tree:
             if isinstance(node, np.ndarray):
                 d2 = np.maximum(own[active][:, None] + norms[node][None] - 2.0 * queries[active] @ self.points[node].T, 0.0)
                 # A little slack keeps candidates whose rounded distances tie.
-                hit, at = np.nonzero(d2 <= worst[active][:, None] * (1 + 1e-9) + 1e-12)
+                near = d2 <= worst[active][:, None] * (1 + 1e-9) + 1e-12
+                if owners is not None:
+                    near &= owners[0][node][None] != owners[1][active][:, None]
+                hit, at = np.nonzero(near)
                 cuts = np.searchsorted(hit, np.arange(len(active) + 1))
                 for i, q in enumerate(active.tolist()):
                     mine = at[cuts[i] : cuts[i + 1]]
@@ -130,21 +139,26 @@ def _search(k: int, factor: float):
             return none
         data, q = _stacked(shard["vector"]), _stacked(queries["vector"])
         vectors, place = np.unique(data, axis=0, return_inverse=True)
-        ids = shard["vec_id"].to_numpy()
+        ids, asking = shard["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
         order = np.lexsort((ids, place.ravel()))
-        ids, place = ids[order], place.ravel()[order]
+        ids, place, copies = ids[order], place.ravel()[order], shard["copies"].to_numpy()[order]
         starts = np.searchsorted(place, np.arange(len(vectors) + 1))
         norms = (vectors**2).sum(axis=1)
         lifted = np.column_stack((vectors, np.sqrt(np.maximum(norms.max() - norms, 0.0))))
         lifted_q = np.column_stack((q, np.zeros(len(q))))
-        found, _ = Tree(lifted).search(lifted_q, k + 1, factor)
+        # A point's number is that of its only id, or -1 where several ids have the vector.
+        known = np.unique(ids)
+        spot = np.minimum(np.searchsorted(known, asking), len(known) - 1)
+        owners = np.where(np.diff(starts) == 1, np.searchsorted(known, ids[starts[:-1]]), -1), np.where(known[spot] == asking, spot, -2)
+        found, _ = Tree(lifted).search(lifted_q, k, factor, owners)
         out_q, out_v, out_s = [], [], []
-        for i, (qid, points) in enumerate(zip(queries["vec_id"].to_numpy().tolist(), found, strict=True)):
+        for i, (qid, times, points) in enumerate(zip(asking.tolist(), queries["copies"].tolist(), found, strict=True)):
             s = scores(vectors[points], q[i])
-            members = [_smallest(ids[starts[p] : starts[p + 1]], qid, k) for p in points]
-            v = np.concatenate(members) if members else np.zeros(0, np.int64)
-            s = np.repeat(s, [len(m) for m in members])
+            members = [starts[p] + _smallest(ids[starts[p] : starts[p + 1]], qid, k) for p in points]
+            m = np.concatenate(members) if members else np.zeros(0, np.int64)
+            v, s = ids[m], np.repeat(s, [len(x) for x in members])
             best = np.lexsort((v, -s))[:k]
+            best = np.repeat(best, copies[m[best]] * times)[:k]
             out_q.append(np.full(len(best), qid))
             out_v.append(v[best])
             out_s.append(s[best])
@@ -154,26 +168,28 @@ def _search(k: int, factor: float):
 
 
 def _smallest(ids: np.ndarray, without: int, k: int) -> np.ndarray:
-    """The ``k`` smallest of sorted ids other than ``without``."""
+    """Places of the ``k`` smallest of sorted ids other than ``without``."""
     lo, hi = np.searchsorted(ids, [without, without + 1]) if without < np.iinfo(np.int64).max else (np.searchsorted(ids, without), len(ids))
-    return np.concatenate((ids[: min(lo, k)], ids[hi : hi + k]))[:k]
+    return np.concatenate((np.arange(min(lo, k)), np.arange(hi, min(hi + k, len(ids)))))[:k]
 
 
 def neighbours(embeddings: DataFrame, is_query, k: int = NEIGHBOURS, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every query row."""
-    rows = written(usable(embeddings).withColumn("dimension", F.size("vector")), "vantage-rows")
+    # More copies than places make no difference.
+    counted = usable(embeddings).groupBy("vec_id", "vector").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))
+    rows = written(counted.withColumn("dimension", F.size("vector")), "vantage-rows")
     shards = max(1, -(-rows.count() // shard_rows))
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "vector"])
+    asked = rows.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    # Dealt by id, so that shards and blocks have equal sizes whatever the vectors are.
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    # Dealt by id and vector, so that shards and blocks have equal sizes also where one of them repeats.
+    spread = lambda n: F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int")
     asked = asked.withColumn("block", spread(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     held = rows.withColumn("shard", spread(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dimension", "shard", "block"]
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_search(k, factor), _RESULT)
     # Each shard gave k rows a query at most.
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    ranked = found.distinct().withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,24 @@ def test_no_rows_and_few_candidates(spark):
     assert {tuple(r) for r in got(spark, [(0, [1.0, 2.0]), (1, [0.5, 0.5])]).collect()} == {(0, 1, 1, 1.5)}
 
 
+@pytest.mark.parametrize("shard_rows", [16_384, 40])
+def test_repeated_rows_equal_the_sql_twin(spark, shard_rows):
+    """Components are small whole numbers, so that scores are exact and tie."""
+    r = random.Random(6)
+    whole = lambda: [float(r.randint(-4, 4)) for _ in range(5)] + [1.0]
+    rows = [(i, whole()) for i in range(200)]
+    near = [9.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    rows += [(301, near)] * 8 + [(302, [8.0, 0.0, 0.0, 0.0, 0.0, 1.0])] * 3
+    # 400 has a vector of many ids among 30 of its own, all nearer to it than any other; 420 repeats itself.
+    rows += [(400, [9.0 + i, 0.0, 0.0, 0.0, 0.0, 1.0]) for i in range(30)]
+    rows += [(420, [0.0, 9.0, 0.0, 0.0, 0.0, 1.0])] * 3 + [(i, near) for i in range(501, 504)]
+    rows += [(601, [0.0, 0.0, 9.0, 0.0, 0.0, 1.0])] * 30 + [(603, [0.0, -9.0, 0.0, 0.0, 0.0, 1.0]), (603, [0.0, -8.0, 0.0, 0.0, 0.0, 1.0])] * 2
+    duck = duckdb.connect()
+    duck.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
+    out = got(spark, rows, shard_rows=shard_rows)
+    assert sorted(map(tuple, out.collect())) == sorted(duck.execute(vantage.SQL).fetchall())
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_query_over_the_whole_table(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in queries.table(spark, sf, "embeddings").collect()]
