@@ -91,15 +91,21 @@ def _is(value: Any, kind: str) -> bool:
     return isinstance(value, _TYPES[kind])
 
 
+def tool_json(text: str | None) -> dict | None:
+    """What a message in one of the JSON forms holds; None for plain text."""
+    if not text or text.lstrip()[:1] != "{":
+        return None
+    try:
+        found = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) and (isinstance(found.get("tool_calls"), list) or found.get("tool_call_id") is not None) else None
+
+
 def message_parts(role: str | None, text: str | None, schemas: Mapping[str, Mapping[str, Any]]) -> list[tuple]:
     """(part, kind, call_id, after, valid, error, body) of one message."""
-    found: Any = None
-    if text and text.lstrip()[:1] == "{":
-        try:
-            found = json.loads(text)
-        except (ValueError, RecursionError):
-            found = None
-    if isinstance(found, dict) and isinstance(found.get("tool_calls"), list):
+    found = tool_json(text)
+    if found is not None and isinstance(found.get("tool_calls"), list):
         out = [(0, "text", None, None, None, None, canonical({"role": role, "content": found.get("content")}))]
         for n, call in enumerate(found["tool_calls"], 1):
             call = call if isinstance(call, dict) else {}
@@ -115,7 +121,7 @@ def message_parts(role: str | None, text: str | None, schemas: Mapping[str, Mapp
             call_id = None if call.get("id") is None else str(call["id"])
             out.append((n, "call", call_id, after, error is None, error, canonical({"id": call_id, "name": name, "arguments": arguments})))
         return out
-    if isinstance(found, dict) and found.get("tool_call_id") is not None:
+    if found is not None:
         return [(0, "result", str(found["tool_call_id"]), None, None, None, canonical({"role": role, "tool_call_id": str(found["tool_call_id"]), "content": found.get("content")}))]
     return [(0, "text", None, None, None, None, canonical({"role": role, "content": text or ""}))]
 
@@ -186,10 +192,11 @@ ANSWER = {"answer": {"type": "object", "properties": {"question": {"type": "stri
 def exchanges(conversations: DataFrame) -> DataFrame:
     """Conversations without tools in the JSON form: each user's turn calls ``answer``, the next turn is its result.
 
-    Messages that are no user's or assistant's stay as they are.
+    Messages that are no user's or assistant's stay as they are, and so do those in the JSON form already.
     """
+    held = F.pandas_udf(lambda texts: texts.map(lambda t: tool_json(t) is not None).astype(bool), "boolean")
     text, turn = F.coalesce("text", F.lit("")), F.col("turn")
     call = F.struct(turn.cast("string").alias("id"), F.lit("answer").alias("name"), F.struct(text.alias("question"), "turn").alias("arguments"))
     asked = F.to_json(F.struct(F.lit("").alias("content"), F.array(call).alias("tool_calls")))
     answered = F.to_json(F.struct((turn - 1).cast("string").alias("tool_call_id"), text.alias("content")))
-    return conversations.select("conv_id", "turn", "role", F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", answered).otherwise(F.col("text")).alias("text"))
+    return conversations.select("conv_id", "turn", "role", F.when(held("text"), F.col("text")).when(F.col("role") == "user", asked).when(F.col("role") == "assistant", answered).otherwise(F.col("text")).alias("text"))

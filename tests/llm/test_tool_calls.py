@@ -43,6 +43,21 @@ def test_violations(value, schema, error):
     assert tc.violation(value, schema) == error
 
 
+def test_exchanges_leave_tool_calls_as_they_are(spark):
+    held = json.dumps({"tool_calls": [{"id": "look", "name": "answer", "arguments": {"question": "", "turn": 1}, "after": ["0"]}]})
+    rows = [
+        (1, 0, "user", "q", 0), (1, 1, "assistant", held, 0), (1, 2, "tool", '{"tool_call_id": "look", "content": 5}', 0), (1, 3, "assistant", '{"tool_call_id": "0", "content": "a"}', 0),
+        (2, 0, "user", '{"tool_calls": 1}', 0), (2, 1, "assistant", "{broken", 0), (3, 0, "user", None, 0),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = tc.link(tc.exchanges(df), tc.ANSWER).where("kind <> 'text'").collect()
+    assert sorted((r.conv_id, r.turn, r.kind, r.call_id, r.status, r.level, r.error) for r in out) == [
+        (1, 0, "call", "0", "linked", 0, None), (1, 1, "call", "look", "linked", 1, "$.question: length"), (1, 2, "result", "look", "linked", 2, None), (1, 3, "result", "0", "linked", 1, None),
+        (2, 0, "call", "0", "linked", 0, None), (2, 1, "result", "0", "linked", 1, None), (3, 0, "call", "0", "open", 0, "$.question: length"),
+    ]
+    assert tc.exchanges(df.where("false")).count() == 0
+
+
 def test_query_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = queries.table(spark, sf, "conversations").collect()
