@@ -691,13 +691,13 @@ def quotes_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT commodity, date, 'large' AS later, close FROM daily_market) AS landed"""
 )
 def landed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that landed in two files of unequal size: the later file wins, be it the small or the large one."""
+    """Days that landed twice, in sets of files of unequal size: the later set wins, be it the small or the large one."""
     closes = written(panels.daily_market(spark, sf_dir).withColumnRenamed("close", "Close"), "closes")
     late, out = closes.where(F.col("date") >= F.lit(_SPLIT)), []
-    for later, files in {"small": [(closes, 2), (late, 1)], "large": [(late, 3), (closes, 1)]}.items():
+    for later, sets in {"small": [(closes, 2, 5), (late, 1, 3)], "large": [(late, 3, 3), (closes, 1, 5)]}.items():
         path = scratch_path(spark, "landed")
-        for rows, factor in files:
-            rows.withColumn("Close", F.col("Close") * factor).coalesce(1).write.mode("append").option("header", True).csv(path)
+        for rows, factor, files in sets:
+            rows.withColumn("Close", F.col("Close") * factor).repartition(files, "commodity").write.mode("append").option("header", True).csv(path)
         out.append(landing.daily_close(tables.csv_frames(spark, path)[0]).withColumn("later", F.lit(later)))
     return present(out[0].unionByName(out[1]).select("commodity", "date", "later", "close"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -70,6 +71,20 @@ def test_plans_have_no_pair_join_and_no_single_task_window(spark, name):
         assert "], [" in window, "a window without keys would run in one task"
 
 
+def test_landings_are_written_as_several_files(spark, monkeypatch, tmp_path):
+    folders = []
+
+    def folder(_, name):
+        folders.append(tmp_path / f"{name}-{len(folders)}")
+        return str(folders[-1])
+
+    monkeypatch.setattr(catalog, "scratch_path", folder)
+    catalog.landed_twice(spark, SF)
+    # Two landings of several files each; the name of a landing's files ends alike.
+    counts = [sorted(Counter(re.sub(r"part-\d+-", "", f.name) for f in path.glob("*.csv")).values()) for path in folders]
+    assert len(counts) == 2 and all(len(c) == 2 and c[0] > 1 for c in counts)
+
+
 def test_scans_read_only_what_the_query_needs(spark):
     plan = plan_of(pipeline.index_table(spark, SF))
     read = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
