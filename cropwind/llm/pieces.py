@@ -246,29 +246,35 @@ def in_calls(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def encode(docs: DataFrame, data: bytes, threads: int | None = None, decode: bool = False) -> DataFrame:
-    """``doc_id, ids`` of every row, with ``decoded`` (the text that the ids give back) if asked for.
+def encode(docs: DataFrame, data: bytes, threads: int | None = None, decode: bool = False, verify: bool = False) -> DataFrame:
+    """``doc_id, ids`` of every row; if asked for ``decoded`` (the text that the ids give back) and ``same``.
+
+    ``same`` tells whether the SentencePiece library gives the same ids; it encodes the batch again.
 
     ``data`` is the model file's content; it goes to the tasks once, as a broadcast of fixed size.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(data)
     cores = threads or int(spark.conf.get("spark.task.cpus", "1"))
-    schema = "doc_id long, ids array<int>" + (", decoded string" if decode else "")
+    schema = "doc_id long, ids array<int>" + (", decoded string" if decode else "") + (", same boolean" if verify else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _threads(cores)
         encoder = _encoder(sent.value)
+        own = _library(sent.value) if verify else None
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for first, end in in_calls(texts):
                 ids = encoder.encode(texts[first:end])
                 ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 flat = np.concatenate([np.asarray(i, np.int32) for i in ids]) if ids else np.zeros(0, np.int32)
-                columns = [batch.column("doc_id").slice(first, end - first), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))]
+                columns = {"doc_id": batch.column("doc_id").slice(first, end - first), "ids": pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))}
                 if decode:
-                    columns.append(pa.array(encoder.decode(ids), pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+                    columns["decoded"] = pa.array(encoder.decode(ids), pa.string())
+                if verify:
+                    want = own.encode(texts[first:end], num_threads=cores)
+                    columns["same"] = pa.array([a == b for a, b in zip(ids, want, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -278,25 +284,16 @@ def _encoder(data: bytes) -> Encoder:
     return Encoder(data)
 
 
-def parity(docs: DataFrame, data: bytes) -> DataFrame:
-    """``doc_id, same``: whether the SentencePiece library gives the same ids."""
-    sent = docs.sparkSession.sparkContext.broadcast(data)
+@cache
+def _library(data: bytes):
+    import sentencepiece
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
 
-        _threads(1)
-        encoder, own = _encoder(sent.value), sentencepiece.SentencePieceProcessor(model_proto=sent.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            same = []
-            for first, end in in_calls(texts):
-                part = texts[first:end]
-                want = own.encode(part, num_threads=1)
-                same += [a == b for a, b in zip(encoder.encode(part), want, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.bool_())], names=["doc_id", "same"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same boolean")
+def parity(docs: DataFrame, data: bytes) -> DataFrame:
+    """``doc_id, same``: whether the SentencePiece library gives the same ids."""
+    return encode(docs, data, verify=True).select("doc_id", "same")
 
 
 def model_bytes(path: str = MODEL_FILE) -> bytes:
@@ -310,6 +307,6 @@ def stage(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
-    """``doc_id, n_pieces, ids, decoded_sha256``: what the ids of each document decode to as a digest."""
-    out = encode(docs, model_bytes(path), decode=True)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """``doc_id, n_pieces, ids, decoded_sha256, same``: what the ids decode to as a digest, and whether they have parity."""
+    out = encode(docs, model_bytes(path), decode=True, verify=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "same")

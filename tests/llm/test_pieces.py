@@ -4,6 +4,7 @@ import hashlib
 import struct
 
 import pytest
+import pyarrow as pa
 import sentencepiece
 
 from cropwind.llm import pieces as p
@@ -57,6 +58,24 @@ def test_query_gives_back_every_text(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_query_verifies_parity(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(EDGE)], "doc_id long, text string")
+    assert queries.op3_pieces(spark, SF).where("same IS NOT TRUE").isEmpty() and p.digest(df).where("same IS NOT TRUE").isEmpty()
+    data = p.model_bytes()
+
+    class Off:
+        def encode(self, texts, **_):
+            return [[1]] * len(texts)
+
+    monkeypatch.setattr(p, "_library", lambda data: Off())
+    # In this process, as tasks import a module of their own.
+    run = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: run.append(f) or df)
+    p.encode(df, data, verify=True)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two three", "four"]})
+    assert [x for out in run[0](iter([batch])) for x in out.column("same").to_pylist()] == [False, False]
+
+
 def test_null_repeated_and_clashing_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "a", 2), (1, "a", 2)], "doc_id long, text string, ids int")
     assert sorted((r.n_pieces, r.doc_id or 0) for r in p.digest(df).collect()) == [(0, 0), (1, 1), (1, 1)]
