@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropwind.llm import cross_entropy, html_extract, jaccard_join, mixing, pieces, quality_rules, suffix_dedup, tool_calls, url_filter, vantage
+from cropwind.llm import cross_entropy, fill_middle, hard_negatives, html_extract, jaccard_join, mixing, pieces, quality_rules, suffix_dedup, tool_calls, url_filter, vantage, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,17 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.train(pages, table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_pieces, op4_jaccard_join, op5_url_filter, op6_vantage, op7_tool_calls, op8_cross_entropy, op9_mixing, op10_html_extract)}
-ORACLES: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op6_vantage": vantage.SQL, "op9_mixing": mixing.SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % hard_negatives.ANCHOR_EVERY == 0)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_pieces, op4_jaccard_join, op5_url_filter, op6_vantage, op7_tool_calls, op8_cross_entropy, op9_mixing, op10_html_extract, op11_hard_negatives, op12_fill_middle, op13_warc)}
+ORACLES: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op6_vantage": vantage.SQL, "op9_mixing": mixing.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_fill_middle": fill_middle.SQL, "op13_warc": warc.SQL}
