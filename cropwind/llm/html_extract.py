@@ -56,14 +56,15 @@ GROUPS = {
 }
 #: Name parts of page furniture and of articles.
 BAD_NAMES = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner bar breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus "
-    "discussion feedback footer form gdpr header hidden legal login masthead menu meta metadata modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion reader "
-    "recommended related replies reply respond responses search share sharing sidebar signup site skip social sponsor sponsored subscribe tags teaser toolbar tracking widget warning alert reviews".split()
+    "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus "
+    "discussion feedback footer form gdpr header hidden legal login masthead menu meta metadata modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion "
+    "recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar tracking widget".split()
 )
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text prose markdown".split())
 FEATURES = [*GROUPS, "other", "bad", "good", "links", "short", "medium", "long", "sentence", "inner", "bias"]
-#: Where the weights are drawn to; others are drawn to 0. A region's name outweighs the prose inside it.
-PRIOR = {"nav": -25.0, "footer": -25.0, "aside": -25.0, "form": -25.0, "header": -25.0, "bad": -25.0, "article": 4.0, "good": 2.0, "text": 0.6, "heading": 0.5, "links": -2.5, "long": 0.4, "short": -0.3, "sentence": 0.3, "page": -0.5}
+#: Where the weights are drawn to; others are drawn to 0. A region's name outweighs the prose inside it,
+#: and a page as a whole is content, so what no furniture holds is kept.
+PRIOR = {"nav": -25.0, "footer": -25.0, "aside": -25.0, "form": -25.0, "header": -25.0, "bad": -25.0, "article": 4.0, "good": 2.0, "text": 0.6, "heading": 0.5, "links": -2.5, "long": 0.4, "short": -0.3, "sentence": 0.3, "page": 6.0, "bias": 0.5}
 #: Counts that stand for tables seen before the first page: [parent][child], for regions and for other elements.
 REGION_COUNTS = ((40.0, 20.0), (12.0, 20.0))
 PLAIN_COUNTS = ((60.0, 3.0), (2.0, 60.0))

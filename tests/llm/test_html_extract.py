@@ -75,3 +75,14 @@ def test_null_empty_broken_and_clashing_rows(spark):
     assert len(out) == len(rows) and h.extract(df.where("false"), h.fitted([])).count() == 0
     found = {r.page_id: r.text for r in out}
     assert found[None] == "open text" and found[2].startswith("plain & simple") and found[4] == "deep text" and sorted(r.text for r in out if r.page_id == 1) == ["", ""]
+
+
+def test_what_no_furniture_holds_is_kept():
+    model = h.fitted([])
+    for source, want in [
+        ("<div>plain text of some length here.</div>", "plain text of some length here."),
+        ("<article><p>One. Two.</p><div class='reviews-of-literature'><p>A study of studies.</p></div></article>", "One. Two.\nA study of studies."),
+        ("<div id='site-content'><p>Alert readers skip the bar.</p><ul class='tags'><li>one</li></ul></div>", "Alert readers skip the bar.\none"),
+        ("<nav><ul><li><a href=x>Home</a></ul></nav><div><span>Text.</span></div><footer>Foot</footer>", "Text."),
+    ]:
+        assert h.text_of(source, model) == want
