@@ -75,8 +75,9 @@ def rarity(docs: DataFrame, words: int = SHINGLE_WORDS) -> np.ndarray:
     """Level of each sketch cell, 0 for the most: one byte a cell, 1 MB whatever the input."""
     counts = docs.select("text").mapInArrow(_count_cells(words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     level = np.zeros(1 << SKETCH_BITS, np.uint64)
-    rows = counts.select("cell", F.floor(F.log2("n") * 2).cast("int").alias("level")).toPandas()
-    level[rows["cell"].to_numpy()] = rows["level"].to_numpy()
+    # Columns as they are, five bytes a cell: no Python object for each of a million rows.
+    rows = counts.select(F.col("cell").cast("int").alias("cell"), F.floor(F.log2("n") * 2).cast("byte").alias("level")).toArrow()
+    level[rows.column("cell").to_numpy()] = rows.column("level").to_numpy()
     return level
 
 
@@ -290,18 +291,20 @@ def join(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD
     return own.where("n > 0").join(ids, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component: the one with the smallest id, one row of it.
 
     Documents without words are no duplicates and all stay.
     """
-    own, labels = set_components(docs)
-    named = own.where("n > 0").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("best"))
+    named = docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"in_{i}") for i, c in enumerate(docs.columns)))
+    own, labels = set_components(named, words, threshold)
+    sets = own.where("n > 0").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    best = sets.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.copy").alias("kept_copy")).distinct()
     kept = written(kept, "jaccard-kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.where(worded).withColumn("kept_copy", F.xxhash64(text))
-    rows = rows.join(kept, (rows["kept_copy"] == kept["kept_copy"]) & rows["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where(~worded))
+    rows = named.where(worded).withColumn("copy", F.xxhash64(text))
+    rows = rows.join(kept, (F.col("copy") == F.col("kept_copy")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = rows.drop("copy").dropDuplicates(["doc_id", "text"]).unionByName(named.where(~worded))
+    return rows.select(*(F.col(n).alias(c) for n, c in zip(named.columns, docs.columns, strict=True)))

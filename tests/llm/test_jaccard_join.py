@@ -111,3 +111,28 @@ def test_query_over_the_whole_table(spark):
     want = brute(rows)
     assert sorted(map(tuple, queries.op4_jaccard_join(spark, sf).collect()), key=str) == want
     assert any(d != c for d, _, c in want)
+
+
+def test_stage_with_clashing_columns(spark):
+    rows = [(1, "a b c d", "x", 1, 2, None), (2, "a b c d", "y", 1, 2, None), (3, None, "z", 1, 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_copy string, copy int, n int, component string")
+    assert sorted(map(tuple, jj.stage(df).select("doc_id", "kept_copy", "copy").collect())) == [(1, "x", 1), (3, "z", 1)]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(120_000)]
+    other = list(words)
+    for i in range(0, 110_000, 110):
+        other[i] = "edit"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:100_000])), (4, " ".join(words[60_000:])), (5, "z " * 400_000)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_rarity_comes_to_the_driver_as_columns(spark, monkeypatch):
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(400)),) for _ in range(20)], "text string")
+    kind = type(df)
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda self: pytest.fail("rows as Python objects"))
+    level = jj.rarity(df)
+    assert len(level) == 1 << jj.SKETCH_BITS and level.any()
