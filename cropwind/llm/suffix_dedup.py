@@ -14,8 +14,14 @@ sorting: about two in ``length - k`` positions instead of all.
    anchor. Clusters of anchors with a common left context are merged from the deepest on, the
    smaller into the larger, and the neighbours in suffix order give the longest match on the right.
    A match of at least ``length`` bytes in all covers its bytes.
-3. A group of more than ``group_limit`` different blocks is never held by one task: its single
-   windows are counted by hash instead, which is linear in the text and as exact.
+3. A group of more than ``group_limit`` different blocks is split before it is sorted. Its windows begin
+   between 0 and ``length - k`` bytes before the anchor; each half of that range has bytes on either side
+   that all its windows hold, and anchors that differ in them cannot share such a window. So a member goes
+   to one sub-group for each half, by the hash of these bytes, and what is still too large is halved again.
+
+Passages are found in the same passes in a second form of the text, one 32-bit hash for each word: a
+passage of ``PASSAGE_WORDS`` words, whatever white space lies between them, is a string of four times as
+many bytes there.
 
 Defined results: a null text counts as empty; a text below ``length`` bytes loses nothing; repeated
 rows are copies of each other; null ids are allowed; other columns are ignored; an empty table gives
@@ -24,36 +30,44 @@ no rows.
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cropwind.llm.grams import Hashed, mixed, slices
+from cropwind.llm.grams import Hashed, mixed, slices, words
 from cropwind.sources.paths import written
 
 LENGTH = 400
-#: Bytes below which few passages of 51 words lie, for a stage that takes these too; see the README.
-PASSAGE = 200
+#: Words of a passage that is reported, and removed by ``stage``, besides strings of ``LENGTH`` bytes.
+PASSAGE_WORDS = 51
 #: Bytes of the string that picks an anchor. Longer: fewer chance groups, more anchors.
 ANCHOR_BYTES = 128
-#: Different blocks of one anchor string that one task sorts; beyond it windows are counted.
+ANCHOR_WORDS = 16
+#: Bytes of a word's hash in the second form of a text.
+UNIT = 4
+#: The two forms of a text: its own bytes, and its words' hashes.
+BYTES, WORDS = 0, 1
+#: Different blocks of one anchor string that one task sorts at once; beyond it the group is split.
 GROUP_LIMIT = 20_000
 #: Depth in bytes at which multikey quicksort hands over to blind tries.
 SHALLOW = 48
 WORD = 8
 
 KEYS = ("k1", "k2")
-_ANCHORS = "k1 long, k2 long, at long, gram long, block long, before int, reach int"
+_ANCHORS = "kind int, k1 long, k2 long, at long, gram long, block long, before int, reach int"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with two hashes that stand for the pair; equal rows share them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text, "doc_id").alias("k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("k2"))
+    return docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text, "doc_id").alias("k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("k2"))
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -95,17 +109,28 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tupl
     return row, low - offsets[row], high - offsets[row], at - offsets[row], grams[at], block
 
 
-def _scan(length: int, k: int):
+def as_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The second form of texts: ``UNIT`` bytes for each word, and where each text begins in them."""
+    start, end, first = words(data, offsets)
+    hashes = mixed(Hashed(data).of(start, end) + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+    return hashes.astype(np.uint32).view(np.uint8), first * UNIT
+
+
+def _scan(lengths: dict[int, tuple[int, int]]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy() for c in KEYS)
-            for first, _, data, offsets in slices(batch.column("text")):
-                row, low, high, at, gram, block = _anchors(data, offsets, length, k)
-                row = row + first
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (k1[row], k2[row], at, gram.view(np.int64), block.view(np.int64), (at - low).astype(np.int32), (high + length - at).astype(np.int32))],
-                    names=["k1", "k2", "at", "gram", "block", "before", "reach"],
-                )
+            for start, _, raw, places in slices(batch.column("text")):
+                for kind, (length, k) in lengths.items():
+                    data, offsets = (raw, places) if kind == BYTES else as_units(raw, places)
+                    row, low, high, at, gram, block = _anchors(data, offsets, length, k)
+                    row = row + start
+                    # Each form has anchor strings of its own.
+                    gram = mixed(gram + np.uint64(kind))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (np.full(len(row), kind, np.int32), k1[row], k2[row], at, gram.view(np.int64), block.view(np.int64), (at - low).astype(np.int32), (high + length - at).astype(np.int32))],
+                        names=[c.split()[0] for c in _ANCHORS.split(", ")],
+                    )
 
     return scan
 
@@ -245,21 +270,36 @@ def matches(left: list[bytes], right: list[bytes], length: int) -> list[list[tup
     return spans
 
 
-def _solve(length: int):
+_SPANS = "kind int, k1 long, k2 long, first long, end long"
+_CONTEXTS = "kind int, gram long, block long, k1 long, k2 long, at long, before int, left binary, right binary, copies long"
+#: A context that waits to be sorted, with the range of starts (bytes before the anchor) that its group stands for.
+_OPEN = "kind int, gram long, k1 long, k2 long, at long, left binary, right binary, copies long, low int, high int"
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[name for name, _ in fields])
+
+
+def _rows(batch: pa.RecordBatch, schema: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c.split()[0]).to_pylist() for c in schema.split(", ")), strict=True)
+
+
+def _solve(lengths: dict[int, tuple[int, int]]):
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor string, so a group is a run that may cross batches."""
+        """Rows come sorted by group, so a group is a run that may cross batches."""
         group: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = matches([g[4] for g in group], [g[5] for g in group], length) if len(group) > 1 else []
-            rows = [(g[1], g[2], g[3] - b, g[3] + a) for g, spans in zip(group, found, strict=False) if g[6] == 1 for b, a in set(spans)]
+            found = matches([g[5] for g in group], [g[6] for g in group], lengths[group[0][0]][0]) if len(group) > 1 else []
+            rows = [(g[0], g[2], g[3], g[4] - b, g[4] + a) for g, spans in zip(group, found, strict=False) if g[7] == 1 for b, a in set(spans)]
             if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "first", "end"])
+                yield _batch(_SPANS, rows)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "k1", "k2", "at", "left", "right", "copies")), strict=True):
-                if group and group[0][0] != row[0]:
+            for row in _rows(batch, _OPEN):
+                if group and group[0][1] != row[1]:
                     yield from out()
                     group = []
                 group.append(row)
@@ -268,69 +308,83 @@ def _solve(length: int):
     return solve
 
 
-_CONTEXTS = "gram long, block long, k1 long, k2 long, at long, before int, left binary, right binary, copies long"
+def _halved(lengths: dict[int, tuple[int, int]]):
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each context once for each half of its range of starts, in a group by the bytes that all windows of the half hold."""
+        for batch in batches:
+            rows = []
+            for kind, gram, k1, k2, at, left, right, copies, low, high in _rows(batch, _OPEN):
+                length, middle = lengths[kind][0], (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    if a <= b and len(left) >= a and len(right) >= length - b:
+                        shared = blake2b(left[:a] + right[: length - b], digest_size=8, key=struct.pack("<qii", gram, a, b)).digest()
+                        rows.append((kind, struct.unpack("<q", shared)[0], k1, k2, at, left, right, copies, a, b))
+            if rows:
+                yield _batch(_OPEN, rows)
+
+    return halved
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text around each anchor; the left side is reversed."""
     for batch in batches:
         for text, anchors in zip(batch.column("text"), batch.column("anchors"), strict=True):
-            data = text.as_py().encode()
-            rows = anchors.as_py()
-            out = [(a["gram"], a["block"], a["k1"], a["k2"], a["at"], a["before"], data[a["at"] - a["before"] : a["at"]][::-1], data[a["at"] : a["at"] + a["reach"]], a["copies"]) for a in rows]
-            types = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in _CONTEXTS.split(", ")])
-
-
-def _windows(length: int):
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row with a hash for each single window of an anchor."""
-        for batch in batches:
-            for k1, k2, at, left, right, copies, gram in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "at", "left", "right", "copies", "gram")), strict=True):
-                data = np.frombuffer(left[::-1] + right, np.uint8)
-                start = np.arange(len(data) - length + 1)
-                value = mixed(Hashed(data).of(start, start + length)).view(np.int64)
-                n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(len(left) - start), pa.array(value), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(at - len(left) + start), pa.array(np.full(n, copies))], names=["gram", "offset", "value", "k1", "k2", "first", "copies"])
+            raw, units, out = text.as_py(), None, []
+            for a in anchors.as_py():
+                if a["kind"] == WORDS and units is None:
+                    units = as_units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
+                data, at = raw if a["kind"] == BYTES else units, a["at"]
+                out.append((a["kind"], a["gram"], a["block"], a["k1"], a["k2"], at, a["before"], data[at - a["before"] : at][::-1], data[at : at + a["reach"]], a["copies"]))
+            yield _batch(_CONTEXTS, out)
 
-    return windows
 
+def repeated_spans(rows: DataFrame, length: int = LENGTH, anchor_bytes: int = ANCHOR_BYTES, group_limit: int = GROUP_LIMIT, passage_words: int | None = None) -> DataFrame:
+    """``kind, k1, k2, first, end`` of ranges covered by strings that also start elsewhere.
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, anchor_bytes: int = ANCHOR_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """``k1, k2, first, end`` of byte ranges covered by strings that also start elsewhere.
-
-    Ranges may overlap. ``rows`` is the result of ``keyed``.
+    Ranges may overlap; those of kind ``WORDS`` (only with ``passage_words``) count in the second form of
+    the text. ``rows`` is the result of ``keyed``.
     """
-    k = min(anchor_bytes, length)
-    anchors = written(rows.select("text", *KEYS).mapInArrow(_scan(length, k), _ANCHORS), "suffix-anchors")
+    lengths = {BYTES: (length, min(anchor_bytes, length))}
+    if passage_words:
+        lengths[WORDS] = (UNIT * passage_words, UNIT * min(ANCHOR_WORDS, passage_words))
+    anchors = written(rows.select("text", *KEYS).mapInArrow(_scan(lengths), _ANCHORS), "suffix-anchors")
     seen = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
     # Written, so that a hot anchor string meets one row and its side of the join can be split.
     shared = written(seen.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")), "suffix-strings")
     found = written(anchors.join(shared, "gram"), "suffix-shared")
-    blocks = found.groupBy("gram", "block").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "at", "before", "reach", "mixed")))
+    blocks = found.groupBy("gram", "block").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("kind", "k1", "k2", "at", "before", "reach", "mixed")))
     blocks = written(blocks, "suffix-blocks")
     whole = found.join(blocks.where("copies > 1").select("gram", "block"), ["gram", "block"])
-    whole = whole.select(*KEYS, (F.col("at") - F.col("before")).alias("first"), (F.col("at") + F.col("reach")).alias("end"))
+    whole = whole.select("kind", *KEYS, (F.col("at") - F.col("before")).alias("first"), (F.col("at") + F.col("reach")).alias("end"))
 
-    members = blocks.where("mixed").select("gram", "block", *KEYS, "at", "before", "reach", "copies")
+    members = blocks.where("mixed").select("kind", "gram", "block", *KEYS, "at", "before", "reach", "copies")
     wanted = members.groupBy(*KEYS).agg(F.collect_list(F.struct(*members.columns)).alias("anchors"))
     texts = rows.select("text", *KEYS).join(wanted, list(KEYS)).dropDuplicates(list(KEYS)).select("text", *KEYS, "anchors")
     contexts = written(texts.mapInArrow(_cut, _CONTEXTS), "suffix-contexts")
-    sizes = contexts.groupBy("gram").count()
-    usual = contexts.join(sizes.where(F.col("count") <= group_limit).select("gram"), "gram", "left_semi")
-    usual = usual.repartition("gram").sortWithinPartitions("gram").select("gram", *KEYS, "at", "left", "right", "copies")
-    sorted_spans = usual.mapInArrow(_solve(length), "k1 long, k2 long, first long, end long")
-
-    large = contexts.join(sizes.where(F.col("count") > group_limit).select("gram"), "gram", "left_semi")
-    singles = large.mapInArrow(_windows(length), "gram long, offset long, value long, k1 long, k2 long, first long, copies long")
-    same = singles.groupBy("gram", "offset", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = singles.where("copies = 1").join(same, ["gram", "offset", "value"]).select(*KEYS, "first", (F.col("first") + length).alias("end"))
-    return whole.unionByName(sorted_spans).unionByName(counted)
-
-
-def _merged(spans: list) -> list[tuple[int, int]]:
+    # A group stands for all starts from the anchor itself to where the string ends with the anchor's bytes.
+    most = F.create_map(*(F.lit(x) for kind, (n, k) in lengths.items() for x in (kind, n - k)))
+    names = [c.split()[0] for c in _OPEN.split(", ")]
+    waiting = contexts.withColumns({"low": F.lit(0), "high": most[F.col("kind")]}).select(*names)
+    out = [whole]
+    while True:
+        sizes = waiting.groupBy("gram").count()
+        large = written(sizes.where(F.col("count") > group_limit).select("gram"), "suffix-large")
+        usual = waiting.join(large, "gram", "left_anti").select(*names)
+        out.append(usual.repartition("gram").sortWithinPartitions("gram").mapInArrow(_solve(lengths), _SPANS))
+        if large.isEmpty():
+            break
+        rest = written(waiting.join(large, "gram", "left_semi").select(*names), "suffix-rest")
+        # A range of one start: all members of the group hold one window.
+        single = rest.where("low = high")
+        size = F.create_map(*(F.lit(x) for kind, (n, _) in lengths.items() for x in (kind, n)))[F.col("kind")]
+        out.append(single.where("copies = 1").select("kind", *KEYS, (F.col("at") - F.col("low")).alias("first"), (F.col("at") - F.col("low") + size).alias("end")))
+        waiting = written(rest.where("low < high").mapInArrow(_halved(lengths), _OPEN), "suffix-halves")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for first, end in sorted((s["first"], s["end"]) for s in spans):
+    for first, end in sorted(spans):
         if out and first <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -338,69 +392,91 @@ def _merged(spans: list) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, len(batch), 500):
-            part = batch.slice(lo, 500)
-            kept, spans = [], []
-            for text, found in zip(part.column("text").to_pylist(), part.column("found").to_pylist(), strict=True):
-                data = text.encode()
-                runs = _merged(found or [])
-                at, pieces = 0, []
-                for first, end in runs:
-                    pieces.append(data[at:first])
-                    at = end
-                pieces.append(data[at:])
-                kept.append(b"".join(pieces) if runs else data)
-                spans.append([{"first": a, "end": b} for a, b in runs])
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i, c in enumerate(part.schema.names) if c not in ("text", "found")), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
-                names=[*(c for c in part.schema.names if c not in ("text", "found")), "kept", "spans"],
-            )
-
-
-def deduplicate(docs: DataFrame, length: int = LENGTH, **options: int) -> DataFrame:
-    """``docs`` with ``kept`` (the remaining bytes) and ``spans`` (maximal removed runs) added.
-
-    The columns ``text`` and ``doc_id`` are needed; ``text`` is replaced by ``kept``.
+def _of_kind(found: list[dict], kind: int) -> list[tuple[int, int]]:
+    return _merged([(s["first"], s["end"]) for s in found if s["kind"] == kind])
+
+
+def _in_words(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Word numbers of ranges of the second form. A hash that is met by chance is no word's part."""
+    return [(-(-first // UNIT), end // UNIT) for first, end in spans]
+
+
+def _removal(remove_passages: bool):
+    def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            others = [c for c in batch.schema.names if c not in ("text", "found")]
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                kept, spans, passages = [], [], []
+                for data, found in zip(part.column("text").to_pylist(), part.column("found").to_pylist(), strict=True):
+                    runs, repeated = _of_kind(found or [], BYTES), _in_words(_of_kind(found or [], WORDS))
+                    if remove_passages and repeated:
+                        start, end, _ = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                        runs = _merged(runs + [(int(start[a]), int(end[b - 1])) for a, b in repeated])
+                    at, pieces = 0, []
+                    for first, end in runs:
+                        pieces.append(data[at:first])
+                        at = end
+                    pieces.append(data[at:])
+                    kept.append(b"".join(pieces))
+                    spans.append([{"first": a, "end": b} for a, b in runs])
+                    passages.append([{"first": a, "end": b} for a, b in repeated])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(kept, pa.binary()), pa.array(spans, ranges), pa.array(passages, ranges)], names=[*others, "kept", "spans", "passages"])
+
+    return removal
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH, passage_words: int | None = None, remove_passages: bool = False, **options: int) -> DataFrame:
+    """``docs`` with ``kept`` (the remaining bytes), ``spans`` (maximal removed runs, in bytes) and ``passages``
+    (maximal runs of words that lie in repeated passages of ``passage_words`` words) in place of ``text``.
+
+    Passages are removed too if asked for: from the first byte of their first word to the last of their last.
     """
-    kept, spans = "kept binary", "spans array<struct<first: long, end: long>>"
-    rows = keyed(docs)
-    found = repeated_spans(rows, length, **options)
+    ranges = "array<struct<first: long, end: long>>"
+    found = repeated_spans(keyed(docs), length, passage_words=passage_words, **options)
     # A document's ranges are no more than its anchors and their partners' splits, so one row holds them.
-    found = written(found.distinct().groupBy(*KEYS).agg(F.collect_list(F.struct("first", "end")).alias("found")), "suffix-spans")
+    found = written(found.distinct().groupBy(*KEYS).agg(F.collect_list(F.struct("kind", "first", "end")).alias("found")), "suffix-spans")
     others = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(others)), text.alias("text"), F.xxhash64(text, "doc_id").alias("k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("k2"))
+    own = docs.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(others)), text.cast("binary").alias("text"), F.xxhash64(text, "doc_id").alias("k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("k2"))
     joined = own.join(found, list(KEYS), "left").drop(*KEYS)
-    schema = ", ".join([*(f"own_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)), kept, spans])
-    out = joined.mapInArrow(_removal, schema)
-    return out.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(others)), "kept", "spans")
+    schema = ", ".join([*(f"own_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)), "kept binary", f"spans {ranges}", f"passages {ranges}"])
+    out = joined.mapInArrow(_removal(remove_passages), schema)
+    return out.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(others)), "kept", "spans", "passages")
+
+
+def _total(ranges: str) -> Column:
+    return F.aggregate(ranges, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    out = deduplicate(docs.select("doc_id", "text"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words`` of every document.
+
+    The last column counts the words that lie in passages of ``PASSAGE_WORDS`` words that also stand
+    elsewhere; such passages may be shorter than ``LENGTH`` bytes and are not removed here.
+    """
+    out = deduplicate(docs.select("doc_id", "text"), passage_words=PASSAGE_WORDS)
     return out.select(
         "doc_id",
-        (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
-        removed.alias("n_removed"),
+        (F.octet_length("kept") + _total("spans")).cast("long").alias("n_bytes"),
+        _total("spans").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        _total("passages").alias("n_passage_words"),
     )
 
 
-def stage(docs: DataFrame, length: int = LENGTH, **options: int) -> DataFrame:
-    """Documents with repeated strings of ``length`` bytes removed; one that loses its whole text goes.
+def stage(docs: DataFrame, length: int = LENGTH, passage_words: int | None = PASSAGE_WORDS, **options: int) -> DataFrame:
+    """Documents without repeated strings of ``length`` bytes and without repeated passages of ``passage_words`` words.
 
-    The default leaves repeated passages of 51 to about 64 words; ``PASSAGE`` takes them.
-    A character that a cut splits is dropped with the cut, as are replacement characters of a text
-    that is cut. ``n_chars`` follows the new text.
+    A document that loses all its words goes. A character that a cut splits is dropped with the cut, as are
+    replacement characters of a text that is cut. ``n_chars`` follows the new text.
     """
-    out = deduplicate(docs, length, **options)
+    named = docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"in_{i}") for i, c in enumerate(docs.columns)))
+    out = deduplicate(named, length, passage_words, True, **options)
     whole = F.col("kept").cast("string")
     text = F.when(F.size("spans") > 0, F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit(""))).otherwise(whole)
-    columns = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    kept = out.where((F.size("spans") == 0) | (F.octet_length("kept") > 0))
-    return kept.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    kept = out.withColumn("new", text).where((F.size("spans") == 0) | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    columns = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long"), "doc_id": F.col("doc_id")}
+    return kept.select(*(columns.get(c, F.col(f"in_{i}")).alias(c) for i, c in enumerate(docs.columns)))

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -55,9 +57,45 @@ def test_equals_brute_force(spark, seed):
     assert got(spark, texts, 40, anchor_bytes=12) == brute(texts, 40)
 
 
-def test_large_groups_are_counted_with_the_same_result(spark):
+@pytest.mark.parametrize("limit", [1, 2, 7])
+def test_large_groups_are_split_with_the_same_result(spark, limit):
     texts = made(5)
-    assert got(spark, texts, 40, anchor_bytes=12, group_limit=2) == brute(texts, 40)
+    assert got(spark, texts, 40, anchor_bytes=12, group_limit=limit) == brute(texts, 40)
+
+
+def passages(texts, n):
+    """(words in repeated passages, words kept) of each text, from the words alone."""
+    data = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(d[i : i + n]) for d in data for i in range(len(d) - n + 1))
+    for d in data:
+        gone = {k for i in range(len(d) - n + 1) if seen[tuple(d[i : i + n])] > 1 for k in range(i, i + n)}
+        yield len(gone), [w for i, w in enumerate(d) if i not in gone]
+
+
+@pytest.mark.parametrize("options", [{}, {"group_limit": 2}])
+def test_passages_equal_brute_force(spark, options):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randint(1, 4)))
+    parts = [[word() for _ in range(r.randint(4, 30))] for _ in range(10)]
+    texts = []
+    for _ in range(80):
+        t = [w for _ in range(r.randint(0, 5)) for w in (r.choice(parts) if r.random() < 0.6 else [word() for _ in range(12)])]
+        texts.append("".join(w + r.choice([" ", "\n", " \t", "\r\n\n"]) for w in t))
+    texts += [None, "", "  ", texts[3], "a " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    want = list(passages(texts, 12))
+    out = sorted(sd.deduplicate(df, 10_000, 12, **options).collect())
+    assert [sum(p.end - p.first for p in r.passages) for r in out] == [n for n, _ in want] and any(n for n, _ in want)
+    kept = {r.doc_id: r.text.split() for r in sd.stage(df, 10_000, 12, **options).collect()}
+    assert kept == {i: w for i, (n, w) in enumerate(want) if w or not n}
+
+
+def test_very_long_texts(spark):
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefgh ") for _ in range(1_500_000))
+    texts = [long, "x" + long[700_000:700_900] + "y", "other " + long[100:499] + " end", "z" * 1_200_000]
+    out = sorted(sd.deduplicate(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    assert [[(s.first, s.end) for s in r.spans] for r in out] == [[(700_000, 700_900)], [(1, 901)], [], [(0, 1_200_000)]]
 
 
 def test_deep_shallow_orders_like_sorted():
@@ -73,7 +111,7 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
     rows = [(1, "x" + "ab" * 250, 1), (1, "x" + "ab" * 250, 1), (None, None, 2), (None, "short", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, k1 int")
     out = sd.deduplicate(df)
-    assert out.columns == ["doc_id", "k1", "kept", "spans"]
+    assert out.columns == ["doc_id", "k1", "kept", "spans", "passages"]
     assert sorted((r.k1, r.kept) for r in out.collect()) == [(1, b""), (1, b""), (2, b""), (3, b"short")]
     assert sd.digest(df.where("false")).count() == 0
 
@@ -86,16 +124,23 @@ def test_stage_keeps_columns_and_drops_emptied_documents(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [(2, "own ", "en", "s", 4), (3, "clean", None, None, 5), (4, "", "en", "s", 0)]
 
 
-def test_stage_of_passage_length_takes_54_shared_words(spark):
+def test_stage_takes_54_shared_words_and_no_fewer_than_51(spark):
     r = random.Random(2)
     words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(n))
-    shared, own = words(54), [words(80) for _ in range(3)]
-    assert sd.PASSAGE <= len(shared) < sd.LENGTH
-    rows = [(i, f"{t}{shared}" if i else t, None, None, 0) for i, t in enumerate(own)]
+    shared, short, own = words(54), words(50), [words(80) for _ in range(3)]
+    assert len(shared) < sd.LENGTH
+    rows = [(i, f"{t} {shared} {t[::-1]}" if i else f"{t} {short}", None, None, 0) for i, t in enumerate(own)] + [(3, short, None, None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    texts = [x.text for x in sorted(sd.stage(df, sd.PASSAGE).collect())]
-    assert texts == own
-    assert [x.text for x in sorted(sd.stage(df).collect())] == [x[1] for x in rows]
+    texts = [x.text for x in sorted(sd.stage(df).collect())]
+    assert texts == [rows[0][1], *(f"{t}  {t[::-1]}" for t in own[1:]), short]
+    assert [x.text for x in sorted(sd.stage(df, passage_words=None).collect())] == [x[1] for x in rows]
+
+
+def test_stage_with_clashing_columns(spark):
+    rows = [(1, "a", 5, "x", "y", "z", 3), (2, None, 6, "x", "y", "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int, kept string, passages string, new string, k1 int")
+    out = sd.stage(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()))[0] == rows[0]
 
 
 def test_query_over_the_whole_table(spark):
@@ -107,3 +152,4 @@ def test_query_over_the_whole_table(spark):
     out = sorted(queries.op2_suffix_dedup(spark, sf).collect())
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == want
     assert [r.doc_id for r in out] == [d.doc_id for d in docs] and any(w[1] for w in want)
+    assert [r.n_passage_words for r in out] == [n for n, _ in passages([d.text for d in docs], sd.PASSAGE_WORDS)]
