@@ -88,10 +88,11 @@ def stage(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     plan = rates(docs.select("source", words(F.col("text")).alias("size")))
     plan = plan.select(F.col("source").alias("mix_of"), F.col("rate").alias("mix_rate"))
-    rows = docs.join(plan, docs["source"].eqNullSafe(plan["mix_of"]))
-    taken = F.sequence(F.lit(1).cast("long"), copies(F.col("mix_rate"), docs["doc_id"]))
-    rows = rows.where(copies(F.col("mix_rate"), docs["doc_id"]) > 0).withColumn("mix_copy", F.explode(taken))
-    return rows.select(*(docs[c] for c in docs.columns))
+    named = docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "source") else f"in_{i}") for i, c in enumerate(docs.columns)))
+    rows = named.join(plan, F.col("source").eqNullSafe(F.col("mix_of")))
+    rows = rows.withColumn("mix_copies", copies(F.col("mix_rate"), F.col("doc_id"))).where("mix_copies > 0")
+    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
+    return rows.select(*(F.col(n).alias(c) for n, c in zip(named.columns, docs.columns, strict=True)))
 
 
 SQL = """

@@ -153,7 +153,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents that are kept."""
-    reference = written(references(counted(docs.select("text", "lang"))), "quality-references")
     named = docs.select(*(F.col(f"`{c}`").alias(c if c in ("text", "lang") else f"own_{i}") for i, c in enumerate(docs.columns)))
-    kept = judged(counted(named), reference).where("kept")
+    # Written with the texts, so that these are counted once, for the references and for the verdicts.
+    counts = written(counted(named), "quality-counts")
+    kept = judged(counts, references(counts)).where("kept")
     return kept.select(*(F.col(c if c in ("text", "lang") else f"own_{i}").alias(c) for i, c in enumerate(docs.columns)))
