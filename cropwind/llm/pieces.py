@@ -8,10 +8,14 @@ place of spaces, unigram scores or merges ranked by score, and byte fallback for
 Batches are encoded by the library's threads, as many as a task has cores.
 
 If no piece holds a marker after another character, no piece crosses from a word into the next marker.
-Normalised texts are then split there, and only segments that a task has not met are encoded: the ids
-are the same, and the words that make up most of any text are encoded once.
+Normalised texts are then split there, and only segments that a task has not met are encoded and decoded:
+the ids are the same, and the words that make up most of any text are encoded once.
 
-Parity: ``parity`` compares the ids with those of the SentencePiece library row by row.
+Parity with the SentencePiece library is verified for every row. Neither library lets a piece cross a
+split, so equal normalised texts and equal ids of all segments mean equal ids: each text is normalised by
+both libraries, and each segment that a task has not met is encoded by both. Rows for which that does not
+settle it (a segment that differs, holds unknown pieces or cannot be given to the other library alone) are
+encoded whole by both.
 
 Defined results: a null text counts as empty and has no pieces; decoding gives back the normalised
 text; rows are independent, so repeats get equal ids; other columns are ignored; an empty table gives
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +49,7 @@ UNKNOWN_TEXT = " \u2047 "
 #: Characters encoded in one call; a longer text is encoded alone.
 CALL_CHARS = 1 << 20
 #: Characters of segments whose ids a task remembers; beyond it the memory starts anew.
-KNOWN_CHARS = 2 << 20
+KNOWN_CHARS = 4 << 20
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -167,19 +172,38 @@ def backend(data: bytes):
     return out
 
 
+@dataclass
+class Encoded:
+    """A batch: ids as 32-bit numbers one after the other, their number for each text, and what was asked for."""
+
+    ids: np.ndarray
+    sizes: list[int]
+    decoded: list[str] | None = None
+    same: list[bool] | None = None
+
+    def lists(self) -> list[list[int]]:
+        ends = np.cumsum([0, *self.sizes]).tolist()
+        flat = self.ids.tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 class Encoder:
-    """Ids of texts, segment by segment where the model allows it."""
+    """Ids of texts, segment by segment where the model allows it; ``own`` is the other library's processor."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, own=None):
         self.backend = backend(data)
+        self.own = own
         model = parse_model(data)
         self.segmented = model.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER))
         self.segments = Tokenizer(self.backend.model)
-        self.known: dict[str, list[int]] = {}
+        #: Of each segment: its ids as bytes, and what they decode to (with markers) where that is not the segment.
+        self.known: dict[str, bytes] = {}
+        self.changed: dict[str, str] = {}
+        #: Segments that do not settle parity.
+        self.doubtful: set[str] = set()
         self.chars = 0
         self.texts = [p for p, _, _ in model.pieces]
         self.special = {i for i, (_, _, kind) in enumerate(model.pieces) if kind != NORMAL}
-        self.front = model.add_prefix
         self.model = model
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -197,30 +221,64 @@ class Encoder:
             return ids
         return [x for i, t in zip(ids, encoding.tokens, strict=True) for x in ([self.bytes[b] for b in t.encode()] if i == unk else [i])]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.segmented:
-            return [self._ids(e) for e in self._batch(self.backend, texts)]
-        normal = self.backend.normalizer.normalize_str if self.backend.normalizer else str
-        parts = [_SEGMENT.findall(normal(t)) for t in texts]
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
+    def normal(self, text: str) -> str:
+        """The normalised text. Without a character map and clean-up it takes no library."""
+        model = self.model
+        if model.charsmap or model.clean_spaces:
+            return self.backend.normalizer.normalize_str(text)
+        if model.add_prefix and text:
+            text = " " + text
+        return text.replace(" ", MARK) if model.escape else text
+
+    def _learn(self, new: list[str], threads: int) -> None:
+        """Ids and surfaces of segments, and whether the other library agrees."""
+        found = [self._ids(e) for e in self._batch(self.segments, new)]
         self.chars += sum(map(len, new))
-        self.known.update(zip(new, (self._ids(e) for e in self._batch(self.segments, new)), strict=True))
-        ids = [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
+        self.known.update(zip(new, (pack(f"<{len(i)}i", *i) for i in found), strict=True))
+        self.changed.update((s, m) for s, m in zip(new, map(self._marked, found), strict=True) if s != m)
+        if self.own is not None:
+            # What gives the segment when it is normalised by itself.
+            alone = [(s[1:] if self.model.add_prefix else s).replace(MARK, " ") for s in new]
+            wanted, again, unk = self.own.encode(alone, num_threads=threads), self.own.normalize(alone), self.model.unk_id
+            self.doubtful.update(s for s, i, w, n in zip(new, found, wanted, again, strict=True) if i != w or n != s or unk in i)
+
+    def run(self, texts: list[str], decode: bool = False, verify: bool = False, threads: int = 1) -> Encoded:
+        if not self.segmented:
+            lists = [self._ids(e) for e in self._batch(self.backend, texts)]
+            same = [a == b for a, b in zip(lists, self.own.encode(texts, num_threads=threads), strict=True)] if verify else None
+            return Encoded(np.array(list(chain.from_iterable(lists)), np.int32), list(map(len, lists)), self.decode(lists) if decode else None, same)
         if self.chars > KNOWN_CHARS:
-            self.known, self.chars = {}, 0
-        return ids
+            self.known, self.changed, self.doubtful, self.chars = {}, {}, set(), 0
+        normal = list(map(self.normal, texts))
+        parts = list(map(_SEGMENT.findall, normal))
+        self._learn(list(set(chain.from_iterable(parts)).difference(self.known)), threads)
+        packed = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        out = Encoded(np.frombuffer(b"".join(packed), np.int32), [len(x) // 4 for x in packed])
+        if decode:
+            same = self.changed.keys().isdisjoint
+            out.decoded = [self._text(n if same(p) else "".join(self.changed.get(s, s) for s in p)) for n, p in zip(normal, parts, strict=True)]
+        if verify:
+            out.same = [a == b and (not self.doubtful or self.doubtful.isdisjoint(p)) for a, b, p in zip(normal, self.own.normalize(texts), parts, strict=True)]
+            open_ = [k for k, settled in enumerate(out.same) if not settled]
+            for k, want in zip(open_, self.own.encode([texts[k] for k in open_], num_threads=threads) if open_ else [], strict=True):
+                out.same[k] = packed[k] == pack(f"<{len(want)}i", *want)
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.run(texts).lists()
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids: bytes are put together, control pieces give nothing, unknown ones a mark."""
-        out = []
-        for one in ids:
-            if self.special.isdisjoint(one):
-                text = "".join(map(self.texts.__getitem__, one))
-            else:
-                text = b"".join(self._surface(i) for i in one).decode(errors="replace")
-            text = text.replace(MARK, " ")
-            out.append(text[1:] if self.front and text[:1] == " " else text)
-        return out
+        return [self._text(self._marked(one)) for one in ids]
+
+    def _marked(self, ids: list[int]) -> str:
+        if self.special.isdisjoint(ids):
+            return "".join(map(self.texts.__getitem__, ids))
+        return b"".join(map(self._surface, ids)).decode(errors="replace")
+
+    def _text(self, marked: str) -> str:
+        text = marked.replace(MARK, " ")
+        return text[1:] if self.model.add_prefix and text[:1] == " " else text
 
     def _surface(self, i: int) -> bytes:
         piece, _, kind = self.model.pieces[i]
@@ -249,7 +307,7 @@ def in_calls(texts: list[str]) -> Iterator[tuple[int, int]]:
 def encode(docs: DataFrame, data: bytes, threads: int | None = None, decode: bool = False, verify: bool = False) -> DataFrame:
     """``doc_id, ids`` of every row; if asked for ``decoded`` (the text that the ids give back) and ``same``.
 
-    ``same`` tells whether the SentencePiece library gives the same ids; it encodes the batch again.
+    ``same`` tells whether the SentencePiece library gives the same ids.
 
     ``data`` is the model file's content; it goes to the tasks once, as a broadcast of fixed size.
     """
@@ -260,31 +318,27 @@ def encode(docs: DataFrame, data: bytes, threads: int | None = None, decode: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _threads(cores)
-        encoder = _encoder(sent.value)
-        own = _library(sent.value) if verify else None
+        encoder = _encoder(sent.value, verify)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for first, end in in_calls(texts):
-                ids = encoder.encode(texts[first:end])
-                ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                flat = np.concatenate([np.asarray(i, np.int32) for i in ids]) if ids else np.zeros(0, np.int32)
-                columns = {"doc_id": batch.column("doc_id").slice(first, end - first), "ids": pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))}
+                found = encoder.run(texts[first:end], decode, verify, cores)
+                ends = np.cumsum([0, *found.sizes], dtype=np.int32)
+                columns = {"doc_id": batch.column("doc_id").slice(first, end - first), "ids": pa.ListArray.from_arrays(ends, pa.array(found.ids, pa.int32()))}
                 if decode:
-                    columns["decoded"] = pa.array(encoder.decode(ids), pa.string())
+                    columns["decoded"] = pa.array(found.decoded, pa.string())
                 if verify:
-                    want = own.encode(texts[first:end], num_threads=cores)
-                    columns["same"] = pa.array([a == b for a, b in zip(ids, want, strict=True)], pa.bool_())
+                    columns["same"] = pa.array(found.same, pa.bool_())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 @cache
-def _encoder(data: bytes) -> Encoder:
-    return Encoder(data)
+def _encoder(data: bytes, verify: bool) -> Encoder:
+    return Encoder(data, _library(data) if verify else None)
 
 
-@cache
 def _library(data: bytes):
     import sentencepiece
 

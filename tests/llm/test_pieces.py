@@ -48,6 +48,31 @@ def test_parity_over_the_whole_table_and_edge_cases(spark):
     assert p.parity(docs.unionByName(edge), data).where("NOT same").isEmpty()
 
 
+@pytest.mark.parametrize("data", [p.model_bytes(), unigram(True), unigram(False)], ids=["bpe", "unigram-clean", "unigram"])
+def test_parity_is_settled_by_segments_or_whole_texts(data):
+    own = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = [*EDGE, "ab ba  b a ab", " a", "b a b a"]
+    encoder, asked = p.Encoder(data, own), []
+    first = encoder.run(texts, decode=True, verify=True)
+    assert all(first.same) and first.lists() == own.encode(texts) and first.decoded == encoder.decode(first.lists())
+
+    class Other:
+        """The other library with another opinion on one segment."""
+
+        def encode(self, batch, **_):
+            asked.append(batch)
+            return [[7] if t == "trail" or t == "trail " else i for t, i in zip(batch, own.encode(batch))]
+
+        def normalize(self, batch, **_):
+            return own.normalize(batch)
+
+    encoder = p.Encoder(data, Other())
+    found = encoder.run(texts, verify=True)
+    assert [t for t, s in zip(texts, found.same) if not s] == ["trail "]
+    if encoder.segmented:
+        assert len(asked[1]) < len(texts)
+
+
 def test_query_gives_back_every_text(spark):
     texts = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
     own = sentencepiece.SentencePieceProcessor(model_file=p.MODEL_FILE)
@@ -67,6 +92,9 @@ def test_query_verifies_parity(spark, monkeypatch):
         def encode(self, texts, **_):
             return [[1]] * len(texts)
 
+        def normalize(self, texts, **_):
+            return texts
+
     monkeypatch.setattr(p, "_library", lambda data: Off())
     # In this process, as tasks import a module of their own.
     run = []
