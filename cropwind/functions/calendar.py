@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 
 from pyspark.sql import Column
@@ -60,6 +61,12 @@ def months_before(day: ColumnLike, months: int) -> Column:
     return F.add_months(as_column(day), -months)
 
 
+def scope_ends(end: dt.date, years: int = 15) -> tuple[dt.date, dt.date]:
+    """First and last day of the scope that :func:`rolling_scope` tests."""
+    last = calendar.monthrange(end.year - years, end.month)[1]
+    return dt.date(end.year - years, end.month, min(end.day, last)), end
+
+
 def rolling_scope(day: ColumnLike, end: dt.date, years: int = 15) -> Column:
     """True for days in the ``years`` up to and including ``end``."""
     day = as_column(day)

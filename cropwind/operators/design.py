@@ -39,13 +39,21 @@ def _checked_extras(extra: Iterable[str] | None, columns: Iterable[str]) -> list
 
 
 def join_price_and_risk(
-    price: DataFrame, risk: DataFrame, price_col: str, risk_col: str = RISK, keys: str | Iterable[str] = "commodity"
-) -> DataFrame:
-    """Weeks with both a price and a risk row; every column of ``risk`` is kept."""
+    price: DataFrame, risk: DataFrame, price_col: str, risk_col: str = RISK, keys: str | Iterable[str] = "commodity",
+    risk_keys: str | Iterable[str] | None = None,
+) -> DataFrame:
+    """Weeks with both a price and a risk row; every column of ``risk`` is kept.
+
+    Where many price series share a risk series, ``risk_keys`` names the columns of ``price`` that tell
+    which one (a region, say): the risk is then one row for each of these and week, and is not
+    copied for each price series before the join.
+    """
     keys = as_names(keys)
-    require_columns(price.columns, [*keys, "date", price_col])
-    require_columns(risk.columns, [*keys, "date", risk_col])
-    return price.select(*keys, "date", price_col).join(risk, [*keys, "date"], "inner")
+    shared = keys if risk_keys is None else as_names(risk_keys)
+    named = list(dict.fromkeys([*keys, *shared]))
+    require_columns(price.columns, [*named, "date", price_col])
+    require_columns(risk.columns, [*shared, "date", risk_col])
+    return price.select(*named, "date", price_col).join(risk, [*shared, "date"], "inner")
 
 
 def merge_price_and_risk(

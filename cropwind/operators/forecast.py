@@ -117,11 +117,17 @@ def market_model_parts(
     season_period: int = 52,
     keys: str | Iterable[str] = "commodity",
     seed_lags: bool = False,
+    risk_keys: str | Iterable[str] | None = None,
 ) -> tuple[Design, DataFrame]:
-    """Design and fitted parameters of the weekly model, ready for :func:`recursive_forecast`."""
+    """Design and fitted parameters of the weekly model, ready for :func:`recursive_forecast`.
+
+    ``risk_keys`` names the columns that tell a price series' risk series, where several share one.
+    """
     keys = as_names(keys)
+    shared = keys if risk_keys is None else as_names(risk_keys)
     price = price_column(market.columns)
-    merged = log_returns(join_price_and_risk(market, index.select(*keys, "date", RISK), price, RISK, keys), price, keys)
+    joined = join_price_and_risk(market, index.select(*shared, "date", RISK), price, RISK, keys, shared)
+    merged = log_returns(joined.drop(*[c for c in shared if c not in keys]), price, keys)
     design = auto_features(merged, p, q, True, season_period, keys=keys)
     fit = fit_ols(design)
     # The last few rows of each series become one short array.
@@ -160,6 +166,7 @@ def market_model(
     seed_lags: bool = False,
     proper_shift: bool = False,
     keys: str | Iterable[str] = "commodity",
+    risk_keys: str | Iterable[str] | None = None,
 ) -> DataFrame:
     """Fit every series and forecast ``horizon`` weeks with price bands.
 
@@ -167,7 +174,7 @@ def market_model(
     ``seed_lags``.  Forecast weeks are labelled by ``anchor`` days after the last Friday.
     """
     keys = as_names(keys)
-    design, params = market_model_parts(market, index, p, q, season_period, keys, seed_lags)
+    design, params = market_model_parts(market, index, p, q, season_period, keys, seed_lags, risk_keys)
     path = with_price_band(recursive_forecast(params, design.features, horizon, season_period, proper_shift, keys))
     return path.select(
         *keys,

@@ -23,11 +23,11 @@ from cropwind.operators import (
     silver,
     weekly,
 )
-from cropwind.plans import panels, pipeline
-from cropwind.plans.oracle import LEGACY, WEEKLY, day, r, rounded, sql, week, whole
+from cropwind.plans import panels, pipeline, runs
+from cropwind.plans.oracle import LEGACY, WEEKLY, day, r, rationale, rounded, sql, week, whole
 from cropwind.sources import audit, config, landing, tables
 from cropwind.sources.config import unknown_keys
-from cropwind.sources.paths import scratch_path, written, written_together
+from cropwind.sources.paths import folder_moved, leaf_folders, scratch_path, written, written_together
 from cropwind.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -341,19 +341,20 @@ def ols_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vendor_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A weekly price and risk series per supplier; the risk is the score of its region."""
+    """A weekly price series per supplier with its region, and one risk series per region: the score
+    of a region is joined by week, and no supplier has a copy of it."""
 
     def prices() -> DataFrame:
         panel = market.weekly_market(panels.daily_vendor_market(spark, sf_dir), "vendor_id")
-        return panel.select("vendor_id", "date", "price_spot")
+        vendors = panels.supplier_regions(spark, sf_dir).withColumnRenamed("s_suppkey", "vendor_id")
+        return panel.select("vendor_id", "date", "price_spot").join(vendors, "vendor_id")
 
     def risk() -> DataFrame:
         config = panels.PANEL_CONFIG.only("automobile")
         scores = climate.regional_scores(pipeline.weather_table(spark, sf_dir), config)
-        vendors = panels.supplier_regions(spark, sf_dir).withColumnRenamed("s_suppkey", "vendor_id")
-        return vendors.join(scores, "region_id").selectExpr("vendor_id", "date", f"regional_score AS {design.RISK}")
+        return scores.selectExpr("region_id", "date", f"regional_score AS {design.RISK}")
 
-    stored = written_together(spark, vendor_market=prices, vendor_risk=risk)
+    stored = written_together(spark, vendor_market=prices, region_risk=risk)
     return stored[0], stored[1]
 
 
@@ -361,7 +362,7 @@ def _vendor_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def ols_per_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One weekly model per supplier in a single job."""
     prices, risk = _vendor_inputs(spark, sf_dir)
-    return _fit(forecast.market_model_parts(prices, risk, keys="vendor_id")[0])
+    return _fit(forecast.market_model_parts(prices, risk, keys="vendor_id", risk_keys="region_id")[0])
 
 
 _PRICE_DIGITS = {"price_forecast": 2, "price_lo95": 2, "price_hi95": 2}
@@ -371,7 +372,7 @@ _FORECAST = f"{day()}, {r('y_forecast')}, {r('price_forecast', 2)}, {r('price_lo
 @_register(f"SELECT vendor_id, {_FORECAST} FROM vendor_forecast")
 def forecast_per_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, risk = _vendor_inputs(spark, sf_dir)
-    return present(forecast.market_model(prices, risk, keys="vendor_id"), _PRICE_DIGITS)
+    return present(forecast.market_model(prices, risk, keys="vendor_id", risk_keys="region_id"), _PRICE_DIGITS)
 
 
 @_register(f"SELECT commodity, {_FORECAST} FROM model_forecast")
@@ -436,14 +437,40 @@ def _layers(spark: SparkSession, sf_dir: str) -> pipeline.Layers:
     return pipeline.run_layers(*pipeline.stored_model_inputs(spark, sf_dir), AS_OF)
 
 
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What advice is given from. Texts show all digits of a price, so it keeps those that do not
+    depend on the order in which an engine adds."""
+    prices, index = pipeline.stored_model_inputs(spark, sf_dir)
+    state = hedge.latest_state(written(forecast.market_model(prices, index), "forecast"), index)
+    return state.withColumn("last_price_forecast", F.expr(rounded("last_price_forecast", 2)))
+
+
+def _advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hedge.recommend(hedge.with_request_grid(_state(spark, sf_dir)), AS_OF)
+
+
 @_register(
     f"""SELECT commodity, profile, role, {r('exposure')}, {whole('forecast_horizon_weeks')}, scenario, {r('risk_score')},
        {r('hedge_ratio')}, {r('hedge_notional')}, instrument, {r('forecast_price', 2)}, instrument_maturity,
-       {r('instrument_strike', 2)} FROM hedge"""
+       {r('instrument_strike', 2)}, summary, justification, '{AS_OF:%Y-%m-%dT%H:%M:%SZ}' AS "timestamp"
+FROM ({rationale('SELECT * FROM advice')}) AS told"""
 )
 def hedge_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _layers(spark, sf_dir).hedge.drop("summary", "justification", "timestamp")
-    return present(rows, {"forecast_price": 2, "instrument_strike": 2})
+    """All columns of a recommendation for each commodity, profile and role."""
+    return present(_advice(spark, sf_dir), {"forecast_price": 2, "instrument_strike": 2})
+
+
+def _customer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests summed up from the customers of each commodity, profile and role."""
+    balance = F.col("c_acctbal")
+    profile = F.when(balance > 6000, "opportunistic").when(balance > 2000, "balanced").otherwise("conservative")
+    role = F.when(F.col("region_id").isin("EUROPE", "ASIA"), "importer").otherwise("exporter")
+    customers = panels.table(spark, sf_dir, "customer")
+    return (
+        customers.join(panels.nation_regions(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.lower("c_mktsegment").alias("commodity"), profile.alias("profile"), role.alias("role"))
+        .agg(F.round(F.sum("c_acctbal"), 2).alias("exposure"))
+    )
 
 
 @_register(
@@ -460,19 +487,21 @@ def hedge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests summed up from the customers of each commodity, profile and role."""
     prices, index = pipeline.stored_model_inputs(spark, sf_dir)
     path = written(forecast.market_model(prices, index), "forecast")
-    customers = panels.table(spark, sf_dir, "customer")
-    balance = F.col("c_acctbal")
-    profile = F.when(balance > 6000, "opportunistic").when(balance > 2000, "balanced").otherwise("conservative")
-    role = F.when(F.col("region_id").isin("EUROPE", "ASIA"), "importer").otherwise("exporter")
-    requests = (
-        customers.join(panels.nation_regions(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy(F.lower("c_mktsegment").alias("commodity"), profile.alias("profile"), role.alias("role"))
-        .agg(F.round(F.sum("c_acctbal"), 2).alias("exposure"))
-    )
-    rows = hedge.recommend(hedge.with_requests(hedge.latest_state(path, index), requests), AS_OF)
+    rows = hedge.recommend(hedge.with_requests(hedge.latest_state(path, index), _customer_requests(spark, sf_dir)), AS_OF)
     return present(rows.select("commodity", "profile", "role", "exposure", "scenario", "hedge_ratio", "hedge_notional", "instrument"))
 
 
+@_register(
+    f"""SELECT commodity, profile, role, summary, justification FROM ({rationale(
+        "SELECT * REPLACE (asked AS exposure, hedge_ratio * asked AS hedge_notional) FROM advice JOIN customer_requests USING (commodity, profile, role)"
+    )}) AS told"""
+)
+def hedge_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both texts for the customers' requests: shares, amounts and prices as they are printed."""
+    rows = hedge.recommend(hedge.with_requests(_state(spark, sf_dir), _customer_requests(spark, sf_dir)), AS_OF)
+    return rows.select("commodity", "profile", "role", "summary", "justification")
+
+
 @_register(
     f"""SELECT f.commodity, {r('last_price', 2, 'latest_forecast_price')}, {r('(last_price / first_price - 1) * 100', name='forecast_change_pct')},
        {r('risk_score')}, {r('notional', name='hedge_notional')}, {r('hedge_ratio')}, scenario, {whole('legs', 'hedge_legs')}
@@ -488,17 +517,30 @@ def kpi_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     f"""SELECT commodity, profile, role, {whole('position')}, label, value FROM (
-  SELECT commodity, profile, role, unnest(range(1, 6)) AS position,
-         unnest(['Profile', 'Role', 'Scenario', 'Forecast Horizon', 'Instrument']) AS label,
+  SELECT commodity, profile, role, unnest(range(1, 10)) AS position,
+         unnest(['Profile', 'Role', 'Scenario', 'Risk Score', 'Forecast Horizon', 'Exposure', 'Suggested Hedge Ratio', 'Hedge Notional', 'Instrument']) AS label,
          unnest([upper(profile[1]) || profile[2:], upper(role[1]) || role[2:], upper(scenario[1]) || scenario[2:],
-                 '8 weeks', upper(instrument[1]) || instrument[2:]]) AS value FROM hedge) AS listed"""
+                 printf('%.1f / 100', risk_score), '8 weeks', format('{{:,}} USD', round_even(exposure, 0)::BIGINT), printf('%.1f%%', hedge_ratio * 100),
+                 format('{{:,}} units', round_even(hedge_notional, 0)::BIGINT), upper(instrument[1]) || instrument[2:]]) AS value
+  FROM (SELECT * REPLACE (asked AS exposure, hedge_ratio * asked AS hedge_notional) FROM advice JOIN customer_requests USING (commodity, profile, role)) AS given) AS listed"""
 )
 def hedge_summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text lines; the number lines depend on rounding and are checked in the tests."""
-    rows = report.hedge_summary_table(_layers(spark, sf_dir).hedge)
-    texts = F.array(*[F.lit(t) for t in ("Profile", "Role", "Scenario", "Forecast Horizon", "Instrument")])
-    place = F.array_position(texts, F.col("label"))
-    return present(rows.withColumn("position", place).where(F.col("position") > 0))
+    """All lines of the report's summary for the customers' requests."""
+    rows = hedge.recommend(hedge.with_requests(_state(spark, sf_dir), _customer_requests(spark, sf_dir)), AS_OF)
+    return present(report.hedge_summary_table(rows))
+
+
+@_register(
+    f"""SELECT commodity, profile, role, {whole('position')}, label, value FROM (
+  SELECT commodity, profile, role, unnest(range(1, 9)) AS position,
+         unnest(['Commodity', 'Profile', 'Role', 'Exposure', 'Hedge notional', 'Instrument', 'Maturity', 'Strike']) AS label,
+         unnest([commodity, profile, role, exposure::VARCHAR, round(hedge_notional, 2)::VARCHAR, instrument, instrument_maturity, instrument_strike::VARCHAR]) AS value
+  FROM advice) AS listed"""
+)
+def hedge_detail_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field and value of each recommendation, as the dashboard lists them."""
+    rows = _advice(spark, sf_dir).withColumn("hedge_notional", F.round("hedge_notional", 2))
+    return present(report.hedge_detail_table(rows))
 
 
 def _model_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -713,6 +755,33 @@ def load_in_two_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(market.weekly_market(store.read()))
 
 
+@_register(f"SELECT region_id, {day()}, {r('temp_anom')}, {r('precip_anom')}, {r('ndvi')}, {r('enso')} FROM weather")
+def second_load_touches_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather that lands twice, the second time for one region alone: the weekly rows of that region
+    are derived again, and the table equals the one made from all days at once."""
+    days = written(panels.daily_weather(spark, sf_dir), "days")
+    late = (F.col("region_id") == "ASIA") & (F.col("date") >= F.lit(_SPLIT))
+    run = runs.Run(spark, scratch_path(spark, "run"), dt.datetime(2002, 1, 1))
+    for batch in (days.where(~late), days.where(late)):
+        run.landed("weather", batch, "load")
+    return present(run.store("weather").read())
+
+
+@_register(f"SELECT commodity, {day()}, {r('y_forecast')}, {r('price_forecast', 2)}, {r('price_lo95', 2)}, {r('price_hi95', 2)} FROM model_forecast")
+def commodity_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts as one JSON array per commodity, whose name only the file has."""
+    path, out = scratch_path(spark, "forecasts"), scratch_path(spark, "forecast-files")
+    row = F.struct("date", "y_forecast", "price_forecast", "price_lo95", "price_hi95")
+    arrays = _model_forecast(spark, sf_dir).groupBy("commodity").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("value"))
+    arrays.write.partitionBy("commodity").text(path)
+    for folder in leaf_folders(spark, path, 1):
+        name = folder.removeprefix("commodity=")
+        for file in spark.read.text(f"{path}/{folder}").inputFiles():
+            folder_moved(spark, file, f"{out}/{name}_forecast.json")
+    rows = tables.json_scan(spark, out, tables.FORECAST, commodity_suffix="_forecast")
+    return present(rows, _PRICE_DIGITS)
+
+
 @_register(f"SELECT commodity, {day()}, {r('close')} FROM daily_market")
 def any_format_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table given without its extension: parquet where there is one, else CSV."""
@@ -830,6 +899,29 @@ def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(spark.read.schema(weeks.schema).parquet(path))
 
 
+@_register(
+    f"""SELECT {week('l_shipdate')}::VARCHAR AS date, r_name AS region_id, {r('avg(l_quantity)', name='temp')},
+       {r('CAST(sum(l_linenumber) AS DOUBLE)', name='precip')}
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+     JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"""
+)
+def stream_weekly_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly weather from line items in four files, one a micro-batch, each with rows of all weeks:
+    every batch corrects weeks that were emitted before, and the last state is that of all rows."""
+    path = scratch_path(spark, "corrected")
+    panels.table(spark, sf_dir, "lineitem").repartition(4, F.xxhash64("l_orderkey", "l_linenumber")).write.parquet(f"{path}/lineitem.parquet")
+    lines = panels.stream(spark, path, "lineitem", files_per_batch=1).select(
+        F.from_utc_timestamp(F.col("l_shipdate").cast("timestamp"), F.current_timezone()).alias("ts"),
+        "l_suppkey",
+        F.col("l_quantity").alias("temp"),
+        F.col("l_linenumber").cast("double").alias("precip"),
+    )
+    placed = lines.join(panels.supplier_regions(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    store = tables.SilverStore(spark, f"{path}/store", tables.WEEKLY_WEATHER, ["date", "region_id"])
+    jobs.stream_weekly_corrected(placed, store, "weeks", checkpoint=f"{path}/state").awaitTermination()
+    return present(store.read())
+
+
 @_register(f"SELECT commodity, {day()}, {r('close', name='price_spot')} FROM daily_market")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prints streamed into a store that keeps the last print of each day.

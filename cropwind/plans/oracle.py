@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from cropwind.operators.hedge import PROFILES
+from cropwind.operators.hedge import PROFILES, SENTENCES
 from cropwind.plans.panels import PANEL_CONFIG
 
 
@@ -372,6 +372,44 @@ FROM (SELECT *, least(greatest(base + CASE WHEN risk_score >= threshold THEN bum
                            WHEN last_price < prev_price * 0.98 THEN 'extreme' ELSE 'baseline' END AS scenario
             FROM decision_state, profiles, (VALUES ('importer'), ('exporter')) AS roles(role)) AS judged) AS sized""",
 )
+
+
+def _said(sentence: str, *parts: str) -> str:
+    """A sentence of the rationale with its values, as printf would write it."""
+    text = SENTENCES[sentence].replace("'", "''")
+    return f"printf('{text}', {', '.join(parts)})" if parts else f"'{text}'"
+
+
+# What advice is told from: the price has the digits that both engines agree on.
+_block(
+    "advice",
+    f"""SELECT h.* REPLACE ({rounded('forecast_price', 2)} AS forecast_price, {rounded('instrument_strike', 2)} AS instrument_strike),
+       base, bump, threshold FROM hedge AS h JOIN profiles USING (profile)""",
+)
+_block(
+    "customer_requests",
+    """SELECT lower(c_mktsegment) AS commodity, profile, role, round(sum(c_acctbal), 2) AS asked FROM (
+  SELECT *, CASE WHEN c_acctbal > 6000 THEN 'opportunistic' WHEN c_acctbal > 2000 THEN 'balanced' ELSE 'conservative' END AS profile,
+         CASE WHEN r_name IN ('EUROPE', 'ASIA') THEN 'importer' ELSE 'exporter' END AS role
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) AS typed
+GROUP BY 1, 2, 3""",
+)
+
+
+def rationale(advice: str) -> str:
+    """``advice`` with the columns ``summary`` and ``justification``."""
+    told = f"""concat_ws(' ', {_said('base', 'profile', "printf('%.0f%%', base * 100)")},
+      CASE WHEN risk_score >= threshold THEN {_said('high_risk', "printf('%.1f', risk_score)", "printf('%.1f', threshold)", "printf('%.0f%%', bump * 100)")}
+           ELSE {_said('low_risk', "printf('%.1f', risk_score)", "printf('%.1f', threshold)")} END,
+      CASE scenario WHEN 'bullish' THEN {_said('bullish')} WHEN 'extreme' THEN {_said('extreme')} ELSE {_said('baseline')} END,
+      {_said('position', 'role', 'instrument', "printf('%.2f', exposure)", "printf('%.2f', hedge_notional)", "printf('%.0f%%', hedge_ratio * 100)")})"""
+    strike = "printf('%.2f', instrument_strike)"
+    return f"""SELECT *, concat_ws(' ', summary,
+       CASE WHEN contains(instrument, 'option') THEN {_said('option_strike', strike)} ELSE {_said('future_strike', strike)} END,
+       {_said('closing', "printf('%.1f', risk_score)", 'profile', 'role')}) AS justification
+FROM (SELECT *, {told} AS summary FROM ({advice}) AS given) AS summed"""
+
+
 _block(
     "pct_band",
     """SELECT commodity, date, (price_forecast / base - 1) * 100 AS ret_pct, (price_lo95 / base - 1) * 100 AS ret_lo95,

@@ -24,11 +24,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropwind.functions.calendar import rolling_scope
+from cropwind.functions.calendar import rolling_scope, scope_ends
 from cropwind.operators import anomalies, climate, forecast, hedge, market, report, silver, weekly
 from cropwind.operators.grouped import LANDED, landed
 from cropwind.sources import audit, landing, tables
 from cropwind.sources.config import DEFAULT_CONFIG, RegionConfig, unknown_keys
+from cropwind.sources.paths import note_read, note_written, stored
 
 
 class Run:
@@ -82,25 +83,48 @@ class Run:
         schema = {"weather": tables.DAILY_WEATHER, "market": tables.DAILY_MARKET, "supply": tables.DAILY_SUPPLY}[table]
         return tables.SilverStore(self.spark, self.path("silver", f"daily_{table}"), schema, silver.natural_keys(table, schema.fieldNames()))
 
-    def weekly(self, table: str) -> DataFrame:
+    def weekly(self, table: str, touched: DataFrame | None = None) -> DataFrame:
         """A weekly table from all stored days in scope: z-scores, returns and volatility see the
-        whole history, whatever has landed last."""
+        whole history, whatever has landed last.  ``touched`` names the series to derive."""
+        days = self.daily_store(table).read() if touched is None else self.daily_store(table).read_series(touched)
         derive = {"weather": anomalies.weather_anomalies, "market": market.weekly_market, "supply": weekly.weekly_supply}[table]
-        return derive(self._in_scope(self.daily_store(table).read()))
+        return derive(self._in_scope(days))
+
+    def _touched(self, table: str, batch: DataFrame) -> DataFrame:
+        """The series whose weekly rows may change: those that have landed, and those with days that
+        have come into the scope or left it since the last run.  Without a last run it is every series."""
+        daily, last = self.daily_store(table), note_read(self.spark, self.path("silver", f"{table}_derived"))
+        landed = batch.select(*daily.series)
+        if last is None:
+            return landed.unionByName(daily.read().select(*daily.series)).distinct()
+        before, now = dt.date.fromisoformat(last["as_of"]), self.as_of.date()
+        for old, new in zip(scope_ends(before), scope_ends(now), strict=True):
+            if old != new:
+                landed = landed.unionByName(daily.series_between(min(old, new), max(old, new)))
+        return landed.distinct()
 
     def ingest(self, batch_id: str, force: bool = False) -> None:
-        """Merge what has landed into the daily tables and derive the weekly ones from them;
-        ``force`` replaces the daily tables by what has landed."""
+        """Merge what has landed into the daily tables and derive the weekly rows of the series that
+        this touches; ``force`` replaces the daily tables by what has landed and derives all anew."""
         landings = {"weather": self.landed_weather, "market": self.landed_market, "supply": self.landed_supply}
         for table, build in landings.items():
-            daily, store = self.daily_store(table), self.store(table)
-            if force:
-                daily.overwrite(build())
-            else:
-                daily.upsert(build(), batch_id)
-            store.overwrite(self.weekly(table))
+            self.landed(table, build(), batch_id, force)
+            store = self.store(table)
             self._log("ingestion", f"{table}_written", {"path": store.path, "rows": store.read().count()})
 
+    def landed(self, table: str, days: DataFrame, batch_id: str, force: bool = False) -> None:
+        """Merge daily rows into their table and derive the weekly rows of the series they touch."""
+        daily, store = self.daily_store(table), self.store(table)
+        if force:
+            daily.overwrite(days)
+            store.overwrite(self.weekly(table))
+        else:
+            with stored(days, f"landed-{table}") as batch, stored(self._touched(table, batch), "touched") as touched:
+                daily.upsert(batch, batch_id)
+                store.replace_series(self.weekly(table, touched), touched)
+        # Only now: what a run that died before has landed is derived when it lands again.
+        note_written(self.spark, self.path("silver", f"{table}_derived"), {"as_of": self.as_of.date().isoformat()})
+
     def merge_silver(self) -> None:
         """The three tables side by side by date; no step needs it, so a run does not write it."""
         merged = silver.silver_merge(*[self.store(t).read() for t in ("weather", "market", "supply")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -62,6 +63,53 @@ def removed(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def note_written(spark: SparkSession, path: str, value: dict) -> None:
+    """A few values in a file of their own. It is there as a whole or not at all."""
+    files, part = _file_system(spark, f"{path}.part")
+    out = files.create(part, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    folder_moved(spark, f"{path}.part", path)
+
+
+def note_read(spark: SparkSession, path: str) -> dict | None:
+    files, where = _file_system(spark, path)
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def folder_moved(spark: SparkSession, source: str, target: str) -> None:
+    """Put a folder (or file) in the place of another one; only names change, no data is copied."""
+    files, new = _file_system(spark, source)
+    old = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not files.delete(old, True):
+        files.mkdirs(old.getParent())
+    if not files.rename(new, old):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def leaf_folders(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """Partition folders ``a=1/b=2`` below a table's path, of which there are as many as the layout has."""
+    files, where = _file_system(spark, path)
+    if not files.exists(where):
+        return []
+    found = [("", where)]
+    for _ in range(depth):
+        below = [(name, status) for name, folder in found for status in files.listStatus(folder) if status.isDirectory()]
+        found = [(f"{name}/{s.getPath().getName()}".lstrip("/"), s.getPath()) for name, s in below if "=" in s.getPath().getName()]
+    return sorted(name for name, _ in found)
+
+
 @contextmanager
 def stored(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """``df`` as a stored table that is deleted at the end of the block."""

@@ -1,4 +1,4 @@
-"""Streams: upsert of landed batches, weekly weather with late rows, audit tail."""
+"""Streams: upsert of landed batches, weekly weather in any order of arrival, audit tail."""
 
 from __future__ import annotations
 
@@ -22,15 +22,49 @@ def stream_weekly(
     Rows may be ``late``; a week is emitted once, when the watermark passes its end.  Weeks
     run from Saturday to Friday: the epoch was a Thursday, hence the offset of two days.
     """
-    keys = as_names(keys)
+    return _weeks(daily.withWatermark(ts, late), as_names(keys), ts)
+
+
+def _weeks(daily: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return (
-        daily.withWatermark(ts, late)
-        .groupBy(F.window(ts, "7 days", "7 days", "2 days").alias("_week"), *keys)
+        daily.groupBy(F.window(ts, "7 days", "7 days", "2 days").alias("_week"), *keys)
         .agg(F.avg("temp").alias("temp"), F.coalesce(F.sum("precip"), F.lit(0.0)).alias("precip"))
         .select(_utc_day_before("_week.end").alias("date"), *keys, "temp", "precip")
     )
 
 
+def stream_weekly_corrected(
+    daily: DataFrame,
+    store: SilverStore,
+    name: str,
+    keys: str | Iterable[str] = "region_id",
+    checkpoint: str | None = None,
+    ts: str = "ts",
+    forget: str | None = None,
+) -> StreamingQuery:
+    """Weekly weather of a stream in ``store``, whatever order the rows arrive in.
+
+    The state holds sum and count of every week.  A micro-batch emits each week that it changes
+    again, with all rows so far, and the store replaces the week's row; weeks are as many as
+    the calendar has for each key.  With ``forget`` (an age such as "60 days") older weeks leave the state
+    and rows that come later than that are left out, as in :func:`stream_weekly`.
+    """
+    keys = as_names(keys)
+    weeks = _weeks(daily.withWatermark(ts, forget) if forget else daily, keys, ts)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        store.upsert(batch, batch_id=f"{name}-{number}")
+
+    location = checkpoint or f"{shared_folder(daily.sparkSession)}/stream-{name}"
+    return (
+        weeks.writeStream.foreachBatch(apply)
+        .outputMode("update")
+        .option("checkpointLocation", location)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def _utc_day_before(moment: str) -> Column:
     return F.date_sub(F.to_date(F.to_utc_timestamp(moment, F.current_timezone())), 1)
 

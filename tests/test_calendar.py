@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from conftest import d
 from pyspark.sql import functions as F
@@ -77,7 +79,31 @@ def test_numeric_helpers_keep_null(spark):
 
 def test_text_rounds_ties_to_even(spark):
     assert one(spark, X.fixed("x", 1), x=50.25) == "50.2"
-    assert one(spark, X.fixed("x", 1), x=50.35) in {"50.3", "50.4"}
+    assert one(spark, X.fixed("x", 1), x=50.35) == "50.4"
+
+
+def test_numbers_are_printed_from_their_exact_value(spark):
+    import random
+
+    r = random.Random(7)
+    values = [0.0, 0.5, 1.5, 2.5, 0.05, 0.15, 0.25, 0.35, 50.45, 50.25, 1.005, 2.675, 1e-9, 0.994999999999999, 0.995, 99.995, 12345678.905, 1e15 / 8, 4503599627370495.5, 9e15, 1e22, 123456.5, 1234567.5, 0.045, 0.285]
+    values += [round(r.uniform(0, 10 ** r.randint(0, 6)), r.randint(0, 4)) for _ in range(2000)] + [r.randint(0, 10**6) / 8 for _ in range(300)]
+    values += [-v for v in values if v]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select("x", *[X.fixed("x", k).alias(f"f{k}") for k in range(4)], X.grouped("x").alias("g"), X.grouped("x", 2).alias("g2"), X.percent("x").alias("p")).collect()
+    for row in rows:
+        if abs(row["x"]) < 2**52 / 1000:
+            assert [row[f"f{k}"] for k in range(4)] == [f"{row['x']:.{k}f}" for k in range(4)]
+            assert (row["g"], row["g2"], row["p"]) == (f"{row['x']:,.0f}", f"{row['x']:,.2f}", f"{row['x']:.0%}")
+        assert float(row["f0"]) == float(f"{row['x']:.0f}")
+    assert one(spark, X.fixed("x", 1).isNull() & X.grouped("x").isNull(), x=None)
+
+
+def test_scope_ends_are_those_of_the_filter(spark):
+    for end in (d("2024-02-29"), d("2023-12-31"), d("2030-02-28")):
+        first, last = C.scope_ends(end)
+        inside = lambda day: one(spark, C.rolling_scope("x", end), x=day)
+        assert inside(first) and inside(last) and not inside(first - dt.timedelta(days=1)) and not inside(last + dt.timedelta(days=1))
     assert one(spark, X.percent("x"), x=0.45) == "45%"
     assert one(spark, X.grouped("x"), x=12345.6) == "12,346"
     assert one(spark, X.capitalised("x"), x="long CALL options") == "Long call options"

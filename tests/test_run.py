@@ -61,3 +61,36 @@ def test_steps_can_be_repeated_for_one_commodity(spark, root):
     assert run.store("weather").read().count() == 3 * 130
     with pytest.raises(KeyError):
         main(["climate-index", "--root", root, "--commodity", "cocoa"], spark)
+
+
+def weekly_rows(run):
+    return sorted(map(repr, run.store("weather").read().collect()))
+
+
+def test_an_ingest_derives_the_series_it_touches_only(spark, tmp_path):
+    schema = "region_id string, date date, temp double, precip double"
+    days = lambda regions, first, n, shift=0: [(r, dt.date(2020, 1, 1) + dt.timedelta(days=first + i), float((i * (k + 3) + shift) % 17), float(i % 5)) for k, r in enumerate(regions) for i in range(n)]
+    regions = [f"r{i}" for i in range(12)]
+    first, second = days(regions, 0, 300), days(["r5"], 300, 20) + days(["r5"], 40, 3, 9) + days(["new"], 0, 30)
+    run = Run(spark, str(tmp_path / "steps"), dt.datetime(2021, 3, 1))
+    run.landed("weather", spark.createDataFrame(first, schema), "1")
+    files = lambda: {f"{p.parent}/{p.name}": p for p in (tmp_path / "steps/silver/weather").glob("*/*/*.parquet")}
+    before = files()
+    run.landed("weather", spark.createDataFrame(second, schema), "2")
+    written = spark.read.parquet(*[str(p) for name, p in files().items() if name not in before])
+    touched = run.store("weather").buckets
+    assert {"r5", "new"} <= {r[0] for r in written.select("region_id").distinct().collect()}
+    # Series that share a bucket with the two are copied; the others' files stay.
+    assert 0 < written.count() < run.store("weather").read().count() * 4 / touched and len(before.keys() & files().keys()) > 0
+    latest = {(r, day): (r, day, t, p) for r, day, t, p in first + second}
+    once = Run(spark, str(tmp_path / "once"), dt.datetime(2021, 3, 1))
+    once.landed("weather", spark.createDataFrame(list(latest.values()), schema), "1", force=True)
+    assert weekly_rows(run) == weekly_rows(once)
+    # Time passes: days that leave the scope touch their series although nothing lands.
+    later = Run(spark, str(tmp_path / "steps"), dt.datetime(2035, 2, 1))
+    later.landed("weather", spark.createDataFrame([], schema), "3")
+    again = Run(spark, str(tmp_path / "once"), dt.datetime(2035, 2, 1))
+    again.landed("weather", spark.createDataFrame([], schema), "2", force=False)
+    again.store("weather").overwrite(again.weekly("weather"))
+    assert weekly_rows(later) == weekly_rows(again) and 0 < len(weekly_rows(later)) < len(weekly_rows(run)) + 1
+    assert min(r["date"] for r in later.store("weather").read().collect()) >= dt.date(2020, 2, 1)

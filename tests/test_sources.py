@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import json
 
 import pytest
 from conftest import d, fridays
 from pyspark.sql import functions as F
 
-from cropwind.sources import audit, landing, paths, tables
+from cropwind.sources import audit, headers, landing, paths, tables
 
 DAILY = "commodity string, date date, price_spot double"
 
@@ -71,13 +72,13 @@ def test_store_touches_only_the_years_of_the_batch(spark, tmp_path):
     assert store.read().count() == 0
     old = spark.createDataFrame([("corn", d("2022-01-07"), 1.0), ("corn", d("2023-01-06"), 2.0), ("soy", d("2023-01-06"), 3.0)], DAILY)
     store.upsert(old, "1")
-    untouched = sorted(p.name for p in (tmp_path / "store" / "year=2022").iterdir())
+    untouched = sorted(p.name for p in (tmp_path / "store" / "year=2022").glob("*/*"))
     new = spark.createDataFrame([("corn", d("2023-01-06"), 9.0), ("corn", d("2024-01-05"), 4.0)], DAILY)
     for _ in range(2):
         store.upsert(new, "2")
         got = {(r["commodity"], str(r["date"])): r["price_spot"] for r in store.read().collect()}
         assert got == {("corn", "2022-01-07"): 1.0, ("corn", "2023-01-06"): 9.0, ("soy", "2023-01-06"): 3.0, ("corn", "2024-01-05"): 4.0}
-    assert sorted(p.name for p in (tmp_path / "store" / "year=2022").iterdir()) == untouched
+    assert sorted(p.name for p in (tmp_path / "store" / "year=2022").glob("*/*")) == untouched
     store.overwrite(new)
     assert store.read().count() == 2
 
@@ -95,6 +96,104 @@ def test_store_makes_good_a_run_that_died(spark, tmp_path):
     assert {(r["commodity"], r["price_spot"]) for r in store.read().collect()} == {("corn", 1.0), ("soy", 2.0), ("wheat", 3.0)}
 
 
+def files(path):
+    return {str(p.relative_to(path)) for p in path.glob("year=*/bucket=*/*.parquet")}
+
+
+def test_a_batch_of_one_series_rewrites_one_bucket_with_one_write(spark, tmp_path, monkeypatch):
+    store = tables.SilverStore(spark, str(tmp_path / "store"), tables.MARKET, ["date", "commodity"], buckets=16)
+    names = [f"c{i}" for i in range(40)]
+    store.upsert(spark.createDataFrame([(n, d(f"{y}-01-05"), 1.0) for n in names for y in (2022, 2023)], DAILY), "1")
+    before = files(tmp_path / "store")
+    assert len({f.split("/")[1] for f in before}) > 8
+    writes = []
+    write = tables.SilverStore._write
+    monkeypatch.setattr(tables.SilverStore, "_write", lambda self, df: (writes.append(1), write(self, df)))
+    store.upsert(spark.createDataFrame([("c7", d("2023-01-06"), 9.0)], DAILY), "2")
+    gone = before - files(tmp_path / "store")
+    assert len(writes) == 1 and len(gone) == 1 and gone.pop().startswith("year=2023/")
+    assert store.read().count() == 81 and store.read().where("price_spot = 9").count() == 1
+    # Another number of buckets counts for new stores only.
+    again = tables.SilverStore(spark, str(tmp_path / "store"), tables.MARKET, ["date", "commodity"], buckets=3)
+    again.upsert(spark.createDataFrame([("c7", d("2023-01-06"), 8.0)], DAILY), "3")
+    assert again.buckets == 16 and again.read().count() == 81
+
+
+def test_series_are_replaced_as_a_whole(spark, tmp_path):
+    store = tables.SilverStore(spark, str(tmp_path / "store"), tables.MARKET, ["date", "commodity"], buckets=4)
+    rows = [(n, d(f"{y}-01-05"), 1.0) for n in ("a", "b", "c", "d", "e", None) for y in (2021, 2022, 2023)]
+    store.upsert(spark.createDataFrame(rows, DAILY), "1")
+    touched = spark.createDataFrame([("b",), (None,), ("new",)], "commodity string")
+    assert sorted(store.read_series(touched).select("commodity").distinct().toPandas()["commodity"].fillna("-")) == ["-", "b"]
+    store.replace_series(spark.createDataFrame([("b", d("2023-01-05"), 5.0), ("new", d("2024-01-05"), 6.0)], DAILY), touched)
+    got = sorted((str(r["commodity"]), str(r["date"]), r["price_spot"]) for r in store.read().collect())
+    want = [(str(n), str(day), p) for n, day, p in rows if n not in ("b", None)] + [("b", "2023-01-05", 5.0), ("new", "2024-01-05", 6.0)]
+    assert got == sorted(want)
+    store.replace_series(spark.createDataFrame([], DAILY), store.read().select("commodity"))
+    assert store.read().count() == 0 and not files(tmp_path / "store")
+    assert store.series_between(d("2020-01-01"), d("2030-01-01")).count() == 0
+
+
+@pytest.mark.parametrize("moved", [0, 1, 2])
+def test_store_ends_a_move_that_died_half_way(spark, tmp_path, monkeypatch, moved):
+    store = tables.SilverStore(spark, str(tmp_path / "store"), tables.MARKET, ["date", "commodity"], buckets=2)
+    store.upsert(spark.createDataFrame([(n, d(f"{y}-01-05"), 1.0) for n in "abcd" for y in (2022, 2023)], DAILY), "1")
+    move, done = tables.folder_moved, []
+
+    def dies(*args):
+        if len(done) == moved:
+            raise OSError("died")
+        done.append(args)
+        move(*args)
+
+    monkeypatch.setattr(tables, "folder_moved", dies)
+    with pytest.raises(OSError, match="died"):
+        store.upsert(spark.createDataFrame([(n, d("2023-01-05"), 2.0) for n in "abcd"] + [("a", d("2022-01-05"), 2.0)], DAILY), "2")
+    monkeypatch.setattr(tables, "folder_moved", move)
+    store.upsert(spark.createDataFrame([("e", d("2024-01-05"), 3.0)], DAILY), "3")
+    got = {(r["commodity"], r["date"].year): r["price_spot"] for r in store.read().collect()}
+    assert got == {**{(n, 2023): 2.0 for n in "abcd"}, **{(n, 2022): 1.0 for n in "bcd"}, ("a", 2022): 2.0, ("e", 2024): 3.0}
+
+
+def test_gold_files_hold_disjoint_ranges(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "gold")
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('c', id % 5) END AS commodity", "date_add(DATE '2000-01-01', CAST(id * 7919 % 6000 AS INT)) AS date", "CAST(id AS DOUBLE) AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.gold_sink(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = {}
+    for file in sorted((tmp_path / "gold").glob("commodity=*/*.parquet"), key=lambda f: f.name):
+        dates = pq.read_table(file).column("date").to_pylist()
+        assert dates == sorted(dates)
+        spans.setdefault(file.parent.name, []).append((dates[0], dates[-1]))
+    assert len(spans["commodity=hot"]) > 1
+    for parts in spans.values():
+        assert all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_headers_come_from_the_first_block(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"f {i}.csv").write_text(f"{'region_id,date' if i % 2 else 'date,region_id'},prod_estimate,stocks\r\n" + "FR,2024-01-05,1,2\n" * 3)
+    (tmp_path / "only header.csv").write_text("date,region_id,prod_estimate,stocks")
+    (tmp_path / "blank.csv").write_text("\nx,y\n")
+    with gzip.open(tmp_path / "packed.csv.gz", "wt") as f:
+        f.write("date,region_id,prod_estimate,stocks\n2024-01-05,US,1,2\n")
+    (tmp_path / "long.csv").write_text("date,region_id,prod_estimate,stocks," + ",".join(f"c{i}" for i in range(20_000)) + "\n2024-01-05,BR,1,2" + "," * 20_000 + "\n")
+    found = dict(headers.first_lines(spark, str(tmp_path)))
+    assert len(found) == 34 and sum(h.startswith("region_id") for h in found.values()) == 15
+    scanned = []
+    monkeypatch.setattr(headers, "_scanned", lambda lines: scanned.extend(lines.inputFiles()) or [])
+    headers.first_lines(spark, str(tmp_path))
+    assert sorted(s.rsplit("/", 1)[1] for s in scanned) == ["long.csv", "only%20header.csv", "packed.csv.gz"]
+    monkeypatch.undo()
+    rows = tables.csv_scan(spark, str(tmp_path), tables.DAILY_SUPPLY)
+    assert rows.where("region_id IN ('US', 'BR')").count() == 2 and rows.where("region_id = 'FR'").count() == 45
+
+
 def test_audit_log(spark, tmp_path):
     path = str(tmp_path / "logs")
     for hour in (9, 10):

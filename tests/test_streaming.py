@@ -50,6 +50,26 @@ def test_stream_upsert_applies_batches_in_order(spark, tmp_path):
     assert land((day, "corn", 8.0, 3)) == [("corn", 8.0), ("soy", 3.0)]
 
 
+def test_weeks_are_corrected_whatever_order_rows_arrive_in(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "ts timestamp, region_id string, temp double, precip double"
+    store = tables.SilverStore(spark, str(tmp_path / "store"), tables.WEEKLY_WEATHER, ["date", "region_id"])
+
+    def land(*rows):
+        spark.createDataFrame([(dt.datetime.fromisoformat(t), r, v, p) for t, r, v, p in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.stream_weekly_corrected(rows, store, "weeks", checkpoint=str(tmp_path / "state")).awaitTermination()
+        return {(str(r["date"]), r["region_id"]): (r["temp"], r["precip"]) for r in store.read().collect()}
+
+    assert land(("2024-03-05", "FR", 4.0, 1.0), ("2024-03-06", "US", 1.0, None)) == {("2024-03-08", "FR"): (4.0, 1.0), ("2024-03-08", "US"): (1.0, 0.0)}
+    # Two months late, and a second row of the first week.
+    got = land(("2024-01-05 23:59:00", "FR", 2.0, 1.0), ("2024-03-07", "FR", 6.0, 2.0))
+    assert got == {("2024-03-08", "FR"): (5.0, 3.0), ("2024-03-08", "US"): (1.0, 0.0), ("2024-01-05", "FR"): (2.0, 1.0)}
+    # Nothing new changes nothing.
+    before = sorted(p.name for p in (tmp_path / "store").rglob("*.parquet"))
+    jobs.stream_weekly_corrected(spark.readStream.schema(schema).parquet(source), store, "weeks", checkpoint=str(tmp_path / "state")).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "store").rglob("*.parquet")) == before
+
+
 def test_tables_of_part_files_stream_like_the_batch_tables(spark, tmp_path):
     from cropwind.plans import catalog, panels
 
