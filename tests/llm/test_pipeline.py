@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 
 import sentencepiece
 
@@ -15,16 +17,25 @@ from tests.llm.test_quality_rules import brute as quality
 SF = "/root/testdata/sf0.001"
 
 
-def without_repeats(texts, length=400):
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without_repeats(texts, length=400, n=51):
+    """(what is left, whether something went): without strings of 400 bytes and passages of 51 words that repeat."""
+    words = [list(WORD.finditer(t.encode())) for t in texts]
+    passages = Counter(tuple(m[0] for m in w[i : i + n]) for w in words for i in range(len(w) - n + 1))
     data, seen = [t.encode() for t in texts], {}
     for d in data:
         for i in range(len(d) - length + 1):
             seen[d[i : i + length]] = seen.get(d[i : i + length], 0) + 1
-    for d in data:
+    for d, w in zip(data, words):
         gone = bytearray(len(d))
         for i in range(len(d) - length + 1):
             if seen[d[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        for i in range(len(w) - n + 1):
+            if passages[tuple(m[0] for m in w[i : i + n])] > 1:
+                gone[w[i].start() : w[i + n - 1].end()] = b"\1" * (w[i + n - 1].end() - w[i].start())
         yield bytes(b for b, g in zip(d, gone) if not g).decode(errors="ignore"), any(gone)
 
 
@@ -55,7 +66,7 @@ def test_run_equals_brute_force(spark):
     docs = [r for r in docs if r.doc_id in kept]
     heads = {i: c for i, _, c in components([(r.doc_id, r.text) for r in docs])}
     docs = [r for r in docs if heads[r.doc_id] == r.doc_id]
-    texts = [(r, t) for r, (t, cut) in zip(docs, without_repeats([r.text for r in docs])) if t or not cut]
+    texts = [(r, t) for r, (t, cut) in zip(docs, without_repeats([r.text for r in docs])) if not cut or WORD.search(t.encode())]
     copies = mixed([(r.doc_id, t, r.source) for r, t in texts])
     own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
     want = [(r.doc_id, len(ids), ids) for (r, t), n in zip(texts, copies) for ids in [own.encode(t)] for _ in range(n)]
