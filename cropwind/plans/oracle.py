@@ -380,11 +380,15 @@ def _said(sentence: str, *parts: str) -> str:
     return f"printf('{text}', {', '.join(parts)})" if parts else f"'{text}'"
 
 
-# What advice is told from: the price has the digits that both engines agree on.
+# What advice is told from: the price has the digits that both engines agree on, and the ratio is a sum
+# of doubles, as texts show on which side of a half an amount lies.
 _block(
     "advice",
-    f"""SELECT h.* REPLACE ({rounded('forecast_price', 2)} AS forecast_price, {rounded('instrument_strike', 2)} AS instrument_strike),
-       base, bump, threshold FROM hedge AS h JOIN profiles USING (profile)""",
+    f"""SELECT * REPLACE (hedge_ratio * exposure AS hedge_notional) FROM (
+  SELECT h.* REPLACE ({rounded('forecast_price', 2)} AS forecast_price, {rounded('instrument_strike', 2)} AS instrument_strike,
+         least(greatest(base::DOUBLE + CASE WHEN risk_score >= threshold THEN bump::DOUBLE ELSE 0e0 END
+               + CASE scenario WHEN 'bullish' THEN 5e-2 WHEN 'extreme' THEN 1e-1 ELSE 0e0 END, 0e0), 1e0) AS hedge_ratio),
+         base, bump, threshold FROM hedge AS h JOIN profiles USING (profile)) AS summed""",
 )
 _block(
     "customer_requests",
