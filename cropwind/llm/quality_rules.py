@@ -156,5 +156,6 @@ def stage(docs: DataFrame) -> DataFrame:
     named = docs.select(*(F.col(f"`{c}`").alias(c if c in ("text", "lang") else f"own_{i}") for i, c in enumerate(docs.columns)))
     # Written with the texts, so that these are counted once, for the references and for the verdicts.
     counts = written(counted(named), "quality-counts")
-    kept = judged(counts, references(counts)).where("kept")
+    # Written too, so that Spark knows how small it is before it plans the join, and moves no texts by language.
+    kept = judged(counts, written(references(counts), "quality-references")).where("kept")
     return kept.select(*(F.col(c if c in ("text", "lang") else f"own_{i}").alias(c) for i, c in enumerate(docs.columns)))
