@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cropwind.functions.calendar import parse_date
 from cropwind.functions.columns import require_columns
@@ -149,3 +150,27 @@ def silver_merge(weather: DataFrame, market: DataFrame | None, supply: DataFrame
         keys = ["date", "region_id"]
         merged = _full_outer(merged, _suffixed(dated, merged.columns, keys, "_agri"), keys)
     return merged
+
+
+def silver_nested(weather: DataFrame, market: DataFrame, supply: DataFrame) -> DataFrame:
+    """The merged table before its rows are multiplied: one row per date with the arrays ``weather``,
+    ``market`` and ``supply`` of the rows of that date.
+
+    An array is as long as a date has regions or commodities, as silver tables hold one row for each;
+    it is empty where its table has none. Rows are sorted within an array. ``nested_rows`` gives a table
+    back, and ``silver_merge`` of the three is the wide form.
+    """
+    parts = {"weather": weather, "market": market, "supply": supply}
+    kinds = {name: T.StructType([f for f in part.schema if f.name != "date"]) for name, part in parts.items()}
+    rows = None
+    for name, part in parts.items():
+        packed = {n: F.struct(*kinds[n].fieldNames()) if n == name else F.lit(None).cast(kinds[n]) for n in kinds}
+        tagged = part.where(F.col("date").isNotNull()).select("date", *[value.alias(n) for n, value in packed.items()])
+        rows = tagged if rows is None else rows.unionByName(tagged)
+    # One shuffle by date for all three; NULLs are not collected.
+    return rows.groupBy("date").agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in kinds])
+
+
+def nested_rows(nested: DataFrame, name: str) -> DataFrame:
+    """One of the tables of ``silver_nested``, row by row; the other arrays are not read."""
+    return nested.select("date", F.inline(name))

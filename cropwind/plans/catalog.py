@@ -24,7 +24,7 @@ from cropwind.operators import (
     weekly,
 )
 from cropwind.plans import panels, pipeline, runs
-from cropwind.plans.oracle import LEGACY, WEEKLY, day, r, rationale, rounded, sql, week, whole
+from cropwind.plans.oracle import EXOG, LEGACY, TWO_LAGS, WEEKLY, day, r, rationale, rounded, sql, week, whole
 from cropwind.sources import audit, config, landing, tables
 from cropwind.sources.config import unknown_keys
 from cropwind.sources.paths import folder_moved, leaf_folders, scratch_path, written, written_together
@@ -248,8 +248,7 @@ def aligned_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(pipeline.aligned_table(spark, sf_dir))
 
 
-@_register(
-    f"""SELECT {day('day', 'date')}, place AS region_id, {r('temp_anom')}, {r('precip_anom')}, {r('ndvi')}, {r('enso')},
+_MERGED = f"""SELECT {day('day', 'date')}, place AS region_id, {r('temp_anom')}, {r('precip_anom')}, {r('ndvi')}, {r('enso')},
        commodity, {r('price_spot')}, {r('price_spot', name='price_front_fut')}, {r('realized_vol_30d')},
        CASE WHEN commodity IS NOT NULL THEN 'landed' END AS data_source,
        {r('prod_estimate')}, {r('stocks')}, CASE WHEN has_supply THEN 'landed' END AS data_source_agri
@@ -259,16 +258,50 @@ FROM (SELECT coalesce(a.date, s.date) AS day, coalesce(a.region_id, s.region_id)
                    commodity, price_spot, realized_vol_30d
             FROM weather w FULL OUTER JOIN market m ON w.date = m.date) AS a
       FULL OUTER JOIN weekly_supply s ON a.date = s.date AND a.region_id IS NOT DISTINCT FROM s.region_id) AS merged"""
-)
+
+
+@_register(_MERGED)
 def silver_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(silver.silver_merge(*pipeline.stored_silver(spark, sf_dir)))
 
 
 @_register(_INDEX)
 def global_risk_from_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index from the merged table: the mean per region and date undoes its repeated rows."""
-    merged = silver.silver_merge(*pipeline.stored_silver(spark, sf_dir))
-    return present(climate.global_index(merged, panels.PANEL_CONFIG))
+    """The index from the merged table in its nested form, whose weather rows are not repeated per commodity."""
+    nested = silver.silver_nested(*pipeline.stored_silver(spark, sf_dir))
+    return present(climate.global_index(silver.nested_rows(nested, "weather"), panels.PANEL_CONFIG))
+
+
+@_register(
+    f"""SELECT strftime(date, '%Y-%m-%d') AS date, {whole('coalesce(regions, 0)', 'regions')}, {whole('coalesce(commodities, 0)', 'commodities')},
+       {whole('coalesce(supplies, 0)', 'supplies')}, {r('temp_anom')}, {r('top_price')}, {r('stocks')}
+FROM (SELECT date, count(*) AS regions, avg(temp_anom) AS temp_anom FROM weather GROUP BY 1) AS w
+FULL OUTER JOIN (SELECT date, count(*) AS commodities, max(price_spot) AS top_price FROM market GROUP BY 1) AS m USING (date)
+FULL OUTER JOIN (SELECT date, count(*) AS supplies, max(stocks) AS stocks FROM weekly_supply GROUP BY 1) AS s USING (date)"""
+)
+def silver_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested table by date: how many rows each array holds, and one figure of each."""
+    nested = silver.silver_nested(*pipeline.stored_silver(spark, sf_dir))
+    known = F.filter(F.col("weather.temp_anom"), lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x)
+    return present(
+        nested.select(
+            "date",
+            F.size("weather").alias("regions"),
+            F.size("market").alias("commodities"),
+            F.size("supply").alias("supplies"),
+            F.try_divide(total, F.size(known)).alias("temp_anom"),
+            F.array_max(F.col("market.price_spot")).alias("top_price"),
+            F.array_max(F.col("supply.stocks")).alias("stocks"),
+        )
+    )
+
+
+@_register(_MERGED)
+def silver_unfolded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide merged table out of the stored nested one."""
+    nested = written(silver.silver_nested(*pipeline.stored_silver(spark, sf_dir)), "nested")
+    return present(silver.silver_merge(*[silver.nested_rows(nested, name) for name in ("weather", "market", "supply")]))
 
 
 _NOT_NULL = ["temp_anom", "precip_anom", "price_spot", "price_front_fut", "realized_vol_30d"]
@@ -340,6 +373,30 @@ def ols_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(design.auto_features(base))
 
 
+@_register(f"SELECT commodity, {_fit_columns(TWO_LAGS)} FROM model_two_lags_fit")
+def ols_two_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legacy model with two lags of return and risk."""
+    return _fit(design.merge_price_and_risk(*pipeline.stored_model_inputs(spark, sf_dir), lags=2))
+
+
+def _exog_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Weekly prices, and the index with the week's mean output of all regions as an extra regressor."""
+
+    def risk() -> DataFrame:
+        output = pipeline.supply_table(spark, sf_dir).groupBy("date").agg(F.avg("prod_estimate").alias("exog_output"))
+        return pipeline.index_table(spark, sf_dir).join(output, "date")
+
+    prices, index = written_together(spark, market=lambda: pipeline.market_table(spark, sf_dir), exog_index=risk)
+    return prices, index
+
+
+@_register(f"SELECT commodity, {_fit_columns(EXOG)} FROM model_exog_fit")
+def ols_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model with lags, season and an extra regressor."""
+    base = design.merge_price_and_risk(*_exog_inputs(spark, sf_dir), mode="auto", exog_cols=["exog_output"]).frame
+    return _fit(design.auto_features(base, extra_exog=["exog_output"]))
+
+
 def _vendor_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A weekly price series per supplier with its region, and one risk series per region: the score
     of a region is joined by week, and no supplier has a copy of it."""
@@ -397,6 +454,20 @@ def forecast_horizons_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(forecast.train_and_forecast(prices, index, mode="auto"), _PRICE_DIGITS)
 
 
+@_register(_horizon_sql("exog"))
+def forecast_horizons_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizons with an extra regressor, which stays at its last value."""
+    prices, index = _exog_inputs(spark, sf_dir)
+    return present(forecast.train_and_forecast(prices, index, mode="auto", exog_cols=["exog_output"]), _PRICE_DIGITS)
+
+
+@_register(f"SELECT commodity, {_FORECAST} FROM model_forecast")
+def forecast_unit_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly model on a risk series from 0 to 1: its scale is seen, and the forecast is the same."""
+    prices, index = pipeline.stored_model_inputs(spark, sf_dir)
+    return present(forecast.market_model(prices, index.withColumn(design.RISK, F.col(design.RISK) / 100.0)), _PRICE_DIGITS)
+
+
 @_register(
     f"""SELECT commodity, {day('last_date', 'date')}, {r('last_price', name='price_spot')},
        {r('risk', name='global_risk_0_100')} FROM (

@@ -235,6 +235,39 @@ _model_blocks("vendor", "vendor_market", "vendor_risk", "vendor_id")
 
 LEGACY = ("y_lag1", "risk_lag1")
 WEEKLY = ("y_lag1", "y_lag2", "risk_lag1", "risk_lag2", "season_sin", "season_cos")
+TWO_LAGS = ("y_lag1", "risk_lag1", "y_lag2", "risk_lag2")
+EXOG = (*WEEKLY, "exog_output")
+
+_block(
+    "model_two_lags",
+    """SELECT * FROM (
+  SELECT commodity, date, y, lag(y) OVER o AS y_lag1, lag(risk / 100) OVER o AS risk_lag1,
+         lag(y, 2) OVER o AS y_lag2, lag(risk / 100, 2) OVER o AS risk_lag2
+  FROM model_joined WHERE price IS NOT NULL AND risk IS NOT NULL AND y IS NOT NULL
+  WINDOW o AS (PARTITION BY commodity ORDER BY date)) AS lagged
+WHERE y_lag1 IS NOT NULL AND risk_lag1 IS NOT NULL AND y_lag2 IS NOT NULL AND risk_lag2 IS NOT NULL""",
+)
+# Weeks with an output of the regions; returns run over these weeks alone.
+_block(
+    "model_exog_base",
+    """SELECT * FROM (
+  SELECT commodity, date, risk, exog_output,
+         CASE WHEN price > 0 AND lag(price) OVER o > 0 THEN ln(price / lag(price) OVER o) END AS y
+  FROM (SELECT m.commodity, m.date, m.price_spot AS price, i.global_risk_0_100 / 100 AS risk, s.exog_output
+        FROM market m JOIN risk_index i ON m.commodity = i.commodity AND m.date = i.date
+        JOIN (SELECT date, avg(prod_estimate) AS exog_output FROM weekly_supply GROUP BY 1) AS s ON s.date = m.date) AS j
+  WINDOW o AS (PARTITION BY commodity ORDER BY date)) AS returned
+WHERE y IS NOT NULL AND risk IS NOT NULL AND exog_output IS NOT NULL""",
+)
+_block(
+    "model_exog",
+    """SELECT commodity, date, y, y_lag1, y_lag2, risk_lag1, risk_lag2,
+       sin(2 * pi() / 52 * t) AS season_sin, cos(2 * pi() / 52 * t) AS season_cos, exog_output
+FROM (SELECT *, lag(y) OVER o AS y_lag1, lag(y, 2) OVER o AS y_lag2, lag(risk) OVER o AS risk_lag1,
+             lag(risk, 2) OVER o AS risk_lag2, row_number() OVER o - 1 AS t
+      FROM model_exog_base WINDOW o AS (PARTITION BY commodity ORDER BY date)) AS lagged
+WHERE y_lag2 IS NOT NULL AND risk_lag2 IS NOT NULL""",
+)
 
 
 def _least_squares_blocks(design: str, key: str, features: tuple[str, ...]) -> None:
@@ -266,6 +299,8 @@ _least_squares_blocks("model_legacy", "commodity", LEGACY)
 _least_squares_blocks("model_weekly", "commodity", WEEKLY)
 _least_squares_blocks("model_auto", "commodity", WEEKLY)
 _least_squares_blocks("vendor_weekly", "vendor_id", WEEKLY)
+_least_squares_blocks("model_two_lags", "commodity", TWO_LAGS)
+_least_squares_blocks("model_exog", "commodity", EXOG)
 
 
 def _weekly_forecast_blocks(name: str, key: str) -> None:
@@ -320,24 +355,25 @@ _block(
   SELECT commodity, drift, c_1, resid_var, last_date, step + 1, drift + c_1 * y, cum + drift + c_1 * y
   FROM legacy_path WHERE step < 12""",
 )
-_block(
-    "auto_path",
-    """SELECT commodity, c_0 + (c_3 + c_4) * risk AS drift, c_1 + c_2 AS carry, c_5, c_6, resid_var, date AS last_date,
-       CAST(weekofyear(date) % 52 AS DOUBLE) AS phase, 1 AS step,
-       c_0 + (c_3 + c_4) * risk + c_5 * sin(2 * pi() / 52 * (weekofyear(date) % 52 + 1))
-         + c_6 * cos(2 * pi() / 52 * (weekofyear(date) % 52 + 1)) AS y,
-       c_0 + (c_3 + c_4) * risk + c_5 * sin(2 * pi() / 52 * (weekofyear(date) % 52 + 1))
-         + c_6 * cos(2 * pi() / 52 * (weekofyear(date) % 52 + 1)) AS cum
-  FROM model_auto_base JOIN (SELECT commodity, max(date) AS date FROM model_auto_base GROUP BY 1) AS newest
-       USING (commodity, date) JOIN model_auto_fit USING (commodity)
+def _auto_path_block(mode: str, extra: str = "") -> None:
+    season = lambda step: f"c_5 * sin(2 * pi() / 52 * ({step})) + c_6 * cos(2 * pi() / 52 * ({step}))"
+    first = f"drift + {season('phase + 1')}"
+    later = f"drift + carry * y + {season('phase + step + 1')}"
+    _block(
+        f"{mode}_path",
+        f"""SELECT *, 1 AS step, {first} AS y, {first} AS cum FROM (
+  SELECT commodity, c_0 + (c_3 + c_4) * risk{extra} AS drift, c_1 + c_2 AS carry, c_5, c_6, resid_var, date AS last_date,
+         CAST(weekofyear(date) % 52 AS DOUBLE) AS phase
+  FROM model_{mode}_base JOIN (SELECT commodity, max(date) AS date FROM model_{mode}_base GROUP BY 1) AS newest
+       USING (commodity, date) JOIN model_{mode}_fit USING (commodity)) AS begun
   UNION ALL
-  SELECT commodity, drift, carry, c_5, c_6, resid_var, last_date, phase, step + 1,
-         drift + carry * y + c_5 * sin(2 * pi() / 52 * (phase + step + 1)) + c_6 * cos(2 * pi() / 52 * (phase + step + 1)),
-         cum + drift + carry * y + c_5 * sin(2 * pi() / 52 * (phase + step + 1))
-         + c_6 * cos(2 * pi() / 52 * (phase + step + 1))
-  FROM auto_path WHERE step < 12""",
-)
-for _mode in ("legacy", "auto"):
+  SELECT * EXCLUDE (step, y, cum), step + 1, {later}, cum + {later} FROM {mode}_path WHERE step < 12""",
+    )
+
+
+_auto_path_block("auto")
+_auto_path_block("exog", " + c_7 * exog_output")
+for _mode in ("legacy", "auto", "exog"):
     _block(
         f"{_mode}_horizons",
         f"""SELECT commodity, horizon_days, step AS steps, last_price * exp(cum) AS price_forecast, cum AS cum_return,

@@ -99,6 +99,28 @@ def test_merge_loses_nothing_and_matches_null_regions(three_tables):
     assert rows["2030-01-04", None]["price_spot"] == 11.0 and rows["2030-01-04", None]["prod_estimate"] == 1.0
 
 
+def test_the_nested_merge_holds_each_row_once_and_gives_the_wide_one_back(spark, three_tables):
+    nested = silver.silver_nested(*three_tables)
+    rows = {str(r["date"]): r for r in nested.collect()}
+    assert {k: (len(r["weather"]), len(r["market"]), len(r["supply"])) for k, r in rows.items()} == {
+        "2020-01-03": (2, 1, 1), "2020-01-10": (1, 0, 0), "2030-01-04": (0, 1, 1)
+    }
+    assert [w["region_id"] for w in rows["2020-01-03"]["weather"]] == ["FR", "US"]
+    parts = [silver.nested_rows(nested, name) for name in ("weather", "market", "supply")]
+    wide, again = silver.silver_merge(*three_tables), silver.silver_merge(*parts)
+    assert again.columns == wide.columns and sorted(map(str, again.collect())) == sorted(map(str, wide.collect()))
+    assert silver.silver_nested(*[t.where("false") for t in three_tables]).count() == 0
+
+
+def test_the_index_from_the_nested_merge_reads_no_prices(spark, three_tables, tmp_path):
+    path = str(tmp_path / "nested")
+    silver.silver_nested(*three_tables).write.parquet(path)
+    plan = silver.nested_rows(spark.read.parquet(path), "weather")._jdf.queryExecution().executedPlan().toString()
+    assert "price_spot" not in plan and "prod_estimate" not in plan and "Join" not in plan
+    plan = silver.silver_nested(*three_tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_contract_counts_each_broken_rule(spark):
     good = dict(date=d("2024-01-05"), region_id="FR", region_weight=None, temp_anom="1", precip_anom=0.0, ndvi=0.0, enso=0.0,
                 prod_estimate=None, stocks=None, price_spot=1.0, price_front_fut=1.0, realized_vol_30d=0.1)
