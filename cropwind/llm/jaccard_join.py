@@ -9,7 +9,10 @@ elements: ``(100 + t) * |difference| <= (100 - t) * (|x| + |y|)``.
   fixed-size count sketch over all documents gives the order; any order is right, a rare one is fast). Sets that link share an element of their prefixes.
 * *Answers from related sets*: every prefix list compares its members with one leader only, the one
   at the earliest position: an original, as its edited copies have elements of their own first. A member that links takes over the leader's component, and with it all
-  links inside the component; only members of lists that still hold several components go on.
+  links inside the component; only members of lists that still hold several components go on. Their answers
+  are derived from the leader's: the exact differences x and y from the leader are known, so two members
+  differ by |x - y| at least and x + y at most. Pairs that this rules out are skipped, pairs that it
+  settles link without a comparison, and only what lies between is compared.
 * *Block skipping*: those lists are kept in blocks of equal position. For the first element that two
   sets share, the positions add up to no more than their difference, so a set at position i skips
   every block beyond its bound. Size and a 1,024-bit parity signature, whose distance never exceeds the
@@ -135,8 +138,8 @@ def _linked(threshold: int):
     return lambda difference: (100 + threshold) * difference <= (100 - threshold) * (F.col("n_a") + F.col("n_b"))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose sets link, compared exactly."""
+def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """``a, b, apart, linked`` of the pairs of classes that no bound excludes: the exact difference of their sets."""
     # Sets that may link differ by a factor of two at most in the width of their signatures.
     whole = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("sign"))
     left, right = (classes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}"), whole.alias(f"wide_{x}")) for x in "ab")
@@ -166,43 +169,52 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     y = elements(close.join(places, close["b"] == places["sid"]).drop("sid"), "a", "b", "n_a", "n_b").withColumnRenamed("elements", "y")
     x = elements(close.select(F.col("a").alias("sid")).distinct().join(places, "sid"), "sid").withColumnsRenamed({"sid": "a", "elements": "x"})
     shared = F.size(F.array_intersect("x", "y"))
-    return y.join(x, "a").where(fits(F.col("n_a") + F.col("n_b") - 2 * shared)).select("a", "b").distinct()
+    rows = y.join(x, "a").withColumn("apart", F.col("n_a") + F.col("n_b") - 2 * shared)
+    return rows.select("a", "b", "apart", fits(F.col("apart")).alias("linked")).distinct()
+
+
+def _pairs_of(unit: dict[str, np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one unit (list, chunk, chunk) that the bounds do not exclude, and whether they settle that a pair links."""
+    order = np.argsort(unit["position"], kind="stable")
+    position, n, sid, component, lead, chunk, known = (unit[c][order] for c in ("position", "n", "sid", "component", "lead", "chunk", "known"))
+    sign = unit["sign"][order]
+    two_chunks = chunk.min() != chunk.max()
+    starts = np.flatnonzero(np.concatenate(([True], position[1:] != position[:-1])))
+    ends = np.concatenate((starts[1:], [len(position)]))
+    most = n.max()
+    out_a, out_b, out_sure = [], [], []
+    for first, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        here = int(position[first])
+        for i in range(first, end):
+            room = (100 - threshold) * (n[i] + most) // (100 + threshold) - here
+            stop = np.searchsorted(position, room, side="right")
+            j = np.arange(i + 1, stop)
+            if not len(j):
+                continue
+            bound = (100 - threshold) * (n[i] + n[j])
+            keep = (component[j] != component[i]) & (sid[j] != lead[i]) & (sid[i] != lead[i])
+            keep &= (100 + threshold) * np.maximum(here + position[j], np.abs(n[i] - n[j])) <= bound
+            if two_chunks:
+                keep &= chunk[j] != chunk[i]
+            # From the leader's differences: -1 where they are not known.
+            derived = (known[j] >= 0) & (known[i] >= 0)
+            keep &= ~derived | ((100 + threshold) * np.abs(known[j] - known[i]) <= bound)
+            sure = derived & ((100 + threshold) * (known[j] + known[i]) <= bound)
+            j, bound, sure = j[keep], bound[keep], sure[keep]
+            apart = np.bitwise_count(sign[j] ^ sign[i]).sum(axis=1, dtype=np.int64)
+            near = (100 + threshold) * apart <= bound
+            j = j[near]
+            out_sure.append(sure[near])
+            out_a.append(np.minimum(sid[i], sid[j]))
+            out_b.append(np.maximum(sid[i], sid[j]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate(out_a or [none]), np.concatenate(out_b or [none]), np.concatenate(out_sure or [none.astype(bool)])
 
 
 def _skip_blocks(threshold: int):
-    """Pairs of one unit (list, chunk, chunk) that the bounds do not exclude."""
-    def pairs(unit: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(unit["position"], kind="stable")
-        position, n, sid, component, lead, chunk = (unit[c][order] for c in ("position", "n", "sid", "component", "lead", "chunk"))
-        sign = unit["sign"][order]
-        two_chunks = chunk.min() != chunk.max()
-        starts = np.flatnonzero(np.concatenate(([True], position[1:] != position[:-1])))
-        ends = np.concatenate((starts[1:], [len(position)]))
-        most = n.max()
-        out_a, out_b = [], []
-        for first, end in zip(starts.tolist(), ends.tolist(), strict=True):
-            here = int(position[first])
-            for i in range(first, end):
-                room = (100 - threshold) * (n[i] + most) // (100 + threshold) - here
-                stop = np.searchsorted(position, room, side="right")
-                j = np.arange(i + 1, stop)
-                if not len(j):
-                    continue
-                bound = (100 - threshold) * (n[i] + n[j])
-                keep = (component[j] != component[i]) & (sid[j] != lead[i]) & (sid[i] != lead[i])
-                keep &= (100 + threshold) * np.maximum(here + position[j], np.abs(n[i] - n[j])) <= bound
-                if two_chunks:
-                    keep &= chunk[j] != chunk[i]
-                j, bound = j[keep], bound[keep]
-                apart = np.bitwise_count(sign[j] ^ sign[i]).sum(axis=1, dtype=np.int64)
-                j = j[(100 + threshold) * apart <= bound]
-                out_a.append(np.minimum(sid[i], sid[j]))
-                out_b.append(np.maximum(sid[i], sid[j]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
-
+    """The pairs of each unit, of which one or several come in a batch."""
     def skip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "unit", "position", "n", "sid", "component", "lead", "chunk", "sign"]
+        names = ["token", "unit", "position", "n", "sid", "component", "lead", "chunk", "known", "sign"]
         rest: pa.Table | None = None
 
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -214,9 +226,9 @@ def _skip_blocks(threshold: int):
             cuts = np.concatenate(([0], np.flatnonzero(change) + 1, [len(change) + 1]))
             for first, end in zip(cuts[:-1], cuts[1:], strict=True):
                 if end - first > 1:
-                    a, b = pairs({c: v[first:end] for c, v in columns.items()} | {"sign": signs[first:end]})
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    found = _pairs_of({c: v[first:end] for c, v in columns.items()} | {"sign": signs[first:end]}, threshold)
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "sure"])
 
         for batch in batches:
             if not len(batch):
@@ -260,7 +272,8 @@ def set_components(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int =
     near = shared.where((100 + threshold) * apart <= (100 - threshold) * (F.col("n") + F.col("lead_n")))
 
     led = near.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    first = written(_verified(docs, classes, led, words, threshold), "jaccard-first")
+    compared = written(_compared(docs, classes, led, words, threshold), "jaccard-first")
+    first = compared.where("linked").select("a", "b")
     labels = components(first, "jaccard-first")
 
     named = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -268,12 +281,16 @@ def set_components(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int =
     open_lists = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     chunks = F.ceil(F.col("members") / list_limit).cast("int")
     rest = named.join(open_lists, "token").where("members > 2").withColumn("chunk", F.pmod(F.xxhash64("sid"), chunks).cast("int"))
-    rest = rest.join(classes.select("sid", "sign"), "sid")
+    rest = rest.join(classes.select("sid", "sign"), "sid").join(compared.select(F.col("a").alias("lead"), F.col("b").alias("sid"), "apart"), ["lead", "sid"], "left")
+    rest = rest.withColumn("known", F.when(F.col("sid") == F.col("lead"), 0).otherwise(F.coalesce("apart", F.lit(-1))).cast("long"))
     units = rest.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     units = units.withColumn("unit", F.least("chunk", "other").cast("long") * 1_000_000 + F.greatest("chunk", "other"))
-    units = units.select("token", "unit", F.col("position").cast("long").alias("position"), F.col("n").cast("long").alias("n"), "sid", "component", "lead", F.col("chunk").cast("long").alias("chunk"), "sign")
-    found = units.repartition("token", "unit").sortWithinPartitions("token", "unit").mapInArrow(_skip_blocks(threshold), "a long, b long").distinct()
-    second = written(_verified(docs, classes, written(found, "jaccard-rest"), words, threshold), "jaccard-second")
+    units = units.select("token", "unit", F.col("position").cast("long").alias("position"), F.col("n").cast("long").alias("n"), "sid", "component", "lead", F.col("chunk").cast("long").alias("chunk"), "known", "sign")
+    found = units.repartition("token", "unit").sortWithinPartitions("token", "unit").mapInArrow(_skip_blocks(threshold), "a long, b long, sure boolean")
+    # A pair that one list leaves open may be settled by another one's leader.
+    found = written(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-rest")
+    second = _compared(docs, classes, found.where("NOT sure").select("a", "b"), words, threshold).where("linked").select("a", "b")
+    second = written(second.unionByName(found.where("sure").select("a", "b")), "jaccard-second")
     if second.isEmpty():
         return own, labels
     return own, components(first.unionByName(second), "jaccard-all")

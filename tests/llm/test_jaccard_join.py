@@ -136,3 +136,29 @@ def test_rarity_comes_to_the_driver_as_columns(spark, monkeypatch):
         monkeypatch.setattr(kind, name, lambda self: pytest.fail("rows as Python objects"))
     level = jj.rarity(df)
     assert len(level) == 1 << jj.SKETCH_BITS and level.any()
+
+
+def unit_of(sets, known):
+    n = np.array([len(s) for s in sets])
+    signs = np.stack([jj._signature(np.array(sorted(s), np.uint64)).view(np.uint64) for s in sets])
+    rows = np.arange(len(sets))
+    return {"position": np.zeros(len(sets), np.int64), "n": n, "sid": rows, "component": rows, "lead": np.full(len(sets), -1), "chunk": rows * 0, "known": np.array(known), "sign": signs}
+
+
+def test_answers_derived_from_the_leaders_are_the_compared_ones():
+    r = random.Random(4)
+    numbers = [r.getrandbits(63) for _ in range(4000)]
+    leader, fresh = set(numbers[:500]), iter(numbers[500:])
+    sets = []
+    for _ in range(60):
+        s = set(leader)
+        s -= set(r.sample(sorted(s), r.randint(0, 60)))
+        sets.append(s | {next(fresh) for _ in range(r.randint(0, 40))})
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])}
+    exact = [len(s ^ leader) for s in sets]
+    open_a, open_b, open_sure = jj._pairs_of(unit_of(sets, [-1] * 60), 90)
+    a, b, sure = jj._pairs_of(unit_of(sets, exact), 90)
+    some = set(zip(a.tolist(), b.tolist(), strict=True))
+    settled = {p for p, s in zip(zip(a.tolist(), b.tolist(), strict=True), sure.tolist(), strict=True) if s}
+    assert not open_sure.any() and settled and settled <= links <= some <= set(zip(open_a.tolist(), open_b.tolist(), strict=True))
+    assert all(exact[i] + exact[j] >= len(sets[i] ^ sets[j]) >= abs(exact[i] - exact[j]) for i, j in some)
