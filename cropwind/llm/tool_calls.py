@@ -5,8 +5,8 @@ A message is plain text, or JSON as chat interfaces exchange it: an assistant's
 ``{"tool_call_id", "content"}``. One pass reads the texts, validates each call's arguments against
 its tool's schema and writes every part as canonical JSON (sorted keys, no spaces, one number form).
 Calls and results are then hash-joined by conversation and identifier, and calls that cite others in
-``after`` are put in topological order, level by level: rounds follow the longest chain of citations,
-not the length of a conversation, and no conversation is ever held in one place.
+``after`` are put in topological order: chains of calls that cite one call each are halved by every round,
+only calls that cite several wait for one another, and no conversation is ever held in one place.
 
 Defined results: every message gives one row, and each call of a message one more. Identifiers that
 repeat within a conversation belong to their first call; later ones are ``duplicate``, as are further
@@ -142,25 +142,55 @@ def parts(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> Data
     return messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").mapInArrow(run, _PART_SQL)
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """``conv_id, call_id, anchor, steps``: where the chain of a call that cites one call ends, and how far that is.
+
+    Every round doubles the steps that a pointer goes. A round in which none arrives leaves only calls
+    on a cycle or before one; they are not in the result.
+    """
+    key = ["conv_id", "call_id"]
+    further = single.select("conv_id", F.col("call_id").alias("anchor"), F.lit(False).alias("arrived"))
+    chains = single.select(*key, F.col("cited").alias("anchor"), F.lit(1).cast("long").alias("steps")).join(further, ["conv_id", "anchor"], "left")
+    chains = written(chains.withColumn("arrived", F.coalesce("arrived", F.lit(True))), "calls-chains")
+    while True:
+        ahead = chains.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"), F.col("arrived").alias("there"))
+        moved = chains.where("NOT arrived").join(ahead, ["conv_id", "anchor"]).select(*key, F.col("next").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("arrived"))
+        moved = written(moved, "calls-chains")
+        if moved.where("arrived").isEmpty():
+            return chains.where("arrived").drop("arrived")
+        chains = written(chains.where("arrived").unionByName(moved), "calls-chains")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level`` of the calls outside cycles; ``calls`` has one row an identifier, with ``after``."""
-    ids = calls.select("conv_id", "call_id")
-    cited = calls.select("conv_id", "call_id", F.explode("after").alias("cited")).distinct()
+    key = ["conv_id", "call_id"]
+    ids = calls.select(*key)
+    cited = calls.select(*key, F.explode("after").alias("cited")).distinct()
     # A citation of what is no call of the conversation binds nothing.
-    open_ = written(cited.join(ids.withColumnRenamed("call_id", "cited"), ["conv_id", "cited"]).select("conv_id", "call_id", "cited"), "calls-cited")
-    ready = ids.join(open_.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-    done = fresh = written(ready.withColumn("level", F.lit(0)), "calls-level")
-    level = 0
-    while not open_.isEmpty():
-        level += 1
-        rest = written(open_.join(fresh.select("conv_id", F.col("call_id").alias("cited")), ["conv_id", "cited"], "left_anti").select("conv_id", "call_id", "cited"), "calls-cited")
-        waiting = rest.select("conv_id", "call_id").distinct()
-        ready = open_.select("conv_id", "call_id").distinct().join(waiting, ["conv_id", "call_id"], "left_anti")
-        fresh = written(ready.withColumn("level", F.lit(level)), "calls-level")
-        if fresh.isEmpty():
-            break
-        done, open_ = done.unionByName(fresh), rest
-    return done
+    bound = written(cited.join(ids.withColumnRenamed("call_id", "cited"), ["conv_id", "cited"]).select(*key, "cited"), "calls-cited")
+    number = written(bound.groupBy(*key).agg(F.count("*").alias("n"), F.min("cited").alias("cited")), "calls-number")
+    roots = ids.join(number.select(*key), key, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    done = written(roots, "calls-level")
+    chains = _chains(number.where("n = 1"))
+    several = number.where("n > 1").select(*key)
+    if not several.isEmpty():
+        # Citations of calls that cite several, each moved to the end of its chain; none has an end on a cycle.
+        ends = chains.unionByName(number.where("n > 1").select(*key, F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("steps")))
+        ends = ends.unionByName(done.select(*key, F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("steps")))
+        ends = ends.withColumnRenamed("call_id", "cited")
+        open_ = written(bound.join(several, key).join(ends, ["conv_id", "cited"], "left").select(*key, "anchor", (F.col("steps") + 1).alias("steps")), "calls-open")
+        waiting, fresh, reached = written(several, "calls-waiting"), done, None
+        while True:
+            arrived = open_.join(fresh.withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+            reached = written((arrived if reached is None else reached.unionByName(arrived)).groupBy(*key).agg(F.max("level").alias("level")), "calls-reached")
+            open_ = written(open_.join(fresh.select("conv_id", F.col("call_id").alias("anchor")), ["conv_id", "anchor"], "left_anti").select(*key, "anchor", "steps"), "calls-open")
+            fresh = written(waiting.join(open_.select(*key).distinct(), key, "left_anti").join(reached, key), "calls-level")
+            if fresh.isEmpty():
+                break
+            done, waiting = done.unionByName(fresh), written(waiting.join(fresh.select(*key), key, "left_anti"), "calls-waiting")
+    at_end = done.withColumnRenamed("call_id", "anchor")
+    behind = chains.join(at_end, ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return done.unionByName(behind).withColumn("level", F.col("level").cast("int"))
 
 
 def link(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:
@@ -185,18 +215,22 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataF
     return seen.select(*columns).unionByName(plain.select(*columns))
 
 
+#: The longest question that ``answer`` takes, in characters.
+MAX_QUESTION = 300
 #: The tool that ``exchanges`` calls.
-ANSWER = {"answer": {"type": "object", "properties": {"question": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "required": ["question", "turn"], "additionalProperties": False}}
+ANSWER = {"answer": {"type": "object", "properties": {"question": {"type": "string", "minLength": 1, "maxLength": MAX_QUESTION}, "turn": {"type": "integer", "minimum": 0}}, "required": ["question", "turn"], "additionalProperties": False}}
 
 
 def exchanges(conversations: DataFrame) -> DataFrame:
     """Conversations without tools in the JSON form: each user's turn calls ``answer``, the next turn is its result.
 
-    Messages that are no user's or assistant's stay as they are, and so do those in the JSON form already.
+    A call cites the call two turns before it, where there is one. Messages that are no user's or
+    assistant's stay as they are, and so do those in the JSON form already.
     """
     held = F.pandas_udf(lambda texts: texts.map(lambda t: tool_json(t) is not None).astype(bool), "boolean")
     text, turn = F.coalesce("text", F.lit("")), F.col("turn")
-    call = F.struct(turn.cast("string").alias("id"), F.lit("answer").alias("name"), F.struct(text.alias("question"), "turn").alias("arguments"))
+    before = F.when(turn >= 2, F.array((turn - 2).cast("string"))).otherwise(F.array().cast("array<string>"))
+    call = F.struct(turn.cast("string").alias("id"), F.lit("answer").alias("name"), F.struct(text.alias("question"), "turn").alias("arguments"), before.alias("after"))
     asked = F.to_json(F.struct(F.lit("").alias("content"), F.array(call).alias("tool_calls")))
     answered = F.to_json(F.struct((turn - 1).cast("string").alias("tool_call_id"), text.alias("content")))
     return conversations.select("conv_id", "turn", "role", F.when(held("text"), F.col("text")).when(F.col("role") == "user", asked).when(F.col("role") == "assistant", answered).otherwise(F.col("text")).alias("text"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -64,16 +65,60 @@ def test_query_over_the_whole_table(spark):
     users = {(r.conv_id, r.turn): r.text for r in rows if r.role == "user"}
     answers = {(r.conv_id, r.turn - 1) for r in rows if r.role == "assistant"}
     want = []
+
+    def level(conv, turn):
+        return 0 if (conv, turn - 2) not in users else 1 + level(conv, turn - 2)
+
     dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     for r in rows:
         if r.role == "user":
             want.append((r.conv_id, r.turn, 0, "text", None, dump({"role": r.role, "content": ""})))
-            want.append((r.conv_id, r.turn, 1, "linked" if (r.conv_id, r.turn) in answers else "open", 0, dump({"id": str(r.turn), "name": "answer", "arguments": {"question": r.text, "turn": r.turn}})))
+            want.append((r.conv_id, r.turn, 1, "linked" if (r.conv_id, r.turn) in answers else "open", level(r.conv_id, r.turn), dump({"id": str(r.turn), "name": "answer", "arguments": {"question": r.text, "turn": r.turn}})))
         elif r.role == "assistant":
             known = (r.conv_id, r.turn - 1) in users
-            want.append((r.conv_id, r.turn, 0, "linked" if known else "orphan", 1 if known else None, dump({"role": r.role, "tool_call_id": str(r.turn - 1), "content": r.text})))
+            want.append((r.conv_id, r.turn, 0, "linked" if known else "orphan", level(r.conv_id, r.turn - 1) + 1 if known else None, dump({"role": r.role, "tool_call_id": str(r.turn - 1), "content": r.text})))
         else:
             want.append((r.conv_id, r.turn, 0, "text", None, dump({"role": r.role, "content": r.text})))
     out = queries.op7_tool_calls(spark, sf).collect()
     assert sorted((r.conv_id, r.turn, r.part, r.status, r.level, r.body) for r in out) == sorted(want)
-    assert all(r.valid for r in out if r.kind == "call")
+    calls = [r for r in out if r.kind == "call"]
+    assert all(r.valid == (1 <= len(users[r.conv_id, r.turn]) <= tc.MAX_QUESTION) and (r.error is None) == r.valid for r in calls)
+    # Order and validation show in the table.
+    assert {r.level for r in calls} >= {0, 1, 2} and {r.valid for r in calls} == {True, False}
+
+
+CALLS = "conv_id long, call_id string, after array<string>"
+
+
+def longest(calls):
+    """Level of each call by repeated passes over the whole list; calls on or behind a cycle have none."""
+    known, left = {}, {(c, i): {a for a in after if any(a == j and c == d for d, j, _ in calls)} for c, i, after in calls}
+    while True:
+        ready = {k: max((known[k[0], a] + 1 for a in cited), default=0) for k, cited in left.items() if all((k[0], a) in known for a in cited)}
+        if not ready:
+            return known
+        known |= ready
+        left = {k: v for k, v in left.items() if k not in ready}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    calls = []
+    for conv in range(8):
+        for i in range(25):
+            # Mostly earlier calls are cited, now and then a later one, which may close a cycle, or itself.
+            pool = range(25) if r.random() < 0.04 else range(max(i, 1))
+            calls.append((conv, str(i), [str(r.choice(pool)) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))] if i else []))
+    got = {(x.conv_id, x.call_id): x.level for x in tc.levels(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == longest(calls)
+
+
+def test_a_long_chain_is_halved_by_each_round(spark, monkeypatch):
+    rounds = []
+    kept = tc.written
+    monkeypatch.setattr(tc, "written", lambda df, name: rounds.append(name) or kept(df, name))
+    calls = [(1, str(i), [str(i - 1)] if i else []) for i in range(1000)] + [(2, "a", ["b"]), (2, "b", ["a"]), (2, "c", ["a"]), (2, "d", ["d"])]
+    got = {(x.conv_id, x.call_id): x.level for x in tc.levels(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == {(1, str(i)): i for i in range(1000)} and rounds.count("calls-chains") <= 2 * 12
+    assert tc.levels(spark.createDataFrame([], CALLS)).count() == 0
