@@ -61,6 +61,46 @@ def test_a_larger_factor_skips_and_keeps_recall(monkeypatch):
     assert recall >= 0.9
 
 
+def clustered(n=4000, dimension=6):
+    g = np.random.default_rng(1)
+    centres = g.normal(size=(20, dimension)) * 4
+    points = centres[g.integers(0, 20, n)] + g.normal(size=(n, dimension)) * 0.1
+    # A third of all rows is one vector.
+    points[: n // 3] = points[0]
+    return [(i, [float(x) for x in p]) for i, p in enumerate(points / np.linalg.norm(points, axis=1, keepdims=True))]
+
+
+def test_cells_too_far_away_are_not_asked(spark):
+    rows = clustered()
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    index = vantage.Index(df, 20, 100)
+    asked = index.queries(F.col("vec_id") % 20 == 0)
+    shares = []
+    for factor in (1.0, 2.0):
+        first = index.search(asked, 20, factor)
+        sent = index.others(asked, first, 20, factor)
+        assert sent.where("cell = home").isEmpty()
+        shares.append(sent.count() / (asked.count() * index.sizes.count()))
+    assert shares[1] <= shares[0] < 0.25
+    # The third is dealt to shards, as no shard has far more than its rows.
+    assert index.held.groupBy("dimension", "cell", "shard").count().agg(F.max("count")).head()[0] < 200
+    assert {tuple(r) for r in vantage.neighbours(df, F.col("vec_id") % 20 == 0, shard_rows=100).collect()} == brute(rows)
+
+
+def test_a_relaxed_search_of_all_cells_has_recall(spark):
+    rows = clustered()
+    want = {r[:1] + r[2:3] for r in brute(rows)}
+    found = {(r.query_id, r.vec_id) for r in got(spark, rows, factor=1.3, shard_rows=100).collect()}
+    assert len(found & want) >= 0.95 * len(want)
+
+
+def test_long_and_short_vectors_and_dimensions_without_a_pivot(spark):
+    r = random.Random(8)
+    rows = [(i, [float(r.randint(-9, 9)) * 10 ** (i % 4) for _ in range(4)]) for i in range(500)]
+    rows += [(i, [float(r.randint(1, 9))] * (1 + i % 7)) for i in range(500, 560)]
+    assert {tuple(x) for x in got(spark, rows, shard_rows=60).collect()} == brute(rows)
+
+
 def test_no_rows_and_few_candidates(spark):
     assert got(spark, []).count() == 0
     assert {tuple(r) for r in got(spark, [(0, [1.0, 2.0]), (1, [0.5, 0.5])]).collect()} == {(0, 1, 1, 1.5)}
