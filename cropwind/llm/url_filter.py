@@ -73,32 +73,37 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.select(_block(F.col("url"), blocks).alias("block"), *(m.alias(f"m{i}") for i, m in enumerate(masks))).groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"w{i}") for i in range(4)))
 
 
-def hits(urls: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``urls`` (with a column ``url``) split into (listed, not listed)."""
-    listed = written(listed.select("url").where("url IS NOT NULL").distinct(), "url-list")
+def probed(urls: DataFrame, listed: DataFrame) -> DataFrame:
+    """``urls`` (with a column ``url``) and ``possible``: whether the filter of the distinct list passes the URL."""
     blocks = max(1, math.ceil(listed.count() * BITS_PER_URL / BLOCK_BITS))
     table = bloom(listed, blocks)
     if blocks * BLOCK_BYTES <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    probed = urls.withColumn("block", _block(F.col("url"), blocks)).join(table, "block", "left")
+    # Rows without a URL are dealt over all blocks, as none of them can be listed.
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    block = F.when(F.col("url").isNull(), spread).otherwise(_block(F.col("url"), blocks))
+    found = urls.withColumn("block", block).join(table, "block", "left")
     possible = F.col("url").isNotNull()
     for i, mask in enumerate(_masks(F.col("url"))):
         possible &= F.coalesce(F.col(f"w{i}").bitwiseAND(mask) == mask, F.lit(False))
-    probed = probed.withColumn("possible", possible).drop("block", "w0", "w1", "w2", "w3")
-    maybe = probed.where("possible").drop("possible")
-    return maybe.join(listed, "url", "left_semi"), probed.where("NOT possible").drop("possible").unionByName(maybe.join(listed, "url", "left_anti"))
+    return found.withColumn("possible", possible).drop("block", "w0", "w1", "w2", "w3")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every page; ``listed`` has canonical URLs in ``url``."""
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    parts = parts.select("*", rule.alias("rule"), verdict.alias("ruled"), canonical(F.col("host"), F.col("path")).alias("url"))
     # A rule's verdict needs no probe.
-    bad, good = hits(parts.where("ruled IS NULL"), listed)
-    out = ["page_id", "host", "path", "rule"]
-    decided = parts.where("ruled IS NOT NULL").select(*out, F.col("ruled").alias("verdict"))
-    return decided.unionByName(bad.select(*out, F.lit("block").alias("verdict"))).unionByName(good.select(*out, F.lit("allow").alias("verdict")))
+    url = F.when(F.col("verdict").isNull(), canonical(F.col("host"), F.col("path")))
+    parts = parts.select("*", rule.alias("rule"), verdict.alias("verdict")).withColumn("url", url)
+    listed = written(listed.select("url").where("url IS NOT NULL").distinct(), "url-list")
+    # Written, so that pages are read and probed once for both branches.
+    rows = written(probed(parts, listed), "url-probed")
+    exact = listed.withColumn("hit", F.lit("block"))
+    maybe = rows.where("possible").join(exact, "url", "left")
+    out = [F.col(c) for c in ("page_id", "host", "path", "rule")]
+    judged = maybe.select(*out, F.coalesce("hit", F.lit("allow")).alias("verdict"))
+    return judged.unionByName(rows.where("NOT possible").select(*out, F.coalesce("verdict", F.lit("allow")).alias("verdict")))
 
 
 def listed_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -110,11 +115,13 @@ def listed_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH parts AS (
-  SELECT page_id, url,
+WITH numbered AS (
+  SELECT page_id, url, row_number() OVER () AS row_no FROM pages
+), parts AS (
+  SELECT row_no, page_id, url,
          CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
          CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
-  FROM pages
+  FROM numbered
 ), known AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '(/|\.html?)$', '') END AS canonical,
          try_cast(regexp_extract(path, '/(\d{1,18})(/|\.html?)?$', 1) AS BIGINT) AS number
@@ -126,7 +133,7 @@ WITH parts AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), fits AS (
   SELECT k.*, r.name || r.start AS rule, r.action,
-         row_number() OVER (PARTITION BY k.page_id, k.url ORDER BY length(r.name || r.start) DESC) AS place
+         row_number() OVER (PARTITION BY k.row_no ORDER BY length(r.name || r.start) DESC) AS place
   FROM known k LEFT JOIN rules r ON (k.host = r.name OR ends_with(k.host, '.' || r.name)) AND starts_with(k.path, r.start)
 )
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
