@@ -21,6 +21,7 @@ from cropwind.operators import (
     regression,
     report,
     silver,
+    state,
     weekly,
 )
 from cropwind.plans import panels, pipeline, runs
@@ -100,6 +101,18 @@ def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(market.realized_vol(market.daily_returns(panels.daily_market(spark, sf_dir))))
 
 
+@_register(f"SELECT commodity, {day()}, {r('close')}, {r('ret', name='returns')}, {r('vol', name='realized_vol_30d')} FROM market_vol")
+def realized_vol_from_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns and volatility over three increments, each of which goes on from the last 30 days before it."""
+    first, *later = _increments(written(panels.daily_market(spark, sf_dir), "closes"))
+    scored = written(market.realized_vol(market.daily_returns(first)), "priced")
+    tail = written(state.return_tail(scored), "tail")
+    for part in later:
+        priced, after = state.continued_returns(tail, part)
+        scored, tail = scored.unionByName(priced), written(after, "tail")
+    return present(scored)
+
+
 @_register(f"SELECT region_id, {day()}, {r('temp_anom')}, {r('precip_anom')}, {r('ndvi')}, {r('enso')} FROM weather")
 def region_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(pipeline.weather_table(spark, sf_dir))
@@ -113,6 +126,27 @@ def station_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(anomalies.weather_anomalies(panels.daily_station_weather(spark, sf_dir), "station_id"))
 
 
+#: Increments of the queries that go on from a state: before, between and from these dates.
+_INCREMENTS = (dt.date(1995, 3, 3), dt.date(1999, 6, 4))
+
+
+def _increments(df: DataFrame) -> list[DataFrame]:
+    date, (first, second) = F.col("date"), (F.lit(d) for d in _INCREMENTS)
+    return [df.where(date < first), df.where((date >= first) & (date < second)), df.where(date >= second)]
+
+
+@_register(f"SELECT station_id, {day()}, {r('temp_anom')}, {r('precip_anom')} FROM station_weather")
+def station_zscore_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anomalies of every supplier from moments that were merged over three increments."""
+    values = ["temp", "precip"]
+    weeks = written(weekly.weekly_weather(panels.daily_station_weather(spark, sf_dir), "station_id"), "station-weeks")
+    first, *later = [state.moments(part, values, "station_id") for part in _increments(weeks)]
+    known = written(first, "station-moments")
+    for part in later:
+        known = written(state.merge_moments(known, part, values, "station_id"), "station-moments")
+    return present(state.zscore_from_state(weeks, known, values, "station_id").drop(*values))
+
+
 def _seasonal_sql(season: str, deviation: str) -> str:
     return f"""SELECT station_id, {day()}, {r('temp')}, {r('z', name='temp_z')} FROM (
   SELECT station_id, date, temp, CASE WHEN min(temp) OVER g <> max(temp) OVER g
