@@ -1011,11 +1011,10 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
      JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"""
 )
 def stream_weekly_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly weather from line items in four files, one a micro-batch, each with rows of all weeks:
+    """Weekly weather from line items in four micro-batches, each with rows of all weeks:
     every batch corrects weeks that were emitted before, and the last state is that of all rows."""
     path = scratch_path(spark, "corrected")
-    panels.table(spark, sf_dir, "lineitem").repartition(4, F.xxhash64("l_orderkey", "l_linenumber")).write.parquet(f"{path}/lineitem.parquet")
-    lines = panels.stream(spark, path, "lineitem", files_per_batch=1).select(
+    lines = panels.landed_stream(spark, sf_dir, "lineitem", path, ["l_orderkey", "l_linenumber"]).select(
         F.from_utc_timestamp(F.col("l_shipdate").cast("timestamp"), F.current_timezone()).alias("ts"),
         "l_suppkey",
         F.col("l_quantity").alias("temp"),
@@ -1031,15 +1030,13 @@ def stream_weekly_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prints streamed into a store that keeps the last print of each day.
 
-    The orders come as several files, one a micro-batch, dealt by hash, so that a later batch holds
-    earlier orders as well.
+    The orders come in four micro-batches, dealt by hash, so that a later batch holds earlier orders
+    as well.
     """
     path = scratch_path(spark, "prints")
-    orders = panels.table(spark, sf_dir, "orders").repartition(4, F.xxhash64("o_orderkey"))
-    orders.write.parquet(f"{path}/orders.parquet")
     customers = panels.table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("commodity"))
     prints = (
-        panels.stream(spark, path, "orders", files_per_batch=1)
+        panels.landed_stream(spark, sf_dir, "orders", path, ["o_orderkey"])
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(F.to_date("o_orderdate").alias("date"), "commodity", F.col("o_totalprice").alias("price_spot"), "o_orderkey")
     )

@@ -12,6 +12,9 @@ grouped aggregates reduce each task's rows before they are shuffled.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,25 @@ def stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | N
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+#: Rows of a landed file, on average; one task writes it.
+ROWS_PER_FILE = 500_000
+
+
+def landed_stream(spark: SparkSession, sf_dir: str, name: str, path: str, keys: Iterable[str], batches: int = 4) -> DataFrame:
+    """The table landed in the folder ``path`` and streamed in ``batches`` micro-batches.
+
+    Rows are dealt to files by a hash of ``keys``: rows of one key come together, and every batch has rows
+    from all parts of the table.  A larger table has more files in each batch, not larger ones, so the
+    share of the task that writes a file does not grow with it.
+    """
+    rows = table(spark, sf_dir, name)
+    files = batches * max(1, math.ceil(rows.count() / (batches * ROWS_PER_FILE)))
+    rows.repartition(files, F.xxhash64(*keys)).write.parquet(f"{path}/{name}.parquet")
+    # A file without rows is not written.
+    landed = len(table(spark, path, name).inputFiles())
+    return stream(spark, path, name, files_per_batch=math.ceil(landed / batches))
+
+
 def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(

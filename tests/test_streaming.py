@@ -85,6 +85,39 @@ def test_tables_of_part_files_stream_like_the_batch_tables(spark, tmp_path):
         panels.stream(spark, f"{tmp_path}/nowhere", "orders")
 
 
+def test_larger_tables_land_in_more_files_not_larger_ones(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cropwind.plans import catalog, panels
+
+    sf, n, most = str(tmp_path / "in"), 6000, 300
+    day = F.expr("timestamp_ntz'1996-01-01 00:00:00' + make_dt_interval(cast(id % 50 AS int))")
+    made = {
+        "lineitem": spark.range(n).select((F.col("id") / 4).cast("bigint").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"), (F.col("id") % 6).alias("l_suppkey"), (F.col("id") % 7).cast("double").alias("l_quantity"), day.alias("l_shipdate")),
+        "orders": spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") % 3).alias("o_custkey"), F.col("id").cast("double").alias("o_totalprice"), day.alias("o_orderdate")),
+        "supplier": spark.range(6).select(F.col("id").alias("s_suppkey"), F.lit(0).alias("s_nationkey")),
+        "customer": spark.range(3).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Good"), "id").alias("c_mktsegment")),
+        "nation": spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int"),
+        "region": spark.createDataFrame([(0, "ASIA")], "r_regionkey int, r_name string"),
+    }
+    for name, rows in made.items():
+        rows.write.parquet(f"{sf}/{name}.parquet")
+    monkeypatch.setattr(panels, "ROWS_PER_FILE", most, raising=False)
+    monkeypatch.setattr(catalog, "scratch_path", lambda _, name: str(tmp_path / name))
+
+    weeks = {r["date"]: (r["temp"], r["precip"]) for r in catalog.stream_weekly_corrected(spark, sf).collect()}
+    week = F.date_format(F.next_day(F.date_sub(F.to_date("l_shipdate"), 1), "FRI"), "yyyy-MM-dd")
+    sums = panels.table(spark, sf, "lineitem").groupBy(week.alias("date")).agg(F.avg("l_quantity").alias("temp"), F.sum("l_linenumber").alias("precip"))
+    assert weeks == {r["date"]: (pytest.approx(r["temp"], abs=1e-5), r["precip"]) for r in sums.collect()}
+    closes = {(r["commodity"], r["date"]): r["price_spot"] for r in catalog.stream_upsert(spark, sf).collect()}
+    assert closes == {(r["commodity"], str(r["date"])): r["close"] for r in panels.daily_market(spark, sf).collect()}
+
+    for path, name in ((tmp_path / "corrected", "lineitem"), (tmp_path / "prints", "orders")):
+        sizes = [r["count"] for r in panels.table(spark, str(path), name).groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == n and max(sizes) < 2 * most
+        assert len([p for p in (path / "state" / "commits").iterdir() if p.name.isdigit()]) == 4
+
+
 def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema, day = "ts timestamp, region_id string, temp double, precip double", dt.datetime(2024, 1, 5)
